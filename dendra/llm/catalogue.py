@@ -8,11 +8,21 @@ from dendra.llm import sql
 
 def queries() -> dict:
     return {
+        "op2_lm_scoring": q.lm_scores,
         "op3_quality_rules": q.quality_rules,
+        "op4_url_filters": q.url_filters,
+        "op5_packing": q.packed,
+        "op6_exact_topk": q.exact_top_k,
+        "op7_simhash": q.near_duplicates,
+        "op8_sentencepiece": q.sentencepiece_round_trip,
+        "op9_sharding": q.shards,
+        "op10_chat": q.chats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_lm_scoring": sql.LM_SCORES,
         "op3_quality_rules": sql.QUALITY_RULES,
+        "op6_exact_topk": sql.EXACT_TOP_K,
     }

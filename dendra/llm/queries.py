@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendra.llm import quality_rules as rules
+from dendra.llm import chat, lm_scoring, packing, quality_rules as rules, sentencepiece_codec, sharding, simhash, topk, url_filter
 from dendra.llm.common import table
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    # sums of logarithms depend on their order in the last digits
+    return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_prob", 4).alias("log_prob"), F.round("lm_score", 6).alias("lm_score"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.build_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = rules.verdict(rules.POLICIES["base-1"])
@@ -16,3 +22,50 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~base).alias("base_failed"), "kept", "n_lines", "n_bangs", "fail_bits", "policy",
     )
+
+
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 6).alias("p_block"))
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(packing.pack(table(spark, sf_dir, "documents")))
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
+
+
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = sentencepiece_codec.decode(encoded)
+    marked = F.replace(F.col("text"), F.lit(sentencepiece_codec.MARK), F.lit(" "))
+    return back.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.crc32(F.array_join("piece_ids", ",").cast("binary")).alias("ids_crc32"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        F.col("decoded").eqNullSafe(marked).alias("round_trip"),
+    )
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return rows.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(rows))

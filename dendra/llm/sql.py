@@ -19,3 +19,23 @@ b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_wor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
        n_lines, n_bangs, fail_bits, 'prose-1' AS policy FROM b
 """
+
+# Every n-gram is counted in the corpus that is scored, so no word is backed off here; tests cover that part.
+LM_SCORES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT rid, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+n AS (SELECT greatest(count(*), 1) AS n FROM t),
+s AS (SELECT t.rid, sum(CASE WHEN t.v IS NULL THEN ln(uw.c) - ln((SELECT n FROM n)) ELSE ln(b.c) - ln(uv.c) END) AS s
+      FROM t JOIN u uw ON uw.w = t.w LEFT JOIN u uv ON uv.w = t.v LEFT JOIN b ON b.v = t.v AND b.w = t.w GROUP BY t.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, 0::BIGINT AS n_backed_off, round(s, 4) AS log_prob, round(s / len(ws), 6) AS lm_score FROM d LEFT JOIN s USING (rid)
+"""
+
+EXACT_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
