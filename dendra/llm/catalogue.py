@@ -8,6 +8,7 @@ from dendra.llm import sql
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": q.secret_scans,
         "op2_lm_scoring": q.lm_scores,
         "op3_quality_rules": q.quality_rules,
         "op4_url_filters": q.url_filters,

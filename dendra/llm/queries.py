@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendra.llm import chat, lm_scoring, packing, quality_rules as rules, sentencepiece_codec, sharding, simhash, topk, url_filter
+from dendra.llm import chat, lm_scoring, packing, secrets_scan, sentencepiece_codec, sharding, simhash, topk, url_filter
+from dendra.llm import quality_rules as rules
 from dendra.llm.common import table
 
 
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    digest = F.sha2(secrets_scan.span_text(secrets_scan.base_spans(F.col("spans"))), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets_scan.span_text(F.col("spans")).alias("spans"), "n_random")
+
+
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.score(table(spark, sf_dir, "documents"))
     # sums of logarithms depend on their order in the last digits
