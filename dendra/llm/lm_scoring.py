@@ -38,6 +38,8 @@ ALPHA = 0.4
 BLOCK_CHARS = 1 << 21
 #: Bytes of (compressed) input per hash partition.
 PARTITION_BYTES = 16 << 20
+#: A plan's size from which it stands for "not known".
+UNKNOWN = 1 << 55
 #: Words whose hashes a worker remembers; it starts anew beyond that.
 WORDS = 1 << 20
 #: Kinds of rows: packed words, packed bigrams, a block's documents, sums for a block, bigrams never counted.
@@ -269,9 +271,11 @@ def backed_off(unseen: DataFrame, parts: int) -> DataFrame:
     return unseen.mapInArrow(run, GRAMS)
 
 
-def parts_for(df: DataFrame) -> int:
-    """Hash partitions: from the size that the plan knows for ``df``, without reading it."""
+def parts_for(df: DataFrame, text: str) -> int:
+    """Hash partitions: from the size that the plan knows for ``df``, or where it knows none, from the texts' bytes."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:
+        size = (df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // 2
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, min(size // PARTITION_BYTES, 1 << 15), 1)
 
 
@@ -279,7 +283,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
     """(id_col, n_words, n_backed_off, log_prob, lm_score) for every row of ``docs``, by the counts of ``corpus`` (its own if None)."""
     need(docs, id_col, text)
     own = corpus is None
-    parts = parts_for((docs if own else corpus).select(text))
+    parts = parts_for((docs if own else corpus).select(text), text)
     grams = exploded(docs, id_col, text, parts, COUNTED | SCORED if own else SCORED)
     if own:
         rows = written(summed(joined(grams, parts), math.log(alpha)), "scores")
