@@ -27,12 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of a row group in written tables, so that a writer holds little.
+ROW_GROUP = 16 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors,
-    and makes a value computed once stay the same in every later scan."""
+    and makes a value computed once stay the same in every later scan.
+
+    arrow_rows: rows per batch that Python functions in ``df`` get while it is written (whole texts are large rows).
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/dendra-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -31,7 +31,9 @@ DIMS = 3
 BITS = 10
 SPECIAL = "<|endoftext|>"
 #: Words whose ids a worker remembers; it starts anew beyond that.
-WORDS = 1 << 20
+WORDS = 1 << 19
+#: Texts per batch that a worker is handed.
+TEXT_ROWS = 500
 #: Documents' characters encoded before a batch is handed on.
 BATCH_CHARS = 1 << 20
 
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     rid = HIDDEN + "rid"
-    rows = written(with_row_id(tokenized(docs, id_col, text, tokenizer_path), rid), "tokens")
+    rows = written(with_row_id(tokenized(docs, id_col, text, tokenizer_path), rid), "tokens", arrow_rows=TEXT_ROWS)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("b")).first()["b"]
     ranges = max(1, -(-total // range_bytes))
     dealt = rows.repartitionByRange(ranges, "key", rid).sortWithinPartitions("key", rid).withColumn("part", F.spark_partition_id())
