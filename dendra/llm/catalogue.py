@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from dendra.llm import queries as q
 from dendra.llm import sql
 
@@ -18,11 +19,13 @@ def queries() -> dict:
         "op8_sentencepiece": q.sentencepiece_round_trip,
         "op9_sharding": q.shards,
         "op10_chat": q.chats,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return piped | {
         "op2_lm_scoring": sql.LM_SCORES,
         "op3_quality_rules": sql.QUALITY_RULES,
         "op6_exact_topk": sql.EXACT_TOP_K,

@@ -124,7 +124,10 @@ def build_ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     need(docs, text)
     measured = _measured(without(docs, *[c for c in [*MEASURES, "fail_bits"] if c != text]), text)
     bits = [F.when(r.fails(F.col), F.lit(r.mask)).otherwise(F.lit(0)).cast("long") for r in rules]
-    return measured.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    # A filter on the bits must not be pushed below them: the optimizer would copy every measurement into it, many times
+    # over. It stops at a column that it takes for not deterministic; this condition always holds.
+    stop = F.monotonically_increasing_id() >= 0
+    return measured.withColumn("fail_bits", F.when(stop, reduce(lambda a, b: a.bitwiseOR(b), bits)))
 
 
 def verdict(policy: Policy, bits: Column | None = None) -> Column:
