@@ -1,7 +1,183 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, one per operator or family of operators; each reads its whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dendra.functions import linalg
+from dendra.functions.score_table import ScoreTable, adp_bin, dist_bin
+from dendra.operators import downsample as down
+from dendra.operators import nblast, spatial, skeleton
+from dendra.operators import segmentation as seg
+from dendra.plans import derive
+from dendra.sources import precomputed, swc
+
+K_NEAR = 10
+STEP = 40.0
+MIN_MEAN = 630.0
+CUT = 700.0
+
+
+def _r(*columns: str, digits: int = 4) -> list:
+    """Rounded sums and roots: their last bits depend on the order of additions. Adding 0 makes -0 plain."""
+    return [(F.round(c, digits) + 0.0).alias(c) for c in columns]
+
+
+def k1_reindex(spark, d) -> DataFrame:
+    n = derive.numbered_parts(spark, d)
+    own = n.drop("idx").withColumn("parent", F.when(F.col("id") % 10 == 0, F.lit(-1).cast("long")).otherwise(F.col("id")))
+    return skeleton.reindex(own).select("neuron_id", "idx", "x", "y", "parent")
+
+
+def k2_first_child_sibling(spark, d) -> DataFrame:
+    return skeleton.topology(derive.skeletons(spark, d)).select("neuron_id", "idx", "first_child", "next_sibling")
+
+
+def k3_k4_k5_node_kind(spark, d) -> DataFrame:
+    return skeleton.node_kinds(derive.skeletons(spark, d)).select("neuron_id", "idx", "is_root", "is_terminal", "is_branching", "n_children")
+
+
+def k4_terminals(spark, d) -> DataFrame:
+    return skeleton.terminals(derive.skeletons(spark, d)).select("neuron_id", "idx")
+
+
+def k6_k7_counts(spark, d) -> DataFrame:
+    s = derive.skeletons(spark, d)
+    return skeleton.point_count(s).join(skeleton.edge_count(s), "neuron_id")
+
+
+def k8_edges(spark, d) -> DataFrame:
+    return skeleton.edges(derive.skeletons(spark, d))
+
+
+def k9_children(spark, d) -> DataFrame:
+    return skeleton.children(derive.skeletons(spark, d)).select("neuron_id", "idx", F.array_join("children", ",").alias("children"))
+
+
+def k10_center(spark, d) -> DataFrame:
+    c = skeleton.center(derive.skeletons(spark, d), include_radius=True)
+    return c.select("neuron_id", "idx", *_r("x", "y", "z", "r"))
+
+
+def k11_downsample(spark, d) -> DataFrame:
+    out = down.downsample(derive.skeletons(spark, d), STEP)
+    up = out.select("neuron_id", F.col("idx").alias("parent"), F.col("source_idx").alias("source_parent"))
+    return out.join(up, ["neuron_id", "parent"], "left").select("neuron_id", "source_idx", "class", *_r("x", "y", "z", "r"), "source_parent")
+
+
+def k12_path_length(spark, d) -> DataFrame:
+    return skeleton.path_length(derive.skeletons(spark, d)).select("neuron_id", *_r("path_length"))
+
+
+def k15_attributes(spark, d) -> DataFrame:
+    return skeleton.attributes(derive.skeletons(spark, d))
+
+
+def k17_equal(spark, d) -> DataFrame:
+    s = derive.skeletons(spark, d)
+    moved = s.withColumns({"x": F.col("x") + F.when(F.col("neuron_id").endswith("1"), 0.5).otherwise(0.0005)})
+    return skeleton.equal(s, moved)
+
+
+def s6_s7_precomputed(spark, d) -> DataFrame:
+    back = precomputed.decode(precomputed.encode(derive.skeletons(spark, d)))
+    return back.select("neuron_id", "idx", "class", "x", "y", "z", "r", "parent")
+
+
+def s8_swc_lines(spark, d) -> DataFrame:
+    return swc.lines(derive.skeletons(spark, d), precision=0).select("neuron_id", "idx", "line")
+
+
+def m1_pca_group(spark, d) -> DataFrame:
+    got = linalg.pca_first_component(derive.points(spark, d), ["neuron_id"])
+    return got.select("neuron_id", *_r("vx", "vy", "vz"))
+
+
+def m2_m4_bbox(spark, d) -> DataFrame:
+    return spatial.bounding_box(derive.points(spark, d), ["neuron_id"])
+
+
+def m5_box_distance(spark, d) -> DataFrame:
+    p = derive.points(spark, d)
+    box = spatial.bounding_box(p, ["neuron_id"]).withColumnRenamed("neuron_id", "box_id").drop("dim")
+    pairs = p.join(F.broadcast(box), F.col("box_id") != F.col("neuron_id"))  # a box per neuron of a fixed set
+    return pairs.select("neuron_id", "idx", "box_id", spatial.box_distance().alias("d2"))
+
+
+def m9_knn(spark, d) -> DataFrame:
+    p = derive.points(spark, d)
+    near = spatial.knn(spatial.as_queries(p), spatial.as_targets(p), 5, "same")
+    return near.select(F.col("query_id").alias("neuron_id"), "query_idx", "idx", "rank")
+
+
+def n2_lookup(spark, d) -> DataFrame:
+    p = derive.points(spark, d)
+    near = spatial.knn(spatial.as_queries(p), spatial.as_targets(p), 1, "other")
+    dist, adp = F.sqrt("d2"), (F.col("query_idx") % 11) / 10
+    return near.select("query_id", "query_idx", "target_id", dist_bin(dist).alias("dist_bin"), adp_bin(adp).alias("adp_bin"), ScoreTable().score(dist, adp).alias("score"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return nblast.direction_vectors(derive.points(spark, d), K_NEAR)
+
+
+def n5_vectors(spark, d) -> DataFrame:
+    return _vectors(spark, d).select("neuron_id", "idx", *_r("vx", "vy", "vz"))
+
+
+def n7_self(spark, d) -> DataFrame:
+    return nblast.self_scores(derive.points(spark, d), ScoreTable()).select("target_id", "query_id", *_r("raw"))
+
+
+def n8_raw(spark, d) -> DataFrame:
+    v = _vectors(spark, d)
+    one = v.where("neuron_id = '0'")
+    return nblast.raw_scores(v, one).select("target_id", "query_id", *_r("raw"))
+
+
+def n9_matrix(spark, d) -> DataFrame:
+    return nblast.score_matrix(_vectors(spark, d)).select("target_id", "query_id", *_r("raw"))
+
+
+def n11_normalized(spark, d) -> DataFrame:
+    return nblast.normalized(nblast.score_matrix(_vectors(spark, d)), validate=True).select("target_id", "query_id", *_r("normalized", digits=6))
+
+
+def n12_mean(spark, d) -> DataFrame:
+    norm = nblast.normalized(nblast.score_matrix(_vectors(spark, d)))
+    return nblast.mean_scores(norm, validate=True).select("target_id", "query_id", *_r("mean", digits=6))
+
+
+def g1_region_graph(spark, d) -> DataFrame:
+    return seg.region_graph(derive.voxels(spark, d))
+
+
+def g2_neighbours(spark, d) -> DataFrame:
+    return seg.neighbours(seg.region_graph(derive.voxels(spark, d))).select("seg", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+def g4_dendrogram(spark, d) -> DataFrame:
+    return seg.with_steps(seg.build_dendrogram(derive.voxels(spark, d), MIN_MEAN)).select("step", "seg0", "seg1", *_r("affinity"))
+
+
+def g8_components(spark, d) -> DataFrame:
+    v = derive.voxels(spark, d)
+    roots = seg.segments(seg.build_dendrogram(v, MIN_MEAN), CUT)
+    return seg.labels(v).join(roots, "label", "left").select("label", F.coalesce("root", "label").alias("root"))
+
+
+def g9_merge_counts(spark, d) -> DataFrame:
+    v = derive.voxels(spark, d)
+    return seg.merge_counts(v, seg.build_dendrogram(v, MIN_MEAN), CUT)
+
+
+def g10_relabel(spark, d) -> DataFrame:
+    v = derive.voxels(spark, d)
+    return seg.segment(v, seg.build_dendrogram(v, MIN_MEAN), CUT).select("z", "y", "x", "label")
+
 
 def queries() -> dict:
-    return {}
+    own = globals()
+    names = [n for n in own if n[0] in "kgmns" and n[1:2].isdigit()]
+    return {n: own[n] for n in names}
