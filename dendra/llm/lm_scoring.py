@@ -37,11 +37,11 @@ ALPHA = 0.4
 #: Characters of text whose n-grams make one block; bounds memory.
 BLOCK_CHARS = 1 << 21
 #: Bytes of (compressed) input per hash partition.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 #: A plan's size from which it stands for "not known".
 UNKNOWN = 1 << 55
 #: Words whose hashes a worker remembers; it starts anew beyond that.
-WORDS = 1 << 20
+WORDS = 1 << 19
 #: Kinds of rows: packed words, packed bigrams, a block's documents, sums for a block, bigrams never counted.
 WORD, PAIR, DOCS, SUMS, UNSEEN = range(5)
 #: Roles of packed n-grams: they are counted, they are scored, or both.
@@ -219,7 +219,7 @@ def joined(grams: DataFrame, parts: int) -> DataFrame:
         if rows and (out := list(of_part(rows))):
             yield _batch(out, _SUM_NAMES, _SUM_KINDS)
 
-    return grams.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, SUM_ROWS)
+    return grams.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, SUM_ROWS)
 
 
 def summed(sums: DataFrame, log_alpha: float) -> DataFrame:
