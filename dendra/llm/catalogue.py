@@ -29,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_lm_scoring": sql.LM_SCORES,
         "op3_quality_rules": sql.QUALITY_RULES,
         "op6_exact_topk": sql.EXACT_TOP_K,
+        "op10_chat": sql.CHATS,
     }
