@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendra.plans.scratch import shared_folder
+
 #: Separators of words: space and the control characters 9 to 13, nothing else.
 SPACES = " \t\n\x0b\x0c\r"
 #: Prefix of helper columns, dropped before an operator returns.
@@ -17,13 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and where that is unset the
-    session's warehouse, which Spark also takes to be reachable from everywhere."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/dendra_scratch"
-
-
 _written: list[str] = []
 
 

