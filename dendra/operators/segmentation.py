@@ -5,6 +5,9 @@ Voxels: (z, y, x, label, aff_x, aff_y, aff_z); label 0 is background; an affinit
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,49 @@ def dendrogram(graph: DataFrame, min_threshold: float) -> DataFrame:
     return kept.select("seg0", "seg1", "affinity", "aff_sum")
 
 
+def greedy_merges(counts: dict[tuple[int, int], tuple[int, float]], min_threshold: float) -> list[tuple[int, int, float]]:
+    """Merges (kept, merged, mean) of one graph: always the edge with the largest mean, as merged so far; ties by segments."""
+    near: dict[int, dict[int, tuple[int, float]]] = {}
+    for (a, b), edge in counts.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = edge
+    heap = [(-s / n, a, b, n) for (a, b), (n, s) in counts.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        mean, a, b, n = heapq.heappop(heap)
+        edge = near.get(a, {}).get(b)
+        if edge is None or edge[0] != n or -edge[1] / n != mean:
+            continue  # the edge has changed since
+        if -mean < min_threshold:
+            break
+        out.append((a, b, -mean))
+        del near[a][b]
+        for c, (n, s) in near.pop(b).items():
+            if c == a:
+                continue
+            del near[c][b]
+            old = near[a].get(c, (0, 0.0))
+            near[a][c] = near[c][a] = joined = (old[0] + n, old[1] + s)
+            heapq.heappush(heap, (-joined[1] / joined[0], min(a, c), max(a, c), joined[0]))
+    return out
+
+
+def greedy_dendrogram(graph: DataFrame, min_threshold: float) -> DataFrame:
+    """(root, step, seg0, seg1, affinity): agglomeration that recomputes means as segments merge; seg0 is the one that stays.
+
+    Merges never leave a connected part of the graph, so each part is one task's work; its edges are held in memory.
+    """
+    parts = components(graph, "seg0", "seg1").select(F.col("node").alias("seg0"), "root")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = {(a, b): (n, s) for a, b, n, s in zip(pdf["seg0"].tolist(), pdf["seg1"].tolist(), pdf["n"].tolist(), pdf["aff_sum"].tolist())}
+        got = pd.DataFrame(greedy_merges(counts, min_threshold), columns=["seg0", "seg1", "affinity"])
+        return got.assign(root=pdf["root"].iloc[0], step=range(len(got)))[["root", "step", "seg0", "seg1", "affinity"]]
+
+    edges = graph.join(parts, "seg0").selectExpr("root", "seg0", "seg1", "n", "cast(aff_sum AS double) AS aff_sum")
+    return edges.groupBy("root").applyInPandas(run, "root long, step long, seg0 long, seg1 long, affinity double")
+
+
 def with_steps(dendro: DataFrame) -> DataFrame:
     """The edges numbered in order. Sorts all of them in one task: for reports."""
     order = Window.orderBy(F.desc("aff_sum"), "seg0", "seg1")

@@ -237,3 +237,32 @@ def test_components_equal_union_find(spark):
             parent[b] = a
         got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
         assert got == {i: root(i) for i in {x for e in edges if e[0] != e[1] for x in e}}
+
+
+def plain_greedy(edges, least):
+    edges, out = {k: list(v) for k, v in edges.items()}, []
+    while edges:
+        (a, b), (n, s) = min(edges.items(), key=lambda e: (-e[1][1] / e[1][0], e[0]))
+        if s / n < least:
+            break
+        out.append((a, b))
+        del edges[a, b]
+        for k in [k for k in edges if b in k]:
+            m, t = edges.pop(k)
+            c = k[0] if k[1] == b else k[1]
+            e = edges.setdefault((min(a, c), max(a, c)), [0, 0.0])
+            e[0] += m
+            e[1] += t
+    return out
+
+
+def test_greedy_merges(spark):
+    for _ in range(40):
+        edges = {}
+        for a, b in R.integers(0, 12, (25, 2)).tolist():
+            if a != b:
+                edges[min(a, b), max(a, b)] = (int(R.integers(1, 9)), float(R.integers(1, 200)))
+        assert [m[:2] for m in seg.greedy_merges(edges, 10.0)] == plain_greedy(edges, 10.0)
+    graph = spark.createDataFrame([(1, 2, 2, 1.8), (2, 3, 1, 0.8), (1, 3, 4, 0.4), (7, 8, 1, 0.9)], "seg0 long, seg1 long, n long, aff_sum double")
+    got = {(r["root"], r["step"]): (r["seg0"], r["seg1"], round(r["affinity"], 6)) for r in seg.greedy_dendrogram(graph, 0.2).collect()}
+    assert got == {(1, 0): (1, 2, 0.9), (1, 1): (1, 3, 0.24), (7, 0): (7, 8, 0.9)}
