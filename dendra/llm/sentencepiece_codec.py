@@ -5,7 +5,7 @@ scores and the byte fallback of a ``tokenizers`` tokenizer. Unigram models keep
 rebuilt from the pieces: every split of a piece into two pieces, by falling score.
 
 Where no piece holds a marker behind another character, a text may be cut in front of each run of markers without
-changing its pieces; then the tokenizer splits there and its word cache works.
+changing its pieces; then the tokenizer splits there, and each distinct word is encoded once per worker.
 
 Parity: with ``check=True`` (the default) a worker compares its tokenizer with the sentencepiece library on PROBES before its
 first batch and raises if any ids differ.
@@ -23,7 +23,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,8 +35,12 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Characters encoded at once.
-BATCH_CHARS = 1 << 20
+#: Threads that a worker spreads a batch over; as many tasks run beside it, so more threads than this only wait for cores.
+THREADS = 2
+#: Pieces of text whose ids a worker remembers; it starts anew beyond that.
+WORDS = 1 << 19
+#: Bytes of text encoded at once.
+BATCH_CHARS = 1 << 18
 PROBES = [
     "", " ", "  ", "a", " a", "a ", "Hello world", "Hello  world", "a   b    c", "tab\there\nline\r\n", "café naïve über", "日本語 中文",
     "\U0001f600 emoji ‍ x", "1234567890 3.14", "</s> <s> <unk> <0x0A>", "MixedCASE under_score kebab-case", "x" * 50, " " * 20 + "y", "▁marker", "\u0000nul", "tionst thereaing,\nPUNCT!!! ($#@)",
@@ -137,28 +143,81 @@ def splits_at_marks(m: Model) -> bool:
 
 
 class Codec:
+    """Encodes and decodes with the rebuilt tokenizer.
+
+    Where pieces allow it (see ``splits_at_marks``) and the model only turns spaces into markers, a text is cut in front of
+    spaces and line feeds, and each distinct piece of text is encoded once per worker: new ones are strung together, and
+    the tokens that begin with the marker (or are the line feed's) mark the cuts again. Other texts are encoded whole.
+    """
+
     def __init__(self, path: str | None = None, check: bool = True):
         import public_tokenizers
+        from tokenizers import normalizers
 
         path = path or public_tokenizers.path(MODEL)
-        self.tokenizer = build(parse_model(Path(path).read_bytes()))
+        m = parse_model(Path(path).read_bytes())
+        self.tokenizer = build(m)
+        self.known: dict[str, bytes] = {}
+        plain = not m.charsmap and not m.squeeze_spaces and m.dummy_prefix and m.escape_spaces and m.byte_fallback
+        self.by_word = plain and splits_at_marks(m) and not any("\n" in p for p, _, _ in m.pieces)
+        if self.by_word:
+            self.bare = build(m)
+            self.bare.normalizer = normalizers.Sequence([])  # markers are set here
+            line_feed = next(i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE and p == "<0x0A>")
+            self.starts = {MARK: np.array([p.startswith(MARK) for p, _, _ in m.pieces]), "\n": np.arange(len(m.pieces)) == line_feed}
+        #: What each id decodes to, the byte pieces to their byte.
+        self.bytes = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
+        self.prefix = m.dummy_prefix
         if check:
             self.verify(path)
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what is new goes to the tokenizer as one batch, spread over its threads."""
+        short = [self.by_word and bool(t) and t[0] != " " and "  " not in t and MARK not in t for t in texts]
+        pieces = [t.replace("\n", " \n").split(" ") for t, ok in zip(texts, short) if ok]
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
+        self.learn(set().union(*pieces) - known.keys())
+        quick = iter([np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in pieces])
+        whole = self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, short) if not ok], add_special_tokens=False)
+        slow = iter([np.array(e.ids, np.int32) for e in whole])
+        return [next(quick if ok else slow) for ok in short]
+
+    def learn(self, new: set[str]) -> None:
+        for sep, own in ((MARK, [p for p in new if p[:1] != "\n"]), ("\n", [p for p in new if p[:1] == "\n"])):
+            cut = -(-len(own) // THREADS) or 1
+            groups = [own[i : i + cut] for i in range(0, len(own), cut)]
+            coded = self.bare.encode_batch_fast(["".join([sep + p.removeprefix("\n") for p in g]) for g in groups], add_special_tokens=False) if own else []
+            for group, e in zip(groups, coded):
+                ids = np.array(e.ids, np.int32)
+                cuts = np.flatnonzero(self.starts[sep][ids])
+                if len(cuts) != len(group):
+                    raise ValueError("a piece reaches over a marker")
+                data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                for p, a, b in zip(group, at, at[1:]):
+                    self.known[p] = data[a:b]
+
     def verify(self, path: str) -> None:
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_file=path)
         for probe in PROBES:
-            if (a := own.encode(probe)) != (b := self.encode([probe])[0]):
+            if (a := own.encode(probe)) != (b := self.encode([probe])[0].tolist()):
                 raise ValueError(f"ids differ from the sentencepiece library's on {probe!r}: {a} and {b}")
+            if (x := own.decode(a)) != (y := self.decode([np.array(a, np.int32)])[0]) or y != self.tokenizer.decode(a, skip_special_tokens=False):
+                raise ValueError(f"texts differ from the sentencepiece library's on {probe!r}: {x!r} and {y!r}")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; the batch is spread over the tokenizer's threads."""
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Texts of ids. Bytes that are no UTF-8 are left to the tokenizer's decoder."""
+        out = []
+        for x in ids:
+            try:
+                text = b"".join(map(self.bytes.__getitem__, x.tolist())).decode()
+                out.append(text[1:] if self.prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x.tolist(), skip_special_tokens=False))
+        return out
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -166,6 +225,7 @@ _codecs: dict[tuple, Codec] = {}
 
 def codec(path: str | None, check: bool) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read once, at the first batch
     if (path, check) not in _codecs:
         _codecs[path, check] = Codec(path, check)
     return _codecs[path, check]
@@ -191,13 +251,17 @@ def encode(docs: DataFrame, text: str = "text", model_path: str | None = None, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path, check)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in _slices(batch, [len(t or "") for t in texts]):
-                own = [i for i in range(a, b) if texts[i] is not None]
-                ids: list = [None] * (b - a)
-                for i, x in zip(own, c.encode([texts[i] for i in own])):
-                    ids[i - a] = x
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "piece_ids"])
+            column = batch.column(batch.schema.get_field_index(text))
+            for a, b in _slices(batch, [n or 0 for n in pc.binary_length(column).to_pylist()]):
+                texts = column.slice(a, b - a).to_pylist()
+                own = [i for i, t in enumerate(texts) if t is not None]
+                coded = c.encode([texts[i] for i in own])
+                sizes = np.zeros(b - a, np.int64)
+                sizes[own] = [len(x) for x in coded]
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                gone = pa.array([t is None for t in texts])
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *coded])), mask=gone)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, "piece_ids"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
@@ -210,12 +274,14 @@ def decode(encoded: DataFrame, ids: str = "piece_ids", model_path: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path, check)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            for a, b in _slices(batch, [3 * len(x or []) for x in lists]):
-                own = [i for i in range(a, b) if lists[i] is not None]
+            column = batch.column(batch.schema.get_field_index(ids))
+            for a, b in _slices(batch, [3 * (n or 0) for n in column.value_lengths().to_pylist()]):
+                part = column.slice(a, b - a)
+                there, at, flat = part.is_valid().to_pylist(), part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
+                own = [i for i, ok in enumerate(there) if ok]
                 texts: list = [None] * (b - a)
-                for i, t in zip(own, c.decode([lists[i] for i in own])):
-                    texts[i - a] = t
+                for i, t in zip(own, c.decode([flat[at[i] : at[i + 1]] for i in own])):
+                    texts[i] = t
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

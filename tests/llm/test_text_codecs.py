@@ -65,6 +65,18 @@ def test_packing_query(spark, sf_dir):
     check_pieces([r.asDict() for r in queries.packed(spark, sf_dir).collect()], expected_ids(texts))
 
 
+def test_encoder_equals_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 40)
+    t, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    bits = ["a", "the", "Thing", "'s", "don't", "12", "!", "...", "é", "日本", "\U0001f600", "x-y", "<|endoftext|>", "\u0120", "\u010a"]
+    spaces = [" ", " ", " ", "\n", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\xa0", "\u2028", "\x1c", "\x0b", "   "]
+    texts = ["", " ", "\n", " a", "a ", "a\n", "\na", "a b\nc"]
+    for p in (0.9, 0.5):
+        texts += ["".join(random.choice(bits) + (random.choice(spaces[:5]) if random.random() < p else random.choice(spaces)) for _ in range(random.randint(1, 9))) + random.choice(bits) for _ in range(2000)]
+    for x in texts:
+        assert np.frombuffer(e(x), np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 @pytest.mark.parametrize("length", [1024, 16, 1])
 def test_packing_cases(spark, length):
     texts = dict(enumerate([*ODD[:8], *ODD[10:]] + ["copy of one text"] * 30))
@@ -176,10 +188,17 @@ def own():
 def test_parity_with_the_library(own, spark, sf_dir):
     c = sentencepiece_codec.Codec()
     texts = [r["text"] for r in table(spark, sf_dir, "documents").collect()] + [t for t in ODD if t is not None and "\x00" not in t]
-    bits = [" ", "  ", " " * 17, "a", "the", "er", "\n", "é", "日", ".", "1", "T", "ion", "▁", "\t"]
+    bits = [" ", " ", " ", "  ", " " * 17, "a", "\n ", " \n", "\n\n", "\u2028", "x<s>", "the", "er", "\n", "é", "日", ".", "1", "T", "ion", "▁", "\t"]
     texts += ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(3000)]
-    assert c.encode(texts) == own.encode(texts)
-    assert c.decode(c.encode(texts)) == [t.replace("▁", " ") for t in texts]
+    coded = [x.tolist() for x in c.encode(texts)]
+    assert c.by_word and coded == own.encode(texts)
+    assert c.decode([np.array(x, np.int32) for x in coded]) == [t.replace("▁", " ") for t in texts]
+
+
+def test_broken_bytes_are_decoded(own):
+    c = sentencepiece_codec.Codec()
+    for ids in ([3 + 0xE9, 3 + 0x41], [3 + 0xFF] * 3, []):
+        assert c.decode([np.array(ids, np.int32)])[0] == c.tokenizer.decode(ids)
 
 
 def test_codec_over_a_table(spark, own):
