@@ -31,7 +31,7 @@ DIMS = 3
 BITS = 10
 SPECIAL = "<|endoftext|>"
 #: Words whose ids a worker remembers; it starts anew beyond that.
-WORDS = 1 << 19
+WORDS = 1 << 18
 #: Texts per batch that a worker is handed.
 TEXT_ROWS = 500
 #: Documents' characters encoded before a batch is handed on.
@@ -135,14 +135,14 @@ def encoder(path: str | None) -> Encoder:
 
 
 def tokenized(docs: DataFrame, id_col: str, text: str, tokenizer_path: str | None) -> DataFrame:
-    """(id, ids as 16-bit numbers with the end token, key) per row."""
+    """(id, ids as 16-bit numbers with the end token, key, number of ids) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, (bucket, signs) = encoder(tokenizer_path), _signs(DIMS)
         end = array.array("H", [END]).tobytes()
 
         def flush(own, tokens, points):
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(tokens, pa.binary()), pa.array(curve_keys(points))], names=["id", "tokens", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(tokens, pa.binary()), pa.array(curve_keys(points)), pa.array([len(x) // 2 for x in tokens])], names=["id", "tokens", "key", "n"])
 
         for batch in batches:
             own, tokens, points, chars = [], [], [], 0
@@ -159,7 +159,7 @@ def tokenized(docs: DataFrame, id_col: str, text: str, tokenizer_path: str | Non
             if own:
                 yield flush(own, tokens, points)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, tokens binary, key long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, tokens binary, key long, n long")
 
 
 def cuts(at: int, n: int, length: int) -> Iterator[tuple[int, int]]:
@@ -175,7 +175,7 @@ def tail_sizes(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, tokenizer_path: str | None = None, range_bytes: int = 16 << 20) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, tokenizer_path: str | None = None, range_bytes: int = 8 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, sequence_tokens. ``length`` must be a power of two.
 
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
         raise ValueError("length must be a power of two")
     rid = HIDDEN + "rid"
     rows = written(with_row_id(tokenized(docs, id_col, text, tokenizer_path), rid), "tokens", arrow_rows=TEXT_ROWS)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("b")).first()["b"]
+    total = 2 * rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # reads the counts alone
     ranges = max(1, -(-total // range_bytes))
     dealt = rows.repartitionByRange(ranges, "key", rid).sortWithinPartitions("key", rid).withColumn("part", F.spark_partition_id())
 
