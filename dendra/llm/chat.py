@@ -13,28 +13,30 @@ its first character, so a rendered text holds no control string and the escape c
 Control strings are added to the tokenizer as tokens of their own, so no token reaches over a turn's edge.
 
 Defined cases: rows of a conversation are ordered by turn, then role, then text (null first), so ties and
-repeated rows have one result; a null text or role is empty; rows with a null conversation id form one
-conversation with that id; an empty table gives an empty result. One conversation is held at a time.
+repeated rows have one result; a null text or role is empty; each row with a null conversation id is a
+conversation of its own, so any number of them spreads over the tasks; an empty table gives an empty result. Other columns,
+whatever their names, are ignored. Very long texts are encoded whole. One conversation is held at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from dendra.llm.common import need
+from dendra.llm import byte_bpe
+from dendra.llm.common import HIDDEN, need, whole_ids
 
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]"]
 _CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
 _TO_ESCAPE = re.compile(r"\\|" + _CONTROL.pattern)
 _ESCAPED = re.compile(r"\\(.)", re.S)
-TOKENIZER = "byte_bpe_50k.json"
 LEARNED_ROLES = ("assistant",)
 _EDGES = {"user": ("[INST]", "[/INST]"), "assistant": ("", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 OUT = "conv_id long, formatted string, token_ids array<int>, loss_spans array<struct<start:int,end:int>>, loss_mask array<boolean>"
@@ -96,51 +98,24 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def loss_tokens(spans: list[tuple[int, int, str]], offsets: list[tuple[int, int]], learned: tuple[str, ...] = LEARNED_ROLES) -> tuple[list[bool], list[tuple[int, int]]]:
-    """A flag per token, and the characters under the flagged tokens, cut to their turn.
+def loss_tokens(spans: list[tuple[int, int, str]], starts: np.ndarray, ends: np.ndarray, learned: tuple[str, ...] = LEARNED_ROLES) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A flag per token, and per learned turn the characters under its flagged tokens, cut to the turn.
 
-    Both lists are sorted, so the tokens of a turn are a run whose ends two binary searches find. Several tokens may
-    share a character (a character of several bytes); the returned spans cover each character once.
+    starts, ends: of the tokens, each sorted. The tokens of a turn are a run whose ends two binary searches find. What a tokenizer
+    drops between two tokens of the run (white space, with some) counts as under them.
     """
-    mask = [False] * len(offsets)
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    covered: list[tuple[int, int]] = []
-    for a, b, role in spans:
-        if role not in learned or a == b:
-            continue
-        i, j = bisect_right(ends, a), bisect_left(starts, b)
-        at = a
-        for k in range(i, j):
-            mask[k] = True
-            s, e = max(at, starts[k]), min(b, ends[k])
-            if s < e:
-                covered.append((s, e))
-                at = e
-    merged: list[tuple[int, int]] = []
-    edges = {a for a, _, _ in spans}
-    for s, e in covered:
-        if merged and merged[-1][1] == s and s not in edges:
-            merged[-1] = (merged[-1][0], e)
-        else:
-            merged.append((s, e))
-    return mask, merged
-
-
-_tokenizers: dict[str, object] = {}
-
-
-def tokenizer(path: str | None):
-    """The tokenizer of ``path`` with the control strings as tokens; kept for the worker's life."""
-    import public_tokenizers
-    from tokenizers import AddedToken, Tokenizer, processors
-
-    path = path or public_tokenizers.path(TOKENIZER)
-    if path not in _tokenizers:
-        t = Tokenizer.from_file(path)
-        t.post_processor = processors.ByteLevel(trim_offsets=False)  # else a token's leading space has no offset
-        t.add_special_tokens([AddedToken(c, normalized=False) for c in CONTROLS])
-        _tokenizers[path] = t
-    return _tokenizers[path]
+    mask = np.zeros(len(starts), bool)
+    own = [(a, b) for a, b, role in spans if role in learned and a < b]
+    if not own:
+        return mask, []
+    first = np.searchsorted(ends, [a for a, _ in own], "right").tolist()
+    last = np.searchsorted(starts, [b for _, b in own], "left").tolist()
+    covered = []
+    for (a, b), i, j in zip(own, first, last):
+        if i < j:
+            mask[i:j] = True
+            covered.append((max(a, int(starts[i])), min(b, int(ends[j - 1]))))
+    return mask, covered
 
 
 def turns_digest(turns: list[tuple[str, str]]) -> str:
@@ -150,9 +125,8 @@ def turns_digest(turns: list[tuple[str, str]]) -> str:
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
     now, turns, any_ = None, [], False
     for batch in batches:
-        conv, _, role, text = (c.to_pylist() for c in batch.columns)
-        for c, r, t in zip(conv, role, text):
-            if any_ and c != now:
+        for c, r, t in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
+            if any_ and (c != now or c is None):
                 yield now, turns
                 turns = []
             now, any_ = c, True
@@ -165,32 +139,44 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
 BATCH_CHARS = 1 << 20
 
 
+def _lists(values: list, kind: pa.DataType) -> pa.Array:
+    """A list column of ``values`` (arrays or lists), made of one buffer."""
+    ends = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if len(values) else [], kind))
+
+
 def format_chats(conversations: DataFrame, tokenizer_path: str | None = None, learned: tuple[str, ...] = LEARNED_ROLES) -> DataFrame:
     """One row per conversation: the rendered text, its token ids, a loss flag per token and the loss characters' spans.
 
     Needs conv_id, turn, role and text; other columns are ignored. One shuffle, by conversation.
     """
     need(conversations, "conv_id", "turn", "role", "text")
-    rows = conversations.select("conv_id", "turn", "role", "text")
-    rows = rows.selectExpr("cast(conv_id AS long) AS conv_id", "turn", "cast(role AS string) AS role", "cast(text AS string) AS text")
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    whole_ids(conversations, "conv_id")
+    lone = HIDDEN + "lone"
+    rows = conversations.select("conv_id", "turn", "role", "text", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias(lone))
+    rows = rows.selectExpr("cast(conv_id AS long) AS conv_id", "turn", "cast(role AS string) AS role", "cast(text AS string) AS text", lone)
+    rows = rows.repartition("conv_id", lone).sortWithinPartitions("conv_id", "turn", "role", "text").drop(lone)
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         ids, texts, tokens, spans, masks = zip(*rows)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        edges = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
+        sides = pa.StructArray.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["start", "end"])
+        ends = np.zeros(len(spans) + 1, np.int32)
+        np.cumsum([len(s) for s in spans], out=ends[1:])
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(tokens, pa.list_(pa.int32())), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(masks, pa.list_(pa.bool_()))],
+            [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), _lists(tokens, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), sides), _lists(masks, pa.bool_())],
             names=["conv_id", "formatted", "token_ids", "loss_spans", "loss_mask"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
+        bpe = byte_bpe.load(tokenizer_path, tuple(CONTROLS))
         out, chars = [], 0
         for conv, turns in _conversations(batches):
             done = render(turns)
-            code = tok.encode(done.text, add_special_tokens=False)
-            mask, spans = loss_tokens(done.spans, code.offsets, learned)
-            out.append((conv, done.text, code.ids, spans, mask))
+            ids, starts, ends = bpe.spans(done.text)
+            mask, spans = loss_tokens(done.spans, starts, ends, learned)
+            out.append((conv, done.text, ids.astype(np.int32), spans, mask))
             chars += len(done.text)
             if chars >= BATCH_CHARS:
                 yield flush(out)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dendra.plans.scratch import shared_folder
+from dendra.plans.scratch import held, release, shared_folder, written  # noqa: F401  the operators take them from here
 
 #: Separators of words: space and the control characters 9 to 13, nothing else.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,47 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: list[str] = []
-
-
-#: Bytes of a row group in written tables, so that a writer holds little.
-ROW_GROUP = 16 << 20
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def written(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors,
-    and makes a value computed once stay the same in every later scan.
-
-    arrow_rows: rows per batch that Python functions in ``df`` get while it is written (whole texts are large rows).
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/dendra-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_ROWS)
-    if arrow_rows:
-        spark.conf.set(ARROW_ROWS, str(arrow_rows))
-    try:
-        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what ``written`` has left; call it once the results that read it are stored."""
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
+def whole_ids(df: DataFrame, column: str) -> None:
+    """Raises where ids are not whole numbers: casting others would turn them into nulls."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise ValueError(f"{column} must hold whole numbers, not {kind.simpleString()}")
+
+
 def without(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` without columns that an operator is about to add; the operator's own values win."""
     return df.drop(*[c for c in columns if c in df.columns])

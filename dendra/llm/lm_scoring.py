@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dendra.llm.common import need, written
+from dendra.llm.common import need, whole_ids, written
 
 ALPHA = 0.4
 #: Characters of text whose n-grams make one block; bounds memory.
@@ -282,6 +282,7 @@ def parts_for(df: DataFrame, text: str) -> int:
 def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """(id_col, n_words, n_backed_off, log_prob, lm_score) for every row of ``docs``, by the counts of ``corpus`` (its own if None)."""
     need(docs, id_col, text)
+    whole_ids(docs, id_col)
     own = corpus is None
     parts = parts_for((docs if own else corpus).select(text), text)
     grams = exploded(docs, id_col, text, parts, COUNTED | SCORED if own else SCORED)

@@ -8,12 +8,12 @@ powers of two, which need no padding.
 
 Defined cases: a null text counts as empty; an empty text is its end token alone. Repeated rows are packed
 each. Ties on the curve are split by row number, so copies spread over ranges and no range is larger for them.
-An empty table gives an empty result. A document longer than a sequence is cut; each id lies in one piece.
+An empty table gives an empty result. A document longer than a sequence is cut; each id lies in one piece. Other columns than
+id and text, whatever their names, are ignored; ids that aren't whole numbers are an error.
 """
 
 from __future__ import annotations
 
-import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dendra.llm.common import HIDDEN, need, with_row_id, written
+from dendra.llm import byte_bpe
+from dendra.llm.common import HIDDEN, need, whole_ids, with_row_id, written
 
 LENGTH = 1024
 END = 0
-TOKENIZER = "byte_bpe_50k.json"
 BUCKETS = 512
 DIMS = 3
 BITS = 10
-SPECIAL = "<|endoftext|>"
-#: Words whose ids a worker remembers; it starts anew beyond that.
-WORDS = 1 << 18
+#: Bits of the key that tell the cells whose tokens are counted on the driver (at most 2 to this power).
+CELL_BITS = 18
+#: Bytes of tokens in a range; less where the input would give fewer ranges than tasks.
+RANGE_BYTES = 512 << 20
+LEAST_RANGE_BYTES = 8 << 20
 #: Texts per batch that a worker is handed.
 TEXT_ROWS = 500
 #: Documents' characters encoded before a batch is handed on.
@@ -66,102 +68,66 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _signs(dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket per hashed token id and a fixed random projection of the buckets."""
-    ids = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    signs = np.random.Generator(np.random.PCG64(7)).choice([-1.0, 1.0], size=(BUCKETS, dims))
-    return (ids >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), signs
+def bucket_of(ids: np.ndarray) -> np.ndarray:
+    """A bucket per token id, by multiplicative hashing."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def curve_point(ids: np.ndarray, bucket: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """One document's hashed counts, projected; about standard normal in each dimension."""
-    v = np.sqrt(np.bincount(bucket[ids], minlength=BUCKETS))
-    v -= v.mean()
-    return v @ signs / max(float(np.sqrt(v @ v)), 1e-9)
+def curve_points(tokens: list[np.ndarray]) -> np.ndarray:
+    """The documents' hashed counts, projected by fixed random signs; about standard normal in each dimension."""
+    signs = np.random.Generator(np.random.PCG64(7)).choice([-1.0, 1.0], size=(BUCKETS, DIMS))
+    of = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    v = np.sqrt(np.bincount(of * BUCKETS + bucket_of(np.concatenate(tokens)), minlength=len(tokens) * BUCKETS)).reshape(-1, BUCKETS)
+    v -= v.mean(axis=1, keepdims=True)
+    return v @ signs / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def curve_keys(points: list[np.ndarray]) -> np.ndarray:
+def curve_keys(points: np.ndarray) -> np.ndarray:
     """Hilbert keys of the points' cells; points beyond four deviations lie in the outermost cells."""
-    cells = np.clip((np.array(points) + 4) * (1 << BITS) / 8, 0, (1 << BITS) - 1)
+    cells = np.clip((points + 4) * (1 << BITS) / 8, 0, (1 << BITS) - 1)
     return hilbert_key(cells.astype(np.int64), BITS)
 
 
-class Encoder:
-    """Ids as the tokenizer gives them. Its pre-tokenizer splits a text into words whose ids don't depend on their
-    surroundings, so the ids of words seen before are looked up, and only new words are encoded."""
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as 16-bit numbers in the machine's order."""
-        if SPECIAL in text:
-            return self.encode([text])[0]
-        words = self.words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            known = self.known
-            if len(known) > WORDS:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, ids in zip(new, self.encode(new)):
-                known[w] = ids
-            return b"".join(map(known.__getitem__, words))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array.array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str | None) -> Encoder:
-    import os
-
-    import public_tokenizers
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core; Spark runs the others
-    path = path or public_tokenizers.path(TOKENIZER)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def tokenized(docs: DataFrame, id_col: str, text: str, tokenizer_path: str | None) -> DataFrame:
-    """(id, ids as 16-bit numbers with the end token, key, number of ids) per row."""
+    """(id, ids with the end token in the tokenizer's width, key, number of ids) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (bucket, signs) = encoder(tokenizer_path), _signs(DIMS)
-        end = array.array("H", [END]).tobytes()
+        bpe = byte_bpe.load(tokenizer_path)
+        end = np.array([END], bpe.width)
 
-        def flush(own, tokens, points):
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(tokens, pa.binary()), pa.array(curve_keys(points)), pa.array([len(x) // 2 for x in tokens])], names=["id", "tokens", "key", "n"])
+        def flush(own, tokens):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.int64()), pa.array([x.tobytes() for x in tokens], pa.binary()), pa.array(curve_keys(curve_points(tokens))), pa.array([len(x) for x in tokens], pa.int64())],
+                names=["id", "tokens", "key", "n"],
+            )
 
         for batch in batches:
-            own, tokens, points, chars = [], [], [], 0
+            own, tokens, chars = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = t.as_py() or ""
-                ids = encode(t) + end
                 own.append(i)
-                tokens.append(ids)
-                points.append(curve_point(np.frombuffer(ids, np.uint16), bucket, signs))
+                tokens.append(np.concatenate([bpe.ids(t), end]))
                 chars += len(t)
                 if chars > BATCH_CHARS:
-                    yield flush(own, tokens, points)
-                    own, tokens, points, chars = [], [], [], 0
+                    yield flush(own, tokens)
+                    own, tokens, chars = [], [], 0
             if own:
-                yield flush(own, tokens, points)
+                yield flush(own, tokens)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(run, "id long, tokens binary, key long, n long")
 
 
+def ranges_of(cells: list[tuple[int, int]], ranges: int) -> list[tuple[int, int, int]]:
+    """(cell, first range, ranges that it spans) for cells (number, tokens) in the curve's order, dealt into ``ranges`` ranges of
+    about equal tokens. A cell with more than a range's tokens spans several."""
+    total, at, out = max(1, sum(n for _, n in cells)), 0, []
+    for cell, n in cells:
+        first, last = at * ranges // total, max(at, at + n - 1) * ranges // total
+        out.append((cell, first, last - first + 1))
+        at += n
+    return out
+
+
 def cuts(at: int, n: int, length: int) -> Iterator[tuple[int, int]]:
     """(offset in its sequence, tokens) of the pieces of n tokens that begin at position ``at`` of a stream."""
     while n:
@@ -175,20 +141,35 @@ def tail_sizes(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, tokenizer_path: str | None = None, range_bytes: int = 8 << 20) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, tokenizer_path: str | None = None, range_bytes: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset, sequence_tokens. ``length`` must be a power of two.
 
-    Tokens are written to the shared folder once (2 bytes each) and dealt into ranges of about ``range_bytes``.
+    Tokens are written to the shared folder once (2 bytes each, 4 with a vocabulary over 65536) and dealt into ranges of about
+    ``range_bytes``, by a count of tokens per cell of the curve; a range is streamed, so its size doesn't bind memory.
     """
     need(docs, id_col, text)
+    whole_ids(docs, id_col)
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    rid = HIDDEN + "rid"
+    rid, cell = HIDDEN + "rid", HIDDEN + "cell"
     rows = written(with_row_id(tokenized(docs, id_col, text, tokenizer_path), rid), "tokens", arrow_rows=TEXT_ROWS)
-    total = 2 * rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # reads the counts alone
+    at = F.shiftright("key", DIMS * BITS - CELL_BITS)
+    cells = sorted((r["cell"], r["n"]) for r in rows.groupBy(at.alias("cell")).agg(F.sum("n").alias("n")).collect())  # reads keys and counts alone
+    width = byte_bpe.load(tokenizer_path).width
+    total, tasks = width.itemsize * sum(n for _, n in cells), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if range_bytes is None:
+        range_bytes = min(RANGE_BYTES, max(LEAST_RANGE_BYTES, total // max(1, tasks)))
     ranges = max(1, -(-total // range_bytes))
-    dealt = rows.repartitionByRange(ranges, "key", rid).sortWithinPartitions("key", rid).withColumn("part", F.spark_partition_id())
+    place = docs.sparkSession.createDataFrame(ranges_of(cells, ranges), f"{cell} long, {cell}_first long, {cell}_span long")
+    dealt = (
+        rows.withColumn(cell, at.cast("long"))
+        .join(F.broadcast(place), cell)  # 2 to the power CELL_BITS rows at most
+        .withColumn("part", (F.col(cell + "_first") + F.pmod(F.xxhash64(rid), F.col(cell + "_span"))).cast("int"))
+        .select("id", "tokens", "key", rid, "part")
+        .repartitionById(ranges, F.col("part"))
+        .sortWithinPartitions("key", rid)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens"]
@@ -203,7 +184,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
         for batch in batches:
             part = batch.column(4)[0].as_py()
             for own, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(tokens.as_buffer(), np.uint16).astype("<u4")
+                ids = np.frombuffer(tokens.as_buffer(), width).astype("<u4")
                 start = 0
                 for offset, n in cuts(at, len(ids), length):
                     open_.append((own, start, n, ids[start : start + n].tobytes(), len(ids), offset))
@@ -230,4 +211,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: in
             yield flush(out)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
-    return dealt.select("id", "tokens", "key", rid, "part").mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)

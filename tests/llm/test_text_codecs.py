@@ -13,7 +13,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import brute
-from dendra.llm import chat, lm_scoring, packing, queries, sentencepiece_codec, url_filter
+from dendra.llm import byte_bpe, chat, lm_scoring, packing, queries, sentencepiece_codec, url_filter
 from dendra.llm.common import table
 
 random.seed(11)
@@ -65,16 +65,65 @@ def test_packing_query(spark, sf_dir):
     check_pieces([r.asDict() for r in queries.packed(spark, sf_dir).collect()], expected_ids(texts))
 
 
-def test_encoder_equals_the_tokenizer(monkeypatch):
-    monkeypatch.setattr(packing, "WORDS", 40)
-    t, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+def test_encoder_equals_the_tokenizer():
+    t, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), byte_bpe.load()
+    assert e.fast is not None
     bits = ["a", "the", "Thing", "'s", "don't", "12", "!", "...", "é", "日本", "\U0001f600", "x-y", "<|endoftext|>", "\u0120", "\u010a"]
     spaces = [" ", " ", " ", "\n", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\xa0", "\u2028", "\x1c", "\x0b", "   "]
     texts = ["", " ", "\n", " a", "a ", "a\n", "\na", "a b\nc"]
     for p in (0.9, 0.5):
         texts += ["".join(random.choice(bits) + (random.choice(spaces[:5]) if random.random() < p else random.choice(spaces)) for _ in range(random.randint(1, 9))) + random.choice(bits) for _ in range(2000)]
     for x in texts:
-        assert np.frombuffer(e(x), np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids, x
+        assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_encoder_over_all_code_points():
+    t, e = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), byte_bpe.load()
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000)]]
+    for between in ("", "a", "1 "):
+        for i in range(0, len(points), 4096):
+            x = between.join(points[i : i + 4096])
+            assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids, (between, i)
+
+
+def test_encoder_offsets_and_long_runs():
+    t, controls = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tuple(chat.CONTROLS)
+    e = byte_bpe.load(None, controls)
+    texts = [x for x in ODD if x] + ["<s>[INST] é日本 \n\n x[/INST] ok</s>", " " * 300_000 + "a", "a" * 300_000, "\n" * 300_000]
+    for x in texts:
+        ids, starts, ends = e.spans(x)
+        code = e.tokenizer.encode(x, add_special_tokens=False)
+        assert ids.tolist() == code.ids and list(zip(starts.tolist(), ends.tolist())) == code.offsets, x[:50]
+        assert byte_bpe.load().ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_encoder_of_another_kind_of_tokenizer(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), byte_bpe.load(path)
+    texts = ["cafe\u0301 ole", "can'T stop 'S", "A  b", "", None, "日本"]
+    assert e.fast is None and e.ids("can'T stop 'S").tolist() == t.encode("can'T stop 'S", add_special_tokens=False).ids
+    rows = packing.pack(docs(spark, texts), tokenizer_path=path).collect()
+    check_pieces([r.asDict() for r in rows], {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)})
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    df = spark.createDataFrame([("x1", "a", 0, "user")], "doc_id string, text string, turn int, role string")
+    with pytest.raises(ValueError, match="doc_id"):
+        packing.pack(df)
+    with pytest.raises(ValueError, match="doc_id"):
+        lm_scoring.score(df)
+    with pytest.raises(ValueError, match="conv_id"):
+        chat.format_chats(df.withColumnRenamed("doc_id", "conv_id"))
+
+
+def test_ranges_follow_the_tokens():
+    for cells, ranges in (([(3, 10), (7, 1000), (8, 5)], 10), ([(0, 1)], 4), ([(i, i % 7) for i in range(500)], 16), ([(0, 0), (1, 8)], 3)):
+        load = defaultdict(float)
+        for (cell, n), (same, first, span) in zip(cells, packing.ranges_of(cells, ranges)):
+            assert cell == same and 0 <= first and first + span <= ranges and span > 0
+            for r in range(first, first + span):
+                load[r] += n / span
+        assert max(load.values()) <= 2 * sum(n for _, n in cells) / ranges + max(1, *(n for _, n in cells if n * ranges < sum(n for _, n in cells)), 0)
 
 
 @pytest.mark.parametrize("length", [1024, 16, 1])
@@ -139,9 +188,9 @@ def test_loss_tokens_by_binary_search():
         offsets = list(zip(cuts, cuts[1:]))
         ends = sorted(random.sample(range(60), 6))
         spans = [(a, b, random.choice(["assistant", "user"])) for a, b in zip(ends[::2], ends[1::2])]
-        mask, covered = chat.loss_tokens(spans, offsets)
+        mask, covered = chat.loss_tokens(spans, np.array(cuts[:-1]), np.array(cuts[1:]))
         own = [(a, b) for a, b, r in spans if r == "assistant"]
-        assert mask == [any(s < b and e > a for a, b in own) for s, e in offsets]
+        assert mask.tolist() == [any(s < b and e > a for a, b in own) for s, e in offsets]
         want = {c for a, b in own for c in range(a, b) if cuts[0] <= c < cuts[-1]}
         assert sorted(c for a, b in covered for c in range(a, b)) == sorted(want)
 
@@ -177,6 +226,12 @@ def test_chat_cases(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.range(3000).selectExpr("cast(null AS long) AS conv_id", "1 AS turn", "'user' AS role", "'x' AS text")
+    out = chat.read_back(chat.format_chats(df))
+    assert out.count() == 3000 and out.where("conv_id IS NULL AND n_turns = 1").count() == 3000
+
+
 # SentencePiece
 
 
