@@ -12,6 +12,8 @@ from dendra.plans.scratch import held, release, shared_folder, written  # noqa:
 SPACES = " \t\n\x0b\x0c\r"
 #: Prefix of helper columns, dropped before an operator returns.
 HIDDEN = "__dn_"
+#: Of shingle hashes.
+SEED = 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,14 +4,17 @@
 2. BANDS bands of ROWS minima deal out the classes; two sets of similarity s share a bucket with probability
    1 - (1 - s**ROWS)**BANDS (0.9998 at 0.8).
 3. Each member of a bucket is compared with the bucket's smallest class, and components are formed of the links that hold.
-4. In buckets that still hold several components, all pairs across components are candidates whose signatures agree in
-   AGREE places or more (0.9996 at 0.8), and are compared as well.
+4. In buckets that still hold several components, every pair across components is compared, inside the task that holds the
+   bucket: a member's similarity to all others comes from an inverted index of their shingles, exactly, and a task returns
+   a spanning forest of its links, never pairs that fail. A bucket too large for one task is cut into groups, and each pair of
+   groups is a task's work.
 
 A link holds only if the sets themselves, not signatures, reach ``least``. Sets are built again from the texts of
 candidates alone, picked by a bitmap of fixed size.
 
-Defined cases: those of ``simhash``: a null text counts as empty, texts without words are one class, a text shorter than a
-shingle is one shingle, repeated rows stay rows, null ids are never the smallest while another is there.
+Defined cases: a null text counts as empty, texts without words are one class, a text shorter than a shingle is one shingle,
+repeated rows stay rows, null ids are never the smallest while another is there; very long texts are taken whole; an empty
+table gives an empty result; input columns named ``component_id`` or ``representative`` are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dendra.llm.common import HIDDEN, need, with_row_id, written
-from dendra.llm.simhash import SEED
+from dendra.llm.common import HIDDEN, SEED, need, with_row_id, written
 from dendra.operators.components import components
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 16
 ROWS = 4
-AGREE = 40
-#: Shingles whose minima are taken at once, and rows of a bucket compared at once.
+#: Shingles whose minima are taken at once.
 BLOCK = 1 << 11
-STEP = 64
+#: Members, and shingles of theirs, that one task compares at once; larger buckets are cut into groups of half as many.
+GROUP_ROWS = 1 << 11
+GROUP_SHINGLES = 1 << 21
+#: Texts or sets that a Python worker is handed at once.
+ROWS_AT_ONCE = 500
 #: Bits of the bitmap of candidates.
 BITMAP = 1 << 23
 _ODD = np.random.RandomState(SEED).randint(0, 1 << 62, BANDS * ROWS + ROWS + 1).astype(np.uint64) * np.uint64(4) + np.uint64(1)
@@ -74,28 +79,27 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 
 def signed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` with key (of the shingle set), bands and signature. One pass, no shuffle."""
-    names = [HIDDEN + x for x in ("key", "bands", "sig")]
+    """``docs`` with key (of the shingle set) and bands. One pass, no shuffle."""
+    names = [HIDDEN + x for x in ("key", "bands")]
     band = np.arange(BANDS, dtype=np.uint64) * TURN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands, sigs = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64), []
+            keys, bands = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
             for i, x in enumerate(batch.column(batch.schema.get_field_index(text))):
                 own = shingles(x.as_py(), shingle)
                 low = minima(own)
                 keys[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED)
                 bands[i] = (low.reshape(BANDS, ROWS) * FOLD).sum(axis=1, dtype=np.uint64) + band
-                sigs.append((low & np.uint64(255)).astype(np.uint8).tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64)), lists, pa.array(sigs, pa.binary())], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64)), lists], names=[*batch.schema.names, *names])
 
-    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()))]
+    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.LongType())))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(key, sig, grams) of the rows whose rid is in ``wanted``; all other texts are dropped by the bitmap, unshuffled."""
+    """(key, n, grams) of the rows whose rid is in ``wanted``; all other texts are dropped by the bitmap, unshuffled."""
     rid = HIDDEN + "rid"
     at = F.pmod(F.xxhash64(rid), F.lit(BITMAP)) + 1
     parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # 1 MB at most
@@ -108,16 +112,17 @@ def sets_of(rows: DataFrame, wanted: DataFrame, text: str, shingle: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            at = batch.column(4).to_numpy()
+            at = batch.column(3).to_numpy()
             hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) if len(bits) else np.zeros(0, np.int64)
             if len(hit):
                 some = batch.take(pa.array(hit))
-                grams = [shingles(x.as_py(), shingle).tobytes() for x in some.column(3)]
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(grams, pa.binary())], names=["rid", "key", "sig", "grams"])
+                grams = [shingles(x.as_py(), shingle).tobytes() for x in some.column(2)]
+                sizes = pa.array([len(g) // 8 for g in grams], pa.int64())
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], sizes, pa.array(grams, pa.binary())], names=["rid", "key", "n", "grams"])
 
-    seen = rows.select(rid, HIDDEN + "key", HIDDEN + "sig", text, (at - 1).alias("at"))
-    held = seen.mapInArrow(run, "rid long, key long, sig binary, grams binary")
-    return written(held.join(wanted.withColumnRenamed(rid, "rid"), "rid", "left_semi").drop("rid"), "sets")
+    seen = rows.select(rid, HIDDEN + "key", text, (at - 1).alias("at"))
+    held = seen.mapInArrow(run, "rid long, key long, n long, grams binary")
+    return written(held.join(wanted.withColumnRenamed(rid, "rid"), "rid", "left_semi").drop("rid"), "sets", arrow_rows=ROWS_AT_ONCE)
 
 
 def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
@@ -130,61 +135,98 @@ def verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     side = lambda n: held.select(F.col("key").alias(n), F.col("grams").alias("of_" + n))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, LINK), "links")
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, LINK), "links", arrow_rows=ROWS_AT_ONCE)
+
+
+def across(key: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links (a, b) between members of different components that join all components linked by some pair of ``least`` or more.
+
+    side: pairs of one side are left out (another task has them), unless all are of one. An inverted index gives a member's
+    common shingles with all others at once. Members of the largest component need no turn: its links show from the other end.
+    """
+    n, sizes = len(key), np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(n), sizes)
+    order = np.argsort(at, kind="stable")
+    posted, ends = of[order], np.cumsum(np.bincount(at))
+    starts, begins = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], np.cumsum(sizes)])
+    _, group = np.unique(root, return_inverse=True)
+    one_side = (side == side[0]).all()
+    largest = np.argmax(np.bincount(group))
+    for i in np.flatnonzero(group != largest):
+        open_ = (group != group[i]) & (one_side | (side != side[i]))
+        if not open_.any():
+            continue
+        own = at[begins[i] : begins[i + 1]]
+        lengths = ends[own] - starts[own]
+        where = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        both = np.bincount(posted[where], minlength=n)
+        hits = np.flatnonzero(open_ & (both >= least * (sizes + sizes[i] - both) - 1e-9))
+        for j in hits:
+            if group[j] != group[i]:
+                yield int(key[i]), int(key[j])
+                group[group == group[j]] = group[i]
+    return
+
+
+def met(members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components within buckets. members: value, i, j (groups that meet), side, key, root, grams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows):
+            key, root, side = (np.array(x, np.int64) for x in zip(*((r[3], r[4], r[5]) for r in rows)))
+            if (root == root[0]).all():
+                return
+            found = list(across(key, root, side, [np.frombuffer(r[6], np.uint64) for r in rows], least))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+        now, rows = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != now and rows:
+                    yield from links(rows)
+                    rows = []
+                now = row[:3]
+                rows.append(row)
+        if rows:
+            yield from links(rows)
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's members, of different components, whose signatures agree in AGREE places.
-    members: value, low (compared with all others already), key, root, sig."""
+    keys = ["value", "i", "j"]
+    return members.select(*keys, "key", "root", "side", "grams").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINK)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        all_ = pa.Table.from_batches(got)
-        value, low, key, root = (all_.column(c).to_numpy() for c in ("value", "low", "key", "root"))
-        sig = np.frombuffer(b"".join(all_.column("sig").to_pylist()), np.uint8).reshape(len(value), -1)
-        order = np.argsort(value, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
-            own = own[key[own] != low[own]]
-            k, r, s = key[own], root[own], sig[own]
-            for i in range(0, len(own), STEP):
-                differ = (r[i : i + STEP, None] != r) & (k[i : i + STEP, None] < k)
-                x, y = np.nonzero(differ)
-                near = np.flatnonzero(np.concatenate([(s[i + x[c : c + BLOCK]] == s[y[c : c + BLOCK]]).sum(axis=1) for c in range(0, len(x), BLOCK)]) >= AGREE) if len(x) else x
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[i + x[near]]), pa.array(k[y[near]])], names=["a", "b"])
-
-    return members.select("value", "low", "key", "root", "sig").repartition("value").mapInArrow(run, LINK).distinct()
-
-
-def links(rows: DataFrame, of_key: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
+
+def links(rows: DataFrame, of_key: DataFrame, text: str, shingle: int, least: float, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Pairs (a, b) of classes at ``least`` or more that span the components found."""
-    dealt = rows.select(F.explode(HIDDEN + "bands").alias("value"), F.col(HIDDEN + "key").alias("key"))
+    dealt = of_key.select(F.explode("bands").alias("value"), "key")
     shared = dealt.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("value", "low")
     members = written(dealt.join(shared, "value").distinct(), "buckets")
     wanted = of_key.join(members.select("key").distinct(), "key", "left_semi").select(F.col("best.rid").alias(HIDDEN + "rid"))
     held = sets_of(rows, wanted, text, shingle)
     first = verified(members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(), held, least)
     roots = components(first, "a", "b").withColumnRenamed("node", "key")
-    placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-    second = verified(across(placed.join(mixed, "value", "left_semi").join(held.select("key", "sig"), "key")), held, least)
+    placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(held.select("key", "n"), "key")
+    sizes = F.greatest(F.ceil(2 * F.count("*") / group_rows), F.ceil(2 * F.sum("n") / group_shingles)).cast("int").alias("cuts")
+    mixed = placed.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), sizes).where("x <> y")
+    mixed = mixed.select("value", F.when(F.col("cuts") > 2, F.col("cuts")).otherwise(1).alias("cuts"))
+    placed = written(placed.join(mixed, "value").withColumn("side", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("long")), "mixed")
+    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j")))
+    second = written(met(placed.select("value", "key", "root", "side", F.inline(meets)).join(held.select("key", "grams"), "key"), least), "links", arrow_rows=ROWS_AT_ONCE)
     return first.unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``docs`` with ``component_id`` (smallest id that the row reaches over links) and ``representative`` (true for one
     row of each component: the first by id)."""
     need(docs, id_col, text)
     rid, key = HIDDEN + "rid", HIDDEN + "key"
     out = [c for c in docs.columns if c not in ("component_id", "representative")]
-    rows = written(with_row_id(signed(docs.select(*dict.fromkeys([*out, id_col, text])), text, shingle), rid), "shingles")
+    rows = written(with_row_id(signed(docs.select(*dict.fromkeys([*out, id_col, text])), text, shingle), rid), "shingles", arrow_rows=ROWS_AT_ONCE)
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))).alias("best")
-    of_key = written(rows.groupBy(F.col(key).alias("key")).agg(best), "classes")
-    roots = components(links(rows, of_key, text, shingle, least), "a", "b")
+    of_key = written(rows.groupBy(F.col(key).alias("key")).agg(best, F.first(HIDDEN + "bands").alias("bands")), "classes")
+    roots = components(links(rows, of_key, text, shingle, least, group_rows), "a", "b")
     linked = of_key.join(roots, of_key["key"] == roots["node"], "left").select("key", "best", F.coalesce("root", "key").alias("root"))
     of_root = linked.groupBy("root").agg(F.min("best").alias("best"))
     group = linked.select(F.col("key").alias(key), "root").join(of_root, "root").select(key, "best")
-    got = rows.drop(HIDDEN + "bands", HIDDEN + "sig").join(group, key)
+    got = rows.drop(HIDDEN + "bands").join(group, key)
     return got.select(*out, F.col("best.id").alias("component_id"), (F.col("best.rid") == F.col(rid)).alias("representative"))

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dendra.llm.common import HIDDEN, need, with_row_id, without, written
+from dendra.llm import jaccard
+from dendra.llm.common import HIDDEN, SEED, need, with_row_id, without, written
 from dendra.operators.components import components
 
 SHINGLE = 3
 MAX_BITS = 3
-SEED = 42
 #: Hashes whose bits are counted at once; bounds memory on very long texts.
 BLOCK = 1 << 16
 #: Children of a node.
@@ -231,9 +231,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET) -> Da
     return rows.select("fp", "band", "sub").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, keep: list[str] | None = None, least: float | None = None) -> DataFrame:
     """One row per row of ``docs``: its columns (or those of ``keep``), ``fp``, ``component_id`` (smallest id
-    that it reaches) and ``representative`` (true for one row of each component: the first by id)."""
+    that it reaches) and ``representative`` (true for one row of each component: the first by id).
+
+    least: link by this Jaccard similarity of the shingle sets instead of ``max_bits`` (no ``fp`` then). Fingerprints can't find such
+    pairs (at 0.8 the median distance is 7 bits), so candidates come from MinHash bands: see ``jaccard``."""
+    if least is not None:
+        got = jaccard.near_duplicates(docs, id_col, text, shingle, least)
+        return got if keep is None else got.select(*keep, "component_id", "representative")
     need(docs, id_col, text)
     rid = HIDDEN + "rid"
     out = list(docs.columns) if keep is None else keep

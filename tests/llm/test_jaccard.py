@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import brute
 import corpus_pipeline as pipeline
@@ -48,7 +49,9 @@ def test_texts_within_three_bits_but_unlike_stay(spark):
     assert kept(spark, pair) == {0, 1}
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("group_rows", [1 << 11, 6])
+def test_groups_equal_brute_force(spark, group_rows):
+    """Also with buckets cut into many groups."""
     rng, texts = random.Random(3), []
     for _ in range(6):
         words = rng.sample(WORDS, 100)
@@ -70,7 +73,34 @@ def test_groups_equal_brute_force(spark):
             if similarity(texts[i], texts[j]) >= 0.8:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    assert kept(spark, texts) == {i for i in range(len(texts)) if root(i) == i}
+    want = {i for i in range(len(texts)) if root(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.near_duplicates(docs, group_rows=group_rows)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: root(i) for i in range(len(texts))}
+    if group_rows == jaccard.GROUP_ROWS:
+        assert kept(spark, texts) == want
+
+
+def test_links_across_components_of_a_bucket():
+    rng = np.random.default_rng(5)
+    base = np.sort(rng.choice(1 << 40, 60, replace=False)).astype(np.uint64)
+    for _ in range(20):
+        sets = [np.unique(np.concatenate([rng.choice(base, 60 - k, replace=False), rng.choice(1 << 40, k).astype(np.uint64)])) for k in rng.integers(0, 14, 30)]
+        key, root = np.arange(30), rng.integers(0, 12, 30)
+        for side in (np.zeros(30, np.int64), rng.integers(0, 2, 30)):
+            pairs = [(a, b) for a in range(30) for b in range(a) if jaccard.similar(sets[a], sets[b]) and ((side == side[0]).all() or side[a] != side[b])]
+            found = list(jaccard.across(key, root, side, sets, 0.8))
+            assert set(found) <= {p for a, b in pairs for p in ((a, b), (b, a))}
+            of = dict(enumerate(root.tolist()))
+
+            def joined(links, of=of):
+                of = dict(of)
+                for a, b in links:
+                    old, new = of[a], of[b]
+                    of = {k: new if v == old else v for k, v in of.items()}
+                return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+            assert joined(found) == joined(pairs) and len(found) <= 11
 
 
 def test_bound_is_met_exactly():
