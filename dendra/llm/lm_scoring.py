@@ -1,22 +1,25 @@
-"""Stupid-backoff language-model scores (Brants et al. 2007), bigrams over unigrams, computed as relations.
+"""Stupid-backoff language-model scores (Brants et al. 2007), trigrams over bigrams over unigrams, computed as relations.
 
-Score of a word w after a word v:  c(v w) / c(v) if the bigram was counted, else ``alpha`` * c(w) / N, with
-c(w) / N floored at a count of one for words never counted. A document's first word has no word before it
-and gets c(w) / N. ``lm_score`` is the mean natural logarithm over the document's words.
+Score of a word w after the words u v:  c(u v w) / c(u v) if that trigram was counted, else ``alpha`` times the score of
+w after v:  c(v w) / c(v) if that bigram was counted, else ``alpha`` * c(w) / N, with c(w) floored at one. A document's second word
+starts at the bigram, its first at c(w) / N. ``lm_score`` is the mean natural logarithm over the document's words.
 
-The plan: n-grams are exploded per document with their multiplicity and packed into one row per (block of
-documents, hash partition); the count table is partitioned by the same hash, so both meet in one shuffle. A
-partition counts its n-grams (from all blocks of the counted corpus), joins the counts to the
-documents' n-grams, and returns one sum per document and partition; these are summed per document.
-A bigram's logarithm splits into log c(v w) - log c(v): the second part depends on the first word alone and
-is looked up where that word is counted. Only for bigrams never counted do the words' counts go into the
-other formula; those (none when documents are scored by their own corpus) are joined in a second pass.
+A corpus that scores itself leaves each document's own counts (and words) out: what a document says but once scores by
+what the others say, so text that occurs elsewhere stands out and back-off happens.
 
-A word that is a hundredth of all text comes once per document, with its multiplicity, so no hash
-partition is larger for it. N-grams are known by 64-bit hashes.
+The plan, in two shuffles of packed rows:
+1. A block of documents explodes into its distinct n-grams of all orders, with multiplicity, one row per hash partition.
+2. A partition adds up the counts of its n-grams over all blocks (the count table, partitioned by hash), joins them
+   to each block's n-grams, and sends each block its counts, in the order in which they came.
+3. A block, with its documents, joins the counts to their n-grams and sums each document's logarithms.
+
+A block's n-gram goes to its partition once, however often the block has it, so no frequent word makes a partition large. The
+number of partitions follows the input without a bound, and the blocks grow with it, so rows stay well filled. N-grams are known by
+their partition and 48 bits of a 64-bit hash.
 
 Defined cases: a null text is empty; a document without words has n_words 0 and a null score. Repeated rows are
-scored each, and counted each. Null ids stay. Empty tables give empty results; an empty corpus floors every count at one.
+scored each, and counted each (a copy is another document). Null ids stay; ids that aren't whole numbers are an error. Very long texts
+are scored whole. Other columns, whatever their names, are ignored. Empty tables give empty results; an empty corpus floors every count at one.
 """
 
 from __future__ import annotations
@@ -26,277 +29,285 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dendra.llm.common import need, whole_ids, written
+from dendra.llm.common import SPACES, need, whole_ids, written
 
 ALPHA = 0.4
-#: Characters of text whose n-grams make one block; bounds memory.
-BLOCK_CHARS = 1 << 21
-#: Bytes of (compressed) input per hash partition.
-PARTITION_BYTES = 8 << 20
-#: A plan's size from which it stands for "not known".
-UNKNOWN = 1 << 55
-#: Words whose hashes a worker remembers; it starts anew beyond that.
-WORDS = 1 << 19
-#: Kinds of rows: packed words, packed bigrams, a block's documents, sums for a block, bigrams never counted.
-WORD, PAIR, DOCS, SUMS, UNSEEN = range(5)
+ORDERS = 3
+#: Characters of text whose n-grams make one block: at least, per hash partition, and at most; bounds memory.
+BLOCK_CHARS = 4 << 20
+BLOCK_CHARS_PER_PART = 200
+MOST_BLOCK_CHARS = 32 << 20
+#: Bytes of text per hash partition.
+PARTITION_BYTES = 12 << 20
+#: Bytes of text hashed at once.
+HASH_BYTES = 1 << 20
 #: Roles of packed n-grams: they are counted, they are scored, or both.
 COUNTED, SCORED = 1, 2
+LOW = np.uint64((1 << 48) - 1)
+#: Fixed multipliers of the hashes: of a byte's place in its word, and of the words of an n-gram.
+_PLACE, _A, _B = np.uint64(0x9E3779B97F4A7C15 | 5), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BYTE = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, 256, np.uint64)
+_IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _A
+    x = (x ^ (x >> np.uint64(27))) * _B
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words in order, and the text that each is from. Words are runs of anything but SPACES."""
+    hashes, owner, at = [], [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size == 0 or size + len(texts[end]) < HASH_BYTES):
+            size += len(texts[end]) + 1
+            end += 1
+        raw = np.frombuffer(b"\n".join(texts[at:end]) + b"\n", np.uint8)
+        inside = ~_IS_SPACE[raw]
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]
+        if len(starts):
+            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+            power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()), _PLACE)]))
+            hashes.append(mixed(np.add.reduceat(_BYTE[raw[inside]] * power[place], first) + lengths.astype(np.uint64)))
+            begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[at:end]])[:-1]])
+            owner.append(at + np.searchsorted(begins, starts, "right") - 1)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(owner)
+
+
+def instances(words: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per order, the hashes of all n-grams in order of their last word, and the places of these last words."""
+    grams, last = [words], [np.arange(len(words))]
+    for n in range(2, ORDERS + 1):
+        whole = np.flatnonzero(owner[n - 1 :] == owner[: 1 - n]) + n - 1 if len(words) >= n else np.zeros(0, np.int64)
+        h = mixed(words[whole - n + 1] + np.uint64(n))
+        for k in range(n - 2, -1, -1):
+            h = mixed(h * _PLACE + words[whole - k])
+        grams.append(h)
+        last.append(whole)
+    return grams, last
 
-_known: dict[bytes, int] = {}
 
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words, in order. Words are runs of anything but space and the control characters 9-13."""
-    words = (text or "").encode().split()
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_known) > WORDS:
-            _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
+def distinct(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's distinct n-grams by partition and low bits; for each instance (orders one after another) its n-gram; how often each occurs."""
+    h, at, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    order = np.lexsort((h & LOW, part_of(h, parts)))
+    place = np.empty(len(h), np.int64)
+    place[order] = np.arange(len(h))
+    return h[order], place[at], n[order]
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C159E3779B9)
-    x ^= x >> np.uint64(29)
-    x = (x + h[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
 
+def packed_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as hold them; the length tells which."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64).tobytes()
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return (((h >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.int64)
 
+def numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(data) // n if n else 1])
 
-def _numbers(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as hold them; the length tells which."""
-    kind = np.int8 if not len(x) or -128 <= x.min() and x.max() < 128 else np.int32
-    return x.astype(kind).tobytes()
 
+def packed_hashes(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising 48-bit numbers: their low 32 bits, and the gaps between their high bits."""
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), packed_numbers(np.diff((x >> np.uint64(32)).astype(np.int64), prepend=0))
 
-def _read(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.int8 if len(data) == n else np.int32)
 
+def hashes(low: bytes, gaps: bytes) -> np.ndarray:
+    x = np.frombuffer(low, "<u4").astype(np.uint64)
+    return x | (np.cumsum(numbers(gaps, len(x)), dtype=np.uint64) << np.uint64(32))
 
-GRAMS = "part int, kind int, role int, block long, docs binary, ends binary, hashes binary, counts binary, weights binary, lefts binary, rights binary"
-_GRAM_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
-_GRAM_NAMES = [x.split()[0] for x in GRAMS.split(", ")]
-SUM_ROWS = "block long, kind int, a binary, b binary, c binary, d binary"
-_SUM_NAMES = [x.split()[0] for x in SUM_ROWS.split(", ")]
-_SUM_KINDS = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
+GRAMS = "part int, role int, block long, low binary, gaps binary, counts binary"
+_GRAM_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+#: part is -1 for the block's documents: ids, null marks and texts in place of counts and checks.
+ANSWERS = "block long, part int, a binary, b binary, c binary"
+_ANSWER_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
+def _batch(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-def _dealt(kind: int, role: int, block: int, doc: np.ndarray, h: np.ndarray, extra: list[np.ndarray | None], parts: int) -> Iterator[tuple]:
-    """Rows of n-grams by the part of their hash. doc: rising row numbers within the block, one per n-gram."""
-    part = part_of(h, parts)
-    order = np.argsort(part, kind="stable")
-    doc, h, part = doc[order], h[order], part[order]
-    extra = [x if x is None else x[order] for x in extra]
-    edges = np.searchsorted(part, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        a, b = edges[p], edges[p + 1]
-        ends = np.flatnonzero(np.diff(doc[a:b], append=-1)) + 1
-        more = [b"" if x is None else x[a:b].tobytes() if x.dtype == np.uint64 else _numbers(x[a:b]) for x in extra]
-        yield int(p), kind, role, block, doc[a:b][ends - 1].astype("<u4").tobytes(), ends.astype("<u4").tobytes(), h[a:b].tobytes(), *more
 
+def blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[int, list[int | None], list[bytes]]]:
+    """(number, ids, texts) of a task's blocks; the same each time that the same rows come."""
+    number, ids, texts, size = None, [], [], 0
+    for batch in batches:
+        if number is None and batch.num_rows:
+            number = batch.column(2)[0].as_py() << 24  # a task's own number would count the other side of a union as well
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            t = t.as_py() or b""
+            ids.append(i)
+            texts.append(t)
+            size += len(t) + 64
+            if size >= chars:
+                yield number, ids, texts
+                number, ids, texts, size = number + 1, [], [], 0
+    if ids:
+        yield number, ids, texts
 
-def exploded(docs: DataFrame, id_col: str | None, text: str, parts: int, role: int) -> DataFrame:
-    """Packed n-grams of ``docs``: per document each distinct n-gram with its multiplicity, a row per block and part."""
+
+def exploded(rows: DataFrame, parts: int, role: int, chars: int) -> DataFrame:
+    """Packed n-grams of rows (id, t, scan): a row per block and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        held: list[tuple[int | None, np.ndarray]] = []
-        chars = block = 0
-
-        def flush() -> pa.RecordBatch:
-            number = (task << 24) + block
-            doc, words, counts, weights, pairs, per_pair, pair_doc, lefts, rights = ([] for _ in range(9))
-            for i, (_, h) in enumerate(held):
-                if not len(h):
-                    continue
-                u, n = np.unique(h, return_counts=True)
-                w = -n
-                w[np.searchsorted(u, h[0])] += 1  # the first word has a score of its own
-                w[np.searchsorted(u, h[-1])] += 1  # the last word is no context
-                doc.append(np.full(len(u), i))
-                words.append(u)
-                counts.append(n)
-                weights.append(w)
-                p, at, n = np.unique(pair_hashes(h), return_index=True, return_counts=True)
-                pair_doc.append(np.full(len(p), i))
-                pairs.append(p)
-                per_pair.append(n)
-                if role == SCORED:
-                    lefts.append(h[:-1][at])
-                    rights.append(h[1:][at])
-            out: list[tuple] = []
-            if words:
-                j = np.concatenate
-                out += _dealt(WORD, role, number, j(doc), j(words), [j(counts), j(weights), None, None], parts)
-                out += _dealt(PAIR, role, number, j(pair_doc), j(pairs), [j(per_pair), None, *([j(lefts), j(rights)] if role == SCORED else [None, None])], parts)
-            if role & SCORED:
-                ids = np.array([0 if i is None else i for i, _ in held], "<i8")
-                null = np.array([i is None for i, _ in held])
-                sizes = np.array([len(h) for _, h in held], "<i8")
-                out.append((number % parts, DOCS, role, number, ids.tobytes(), null.tobytes(), sizes.tobytes(), b"", b"", b"", b""))
-            return _batch(out, _GRAM_NAMES, _GRAM_KINDS) if out else None
-
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                held.append((i, word_hashes(t)))
-                chars += len(t or "") + 64
-                if chars >= BLOCK_CHARS:
-                    if (got := flush()) is not None:
-                        yield got
-                    held, chars, block = [], 0, block + 1
-        if held and (got := flush()) is not None:
-            yield got
-
-    own = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
-    return docs.select(own.alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(run, GRAMS)
-
-
-def joined(grams: DataFrame, parts: int) -> DataFrame:
-    """Counts the n-grams of each part, joins the counts to the n-grams to be scored, sums per document of a block."""
-
-    def of_part(rows: list[tuple]) -> Iterator[tuple]:
-        sums: dict[int, np.ndarray] = {}
-        for kind in (WORD, PAIR):
-            own = [r for r in rows if r[1] == kind]
-            if not own:
-                continue
-            hashes = [np.frombuffer(r[6], np.uint64) for r in own]
-            known, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            n = np.concatenate([_read(r[7], len(h)) if r[2] & COUNTED else np.zeros(len(h), np.int8) for r, h in zip(own, hashes)])
-            counts = np.bincount(at, weights=n, minlength=len(known))
-            logs = np.log(np.maximum(counts, 1))
-            start = 0
-            for r, h in zip(own, hashes):
-                here = at[start : start + len(h)]
-                start += len(h)
-                if not r[2] & SCORED:
-                    continue
-                weight = _read(r[8] or r[7], len(h))
-                docs, ends = np.frombuffer(r[4], "<u4"), np.frombuffer(r[5], "<u4")
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                total = sums.setdefault(r[3], np.zeros(0))
-                if len(total) <= docs[-1]:
-                    total = sums[r[3]] = np.concatenate([total, np.zeros(int(docs[-1]) + 1 - len(total))])
-                total[docs] += np.add.reduceat(weight * logs[here], begins)
-                if kind == PAIR and len(r[9]):
-                    new = np.flatnonzero(counts[here] == 0)
-                    if len(new):
-                        doc = np.repeat(docs, np.diff(np.concatenate([[0], ends])))
-                        yield r[3], UNSEEN, doc[new].astype("<u4").tobytes(), weight[new].astype("<i4").tobytes(), np.frombuffer(r[9], np.uint64)[new].tobytes(), np.frombuffer(r[10], np.uint64)[new].tobytes()
-        for block, total in sums.items():
-            yield block, SUMS, total.tobytes(), b"", b"", b""
-        for r in rows:
-            if r[1] == DOCS:
-                yield r[3], DOCS, r[4], r[5], r[6], b""
+        for number, _, texts in blocks(batches, chars):
+            h, _, n = distinct(instances(*words_of(texts))[0], parts)
+            edges = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+            out = []
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                a, b = edges[p], edges[p + 1]
+                out.append((p, role, number, *packed_hashes(h[a:b] & LOW), packed_numbers(n[a:b])))
+            if out:
+                yield _batch(out, GRAMS, _GRAM_KINDS)
+
+    return rows.mapInArrow(run, GRAMS)
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows with one first value."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def answered(grams: DataFrame, parts: int) -> DataFrame:
+    """Adds up each partition's n-grams and answers the blocks that are scored: their n-grams' counts, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != now and rows:
-                    if out := list(of_part(rows)):
-                        yield _batch(out, _SUM_NAMES, _SUM_KINDS)
-                    rows = []
-                now = row[0]
-                rows.append(row)
-        if rows and (out := list(of_part(rows))):
-            yield _batch(out, _SUM_NAMES, _SUM_KINDS)
+        for rows in by_key(batches):
+            own = [hashes(r[3], r[4]) for r in rows]
+            known, at = np.unique(np.concatenate(own), return_inverse=True)
+            n = np.concatenate([numbers(r[5], len(h)) if r[1] & COUNTED else np.zeros(len(h), np.uint8) for r, h in zip(rows, own)])
+            counts, start, out, held = np.bincount(at, weights=n, minlength=len(known)).astype(np.int64), 0, [], 0
+            for r, h in zip(rows, own):
+                if r[1] & SCORED:
+                    out.append((r[2], r[0], packed_numbers(counts[at[start : start + len(h)]]), np.bitwise_xor.reduce(h).tobytes(), len(h).to_bytes(8, "little")))
+                    held += len(h)
+                start += len(h)
+                if held > 1 << 22:
+                    yield _batch(out, ANSWERS, _ANSWER_KINDS)
+                    out, held = [], 0
+            if out:
+                yield _batch(out, ANSWERS, _ANSWER_KINDS)
 
-    return grams.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, SUM_ROWS)
+    return grams.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, ANSWERS)
 
 
-def summed(sums: DataFrame, log_alpha: float) -> DataFrame:
-    """(id, n_words, logs, n_backed): the sums of a block's parts, back to rows. ``logs`` lacks its terms in log N."""
+def texts_of(rows: DataFrame, chars: int) -> DataFrame:
+    """A row per block with its documents, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of_block(rows):
-            docs = next((r for r in rows if r[1] == DOCS), None)
-            if docs is None:
-                return None
-            sizes = np.frombuffer(docs[4], "<i8")
-            logs, backed = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64)
-            for r in sorted((r for r in rows if r[1] == SUMS), key=lambda r: r[2]):  # a fixed order: equal sums each time
-                x = np.frombuffer(r[2])
-                logs[: len(x)] += x
-            for r in rows:
-                if r[1] == UNSEEN:
-                    np.add.at(backed, np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<i4"))
-            ids = pa.array(np.frombuffer(docs[2], "<i8"), mask=np.frombuffer(docs[3], bool))
-            return pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(logs + backed * log_alpha), pa.array(backed)], names=["id", "n_words", "logs", "n_backed"])
-
-        now, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != now and rows:
-                    if (out := of_block(rows)) is not None:
-                        yield out
-                    rows = []
-                now = row[0]
-                rows.append(row)
-        if rows and (out := of_block(rows)) is not None:
-            yield out
-
-    return sums.repartition("block").sortWithinPartitions("block").mapInArrow(run, "id long, n_words long, logs double, n_backed long")
-
-
-def backed_off(unseen: DataFrame, parts: int) -> DataFrame:
-    """Words whose counts the backed-off bigrams need (their context's count undone, their own word's added), packed again."""
+        for number, ids, texts in blocks(batches, chars):
+            own = pa.array(ids, pa.int64())
+            lengths = np.array([len(t) for t in texts], "<i8").tobytes()
+            head = np.array([i is None for i in ids]).tobytes() + own.fill_null(0).to_numpy().astype("<i8").tobytes()
+            joined = b"".join(texts)
+            yield _batch([(number, -1, head, lengths, len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True))], ANSWERS, _ANSWER_KINDS)
+
+    return rows.mapInArrow(run, ANSWERS)
+
+
+def score_block(texts: list[bytes], totals: np.ndarray, parts: int, leave_out: bool, log_alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: words, sum of logarithms without the terms in N, words scored by c(w) / N, words backed off."""
+    words, owner = words_of(texts)
+    grams, last = instances(words, owner)
+    h, at, _ = distinct(grams, parts)
+    if len(h) != len(totals):
+        raise RuntimeError("a block's n-grams changed between two reads of the documents; call score with reread=False")
+    of = np.concatenate([owner[x] for x in last])
+    count = totals[at]
+    if leave_out:
+        _, same, n = np.unique(of * max(1, len(h)) + at, return_inverse=True, return_counts=True)
+        count = count - n[same]
+    by_order = np.split(count, np.cumsum([len(g) for g in grams])[:-1])
+    full = np.zeros((ORDERS, len(words)), np.int64)  # by place of the last word; 0 where there is no such n-gram
+    for row, c, x in zip(full, by_order, last):
+        row[x] = c
+    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(words) else np.zeros(0, bool)
+    place = np.arange(len(words)) - np.maximum.accumulate(np.where(first, np.arange(len(words)), 0))
+    used = np.ones(len(words), np.int64)
+    logs = np.log(np.maximum(full[0], 1))
+    for n in range(1, ORDERS):
+        seen = np.flatnonzero((full[n] > 0) & (place >= n))
+        used[seen] = n + 1
+        logs[seen] = np.log(full[n, seen]) - np.log(full[n - 1, seen - 1])
+    steps = np.minimum(place + 1, ORDERS) - used
+    docs = len(texts)
+    sums = np.bincount(owner, weights=logs + steps * log_alpha, minlength=docs)
+    return np.bincount(owner, minlength=docs), sums.astype(np.float64), np.bincount(owner[used == 1], minlength=docs), np.bincount(owner[steps > 0], minlength=docs)
+
+
+def summed(answers: DataFrame, parts: int, leave_out: bool, log_alpha: float) -> DataFrame:
+    """(id, n_words, logs, n_single, n_backed) per document: a block's counts meet its documents."""
+    out = "id long, n_words long, logs double, n_single long, n_backed long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, _, docs, n, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                doc, weight = (np.concatenate([x, x]) for x in (np.frombuffer(docs, "<u4"), np.frombuffer(n, "<i4")))
-                h = np.concatenate([np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)])
-                order = np.argsort(doc, kind="stable")
-                if out := list(_dealt(WORD, SCORED, block, doc[order].astype(np.int64), h[order], [None, weight[order], None, None], parts)):
-                    yield _batch(out, _GRAM_NAMES, _GRAM_KINDS)
+        for rows in by_key(batches):
+            docs, sent = next((r for r in rows if r[1] < 0), None), sorted((r for r in rows if r[1] >= 0), key=lambda r: r[1])
+            if docs is None:
+                raise RuntimeError("a block of documents is missing in a second read; call score with reread=False")
+            lengths = np.frombuffer(docs[3], "<i8")
+            size = int.from_bytes(docs[4][:8], "little")
+            joined = pa.decompress(docs[4][8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+            ends = np.cumsum(lengths)
+            texts = [joined[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+            totals = np.concatenate([np.zeros(0, np.int64), *(numbers(r[2], int.from_bytes(r[4], "little")).astype(np.int64) for r in sent)])
+            words, logs, single, backed = score_block(texts, totals, parts, leave_out, log_alpha)
+            null, ids = np.frombuffer(docs[2][: len(lengths)], bool), np.frombuffer(docs[2][len(lengths) :], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(words), pa.array(logs), pa.array(single), pa.array(backed)], names=["id", "n_words", "logs", "n_single", "n_backed"])
+
+    return answers.repartition("block").sortWithinPartitions("block").mapInArrow(run, out)
 
-    return unseen.mapInArrow(run, GRAMS)
 
+def parts_for(df: DataFrame, text: str, part_bytes: int) -> int:
+    """Hash partitions, from the texts' bytes."""
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("n")).first()["n"] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, -(-size // part_bytes), 1)
 
-def parts_for(df: DataFrame, text: str) -> int:
-    """Hash partitions: from the size that the plan knows for ``df``, or where it knows none, from the texts' bytes."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= UNKNOWN:
-        size = (df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0) // 2
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, min(size // PARTITION_BYTES, 1 << 15), 1)
 
+def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA, part_bytes: int = PARTITION_BYTES, reread: bool = False) -> DataFrame:
+    """(id_col, n_words, n_backed_off, log_prob, lm_score) for every row of ``docs``, by the counts of ``corpus`` (if None, of all
+    other rows of ``docs``).
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """(id_col, n_words, n_backed_off, log_prob, lm_score) for every row of ``docs``, by the counts of ``corpus`` (its own if None)."""
+    part_bytes: text per hash partition; a worker takes some twelve times that. reread: ``docs`` is a plain scan of stored files, whose
+    partitions are the same each time; it is then read twice instead of being written to the shared folder (a difference is an error).
+    """
     need(docs, id_col, text)
     whole_ids(docs, id_col)
     own = corpus is None
-    parts = parts_for((docs if own else corpus).select(text), text)
-    grams = exploded(docs, id_col, text, parts, COUNTED | SCORED if own else SCORED)
-    if own:
-        rows = written(summed(joined(grams, parts), math.log(alpha)), "scores")
-        words = rows.agg(F.sum("n_words").alias("n")).first()["n"]
-    else:
+    parts = parts_for(docs if own else corpus, text, part_bytes)
+    chars = max(BLOCK_CHARS, min(MOST_BLOCK_CHARS, BLOCK_CHARS_PER_PART * parts))
+    as_rows = lambda df, i: df.select(i.cast("long").alias("id"), F.col(text).cast("string").cast("binary").alias("t"), F.spark_partition_id().alias("scan"))
+    if not reread:
+        docs = written(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text)), "texts")
+    rows = as_rows(docs, F.col(id_col))
+    grams = exploded(rows, parts, COUNTED | SCORED if own else SCORED, chars)
+    if not own:
         need(corpus, text)
-        counted = written(exploded(corpus, None, text, parts, COUNTED), "grams")
-        sums = written(joined(grams.unionByName(counted), parts), "sums")
-        more = joined(backed_off(sums.where(F.col("kind") == UNSEEN), parts).unionByName(counted.where(F.col("kind") == WORD)), parts)
-        rows = summed(sums.unionByName(more), math.log(alpha))
-        words = corpus.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), ""))).alias("n")).first()["n"]
-    log_n = math.log(max(words or 0, 1))
-    logs = F.when(F.col("n_words") > 0, F.col("logs") - (1 + F.col("n_backed")) * F.lit(log_n))
-    out = rows.select(F.col("id").alias(id_col), "n_words", F.col("n_backed").alias("n_backed_off"), logs.alias("log_prob"))
+        grams = grams.unionByName(exploded(as_rows(corpus, F.lit(None)), parts, COUNTED, chars))
+    scored = written(summed(answered(grams, parts).unionByName(texts_of(rows, chars)), parts, own, math.log(alpha)), "scores")
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    total = (scored.agg(F.sum("n_words").alias("n")) if own else corpus.agg(F.sum(words).alias("n"))).first()["n"] or 0
+    log_n = F.log(F.greatest(F.lit(total) - F.col("n_words") if own else F.lit(total), F.lit(1)))
+    logs = F.when(F.col("n_words") > 0, F.col("logs") - F.col("n_single") * log_n)
+    out = scored.select(F.col("id").alias(id_col), "n_words", F.col("n_backed").alias("n_backed_off"), logs.alias("log_prob"))
     return out.withColumn("lm_score", F.col("log_prob") / F.col("n_words"))

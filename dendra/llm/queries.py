@@ -17,7 +17,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), reread=True)
     # sums of logarithms depend on their order in the last digits
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_prob", 4).alias("log_prob"), F.round("lm_score", 6).alias("lm_score"))
 

@@ -20,16 +20,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        n_lines, n_bangs, fail_bits, 'prose-1' AS policy FROM b
 """
 
-# Every n-gram is counted in the corpus that is scored, so no word is backed off here; tests cover that part.
+# Counts of the other documents: all counts less the document's own.
 LM_SCORES = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-t AS (SELECT rid, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
-b AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
-n AS (SELECT greatest(count(*), 1) AS n FROM t),
-s AS (SELECT t.rid, sum(CASE WHEN t.v IS NULL THEN ln(uw.c) - ln((SELECT n FROM n)) ELSE ln(b.c) - ln(uv.c) END) AS s
-      FROM t JOIN u uw ON uw.w = t.w LEFT JOIN u uv ON uv.w = t.v LEFT JOIN b ON b.v = t.v AND b.w = t.w GROUP BY t.rid)
-SELECT doc_id, len(ws)::BIGINT AS n_words, 0::BIGINT AS n_backed_off, round(s, 4) AS log_prob, round(s / len(ws), 6) AS lm_score FROM d LEFT JOIN s USING (rid)
+t AS (SELECT rid, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+g AS (SELECT rid, 1 AS n, [w] AS k FROM t UNION ALL SELECT rid, 2, [v, w] FROM t WHERE v IS NOT NULL UNION ALL SELECT rid, 3, [u, v, w] FROM t WHERE u IS NOT NULL),
+own AS (SELECT rid, k, count(*) AS c FROM g GROUP BY rid, k),
+others AS (SELECT rid, k, sum(c) OVER (PARTITION BY k) - c AS c FROM own),
+x AS (SELECT t.rid, i, a.c AS c1, b.c AS c2, bc.c AS c2_context, c.c AS c3, cc.c AS c3_context FROM t
+      LEFT JOIN others a ON a.rid = t.rid AND a.k = [w]
+      LEFT JOIN others b ON b.rid = t.rid AND b.k = [v, w] LEFT JOIN others bc ON bc.rid = t.rid AND bc.k = [v]
+      LEFT JOIN others c ON c.rid = t.rid AND c.k = [u, v, w] LEFT JOIN others cc ON cc.rid = t.rid AND cc.k = [u, v]),
+y AS (SELECT x.rid, i, least(i, 3) - CASE WHEN i > 2 AND c3 > 0 THEN 3 WHEN i > 1 AND c2 > 0 THEN 2 ELSE 1 END AS steps,
+             CASE WHEN i > 2 AND c3 > 0 THEN ln(c3) - ln(c3_context) WHEN i > 1 AND c2 > 0 THEN ln(c2) - ln(c2_context)
+                  ELSE ln(greatest(c1, 1)) - ln(greatest((SELECT count(*) FROM t) - len(d.ws), 1)) END AS s FROM x JOIN d USING (rid)),
+z AS (SELECT rid, sum((steps > 0)::BIGINT)::BIGINT AS n_backed_off, sum(s + steps * ln(0.4)) AS s FROM y GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_backed_off, 0)::BIGINT AS n_backed_off, round(s, 4) AS log_prob, round(s / len(ws), 6) AS lm_score FROM d LEFT JOIN z USING (rid)
 """
 
 EXACT_TOP_K = """

@@ -337,23 +337,29 @@ def test_training_table(spark):
 # language-model scores
 
 
-def brute_scores(texts, corpus, alpha=0.4):
-    u, b, n = Counter(), Counter(), 0
-    for t in corpus:
-        w = brute.WORD.findall(t or "")
-        u.update(w)
-        b.update(zip(w, w[1:]))
-        n += len(w)
+def grams_of(text):
+    w = brute.WORD.findall(text or "")
+    return w, Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+
+
+def brute_scores(texts, corpus=None, alpha=0.4):
+    """corpus None: the texts themselves, each without its own counts."""
+    total = Counter()
+    for t in texts if corpus is None else corpus:
+        total.update(grams_of(t)[1])
+    all_words = sum(n for k, n in total.items() if len(k) == 1)
     out = []
     for t in texts:
-        w = brute.WORD.findall(t or "")
+        w, own = grams_of(t)
+        c = (lambda k: total[k] - own[k]) if corpus is None else total.__getitem__
+        n = max(1, all_words - (len(w) if corpus is None else 0))
         s = backed = 0
-        for i, x in enumerate(w):
-            if i and b[w[i - 1], x]:
-                s += math.log(b[w[i - 1], x] / u[w[i - 1]])
-            else:
-                backed += i > 0
-                s += math.log((alpha if i else 1) * max(1, u[x]) / max(1, n))
+        for i in range(len(w)):
+            order, cost = min(i + 1, 3), 0
+            while order > 1 and not c(tuple(w[i - order + 1 : i + 1])):
+                order, cost = order - 1, cost + math.log(alpha)
+            backed += cost < 0
+            s += cost + (math.log(c(tuple(w[i - order + 1 : i + 1])) / c(tuple(w[i - order + 1 : i]))) if order > 1 else math.log(max(1, c((w[i],))) / n))
         out.append((len(w), backed, s if w else None))
     return out
 
@@ -371,7 +377,9 @@ def check_scores(df, want):
 def test_scores_by_own_corpus(spark, sf_dir, monkeypatch, block):
     monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", block)
     texts = ODD + [r["text"] for r in table(spark, sf_dir, "documents").collect()][:60]
-    check_scores(lm_scoring.score(docs(spark, texts)), brute_scores(texts, texts))
+    want = brute_scores(texts)
+    assert sum(b for _, b, _ in want) > 100
+    check_scores(lm_scoring.score(docs(spark, texts), part_bytes=20_000), want)
 
 
 def test_scores_by_another_corpus(spark, sf_dir, monkeypatch):
@@ -382,6 +390,35 @@ def test_scores_by_another_corpus(spark, sf_dir, monkeypatch):
     check_scores(lm_scoring.score(docs(spark, texts), docs(spark, corpus).limit(0)), brute_scores(texts, []))
 
 
+def test_copies_stand_out(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=80)) for _ in range(40)]
+    score = {r["doc_id"]: r["lm_score"] for r in lm_scoring.score(docs(spark, [*texts, texts[7]])).collect()}
+    assert min(score[7], score[40]) > max(v for k, v in score.items() if k not in (7, 40)) + 1
+
+
+def test_word_hashes_and_packed_rows(monkeypatch):
+    texts = [(x or "").encode() for x in ODD] + [b"a b", b"b a", b" a\x0bb\x1cc "]
+    words, owner = lm_scoring.words_of(texts)
+    plain = [(i, w) for i, t in enumerate(texts) for w in t.split()]
+    assert owner.tolist() == [i for i, _ in plain]
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for (_, w), h in zip(plain, words.tolist())) and len(set(seen.values())) == len(seen)
+    monkeypatch.setattr(lm_scoring, "HASH_BYTES", 50)
+    assert all((a == b).all() for a, b in zip(lm_scoring.words_of(texts), (words, owner)))
+    many = [f"{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij"]
+    assert len(set(lm_scoring.words_of([" ".join(many).encode()])[0].tolist())) == 1000
+    for n in (0, 1, 5, 3000):
+        x = np.sort(np.random.default_rng(n).integers(0, 1 << 48, n, np.uint64))
+        assert (lm_scoring.hashes(*lm_scoring.packed_hashes(x)) == x).all()
+    for most in (1, 300, 70_000):
+        assert lm_scoring.numbers(lm_scoring.packed_numbers(np.array([0, most])), 2).tolist() == [0, most]
+
+
+def test_more_partitions_than_a_cap_would_allow():
+    assert len({p for p in lm_scoring.part_of(np.random.default_rng(1).integers(0, 1 << 64, 200_000, np.uint64), 1 << 20).tolist()}) > 170_000
+
+
 def test_scores_of_empty_and_null_ids(spark):
     assert lm_scoring.score(docs(spark, ["a"]).limit(0)).count() == 0
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
@@ -391,9 +428,10 @@ def test_scores_of_empty_and_null_ids(spark):
 
 def test_query_over_whole_table(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").collect()
-    want = brute_scores([r["text"] for r in rows], [r["text"] for r in rows])
+    want = brute_scores([r["text"] for r in rows])
     got = {r["doc_id"]: r for r in queries.lm_scores(spark, sf_dir).collect()}
-    for r, (n, _, s) in zip(rows, want):
-        assert got[r["doc_id"]]["n_words"] == n and abs(got[r["doc_id"]]["log_prob"] - s) < 1e-3
+    assert sum(r["n_backed_off"] for r in got.values()) > 0
+    for r, (n, backed, s) in zip(rows, want):
+        assert (got[r["doc_id"]]["n_words"], got[r["doc_id"]]["n_backed_off"]) == (n, backed) and abs(got[r["doc_id"]]["log_prob"] - s) < 1e-3
 
 
