@@ -15,7 +15,7 @@ The plan, in two shuffles of packed rows:
 
 A block's n-gram goes to its partition once, however often the block has it, so no frequent word makes a partition large. The
 number of partitions follows the input without a bound, and the blocks grow with it, so rows stay well filled. N-grams are known by
-their partition and 48 bits of a 64-bit hash.
+their partition and 48 bits more of a 64-bit hash.
 
 Defined cases: a null text is empty; a document without words has n_words 0 and a null score. Repeated rows are
 scored each, and counted each (a copy is another document). Null ids stay; ids that aren't whole numbers are an error. Very long texts
@@ -46,7 +46,6 @@ PARTITION_BYTES = 12 << 20
 HASH_BYTES = 1 << 20
 #: Roles of packed n-grams: they are counted, they are scored, or both.
 COUNTED, SCORED = 1, 2
-LOW = np.uint64((1 << 48) - 1)
 #: Fixed multipliers of the hashes: of a byte's place in its word, and of the words of an n-gram.
 _PLACE, _A, _B = np.uint64(0x9E3779B97F4A7C15 | 5), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, 256, np.uint64)
@@ -97,35 +96,48 @@ def instances(words: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], l
     return grams, last
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+def part_starts(parts: int) -> np.ndarray:
+    """The least hash of each partition: hashes are cut into ``parts`` runs of equal length."""
+    return np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
 
 
-def distinct(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The block's distinct n-grams by partition and low bits; for each instance (orders one after another) its n-gram; how often each occurs."""
-    h, at, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    order = np.lexsort((h & LOW, part_of(h, parts)))
-    place = np.empty(len(h), np.int64)
-    place[order] = np.arange(len(h))
-    return h[order], place[at], n[order]
+def place_in_part(h: np.ndarray, parts: int) -> np.ndarray:
+    """How far into its partition's run a hash lies, in 48 bits; rises with the hash."""
+    return (h * np.uint64(parts)) >> np.uint64(16)
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal numbers."""
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return starts, np.diff(starts, append=len(x))
+
+
+def squeezed(data: bytes, level: int = 1) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=level).compress(data, asbytes=True) if data else b"")
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
 def packed_numbers(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes each as hold them; the length tells which."""
+    """Whole numbers from 0 in as few bytes each as hold them (the length tells which), compressed."""
     most = int(x.max(initial=0))
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64).tobytes()
+    return squeezed(x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64).tobytes())
 
 
 def numbers(data: bytes, n: int) -> np.ndarray:
+    data = unsqueezed(data)
     return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(data) // n if n else 1])
 
 
-def packed_hashes(x: np.ndarray) -> tuple[bytes, bytes]:
+def packed_places(x: np.ndarray) -> tuple[bytes, bytes]:
     """Rising 48-bit numbers: their low 32 bits, and the gaps between their high bits."""
     return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), packed_numbers(np.diff((x >> np.uint64(32)).astype(np.int64), prepend=0))
 
 
-def hashes(low: bytes, gaps: bytes) -> np.ndarray:
+def places(low: bytes, gaps: bytes) -> np.ndarray:
     x = np.frombuffer(low, "<u4").astype(np.uint64)
     return x | (np.cumsum(numbers(gaps, len(x)), dtype=np.uint64) << np.uint64(32))
 
@@ -163,13 +175,16 @@ def exploded(rows: DataFrame, parts: int, role: int, chars: int) -> DataFrame:
     """Packed n-grams of rows (id, t, scan): a row per block and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = part_starts(parts)
         for number, _, texts in blocks(batches, chars):
-            h, _, n = distinct(instances(*words_of(texts))[0], parts)
-            edges = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+            all_ = np.sort(np.concatenate(instances(*words_of(texts))[0]))
+            at, n = runs(all_)
+            h = all_[at]
+            edges = np.append(np.searchsorted(h, starts), len(h))
             out = []
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[p], edges[p + 1]
-                out.append((p, role, number, *packed_hashes(h[a:b] & LOW), packed_numbers(n[a:b])))
+                out.append((p, role, number, *packed_places(place_in_part(h[a:b], parts)), packed_numbers(n[a:b])))
             if out:
                 yield _batch(out, GRAMS, _GRAM_KINDS)
 
@@ -190,17 +205,18 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def answered(grams: DataFrame, parts: int) -> DataFrame:
-    """Adds up each partition's n-grams and answers the blocks that are scored: their n-grams' counts, in their order."""
+    """Adds up each partition's n-grams and answers the blocks that are scored: their n-grams' counts in other blocks, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_key(batches):
-            own = [hashes(r[3], r[4]) for r in rows]
+            own = [places(r[3], r[4]) for r in rows]
             known, at = np.unique(np.concatenate(own), return_inverse=True)
             n = np.concatenate([numbers(r[5], len(h)) if r[1] & COUNTED else np.zeros(len(h), np.uint8) for r, h in zip(rows, own)])
             counts, start, out, held = np.bincount(at, weights=n, minlength=len(known)).astype(np.int64), 0, [], 0
             for r, h in zip(rows, own):
                 if r[1] & SCORED:
-                    out.append((r[2], r[0], packed_numbers(counts[at[start : start + len(h)]]), np.bitwise_xor.reduce(h).tobytes(), len(h).to_bytes(8, "little")))
+                    here = slice(start, start + len(h))
+                    out.append((r[2], r[0], packed_numbers(counts[at[here]] - n[here]), np.bitwise_xor.reduce(h).tobytes(), len(h).to_bytes(8, "little")))
                     held += len(h)
                 start += len(h)
                 if held > 1 << 22:
@@ -221,23 +237,30 @@ def texts_of(rows: DataFrame, chars: int) -> DataFrame:
             lengths = np.array([len(t) for t in texts], "<i8").tobytes()
             head = np.array([i is None for i in ids]).tobytes() + own.fill_null(0).to_numpy().astype("<i8").tobytes()
             joined = b"".join(texts)
-            yield _batch([(number, -1, head, lengths, len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True))], ANSWERS, _ANSWER_KINDS)
+            yield _batch([(number, -1, head, lengths, squeezed(joined, 3))], ANSWERS, _ANSWER_KINDS)
 
     return rows.mapInArrow(run, ANSWERS)
 
 
-def score_block(texts: list[bytes], totals: np.ndarray, parts: int, leave_out: bool, log_alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: words, sum of logarithms without the terms in N, words scored by c(w) / N, words backed off."""
+def score_block(texts: list[bytes], elsewhere: np.ndarray, own: bool, log_alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: words, sum of logarithms without the terms in N, words scored by c(w) / N, words backed off.
+
+    elsewhere: counts of the block's distinct n-grams, by rising hash, without the block's own. own: the block was counted too.
+    """
     words, owner = words_of(texts)
     grams, last = instances(words, owner)
-    h, at, _ = distinct(grams, parts)
-    if len(h) != len(totals):
+    all_, of = np.concatenate(grams), np.concatenate([owner[x] for x in last])
+    order = np.argsort(all_, kind="stable")  # so an n-gram's instances stay in the documents' order
+    at, n = runs(all_[order])
+    if len(at) != len(elsewhere):
         raise RuntimeError("a block's n-grams changed between two reads of the documents; call score with reread=False")
-    of = np.concatenate([owner[x] for x in last])
-    count = totals[at]
-    if leave_out:
-        _, same, n = np.unique(of * max(1, len(h)) + at, return_inverse=True, return_counts=True)
-        count = count - n[same]
+    sorted_counts = np.repeat(elsewhere + n if own else elsewhere, n)
+    if own:
+        gram = np.repeat(np.arange(len(at)), n)
+        _, same = runs(gram * len(texts) + of[order])
+        sorted_counts = sorted_counts - np.repeat(same, same)
+    count = np.empty(len(all_), np.int64)
+    count[order] = sorted_counts
     by_order = np.split(count, np.cumsum([len(g) for g in grams])[:-1])
     full = np.zeros((ORDERS, len(words)), np.int64)  # by place of the last word; 0 where there is no such n-gram
     for row, c, x in zip(full, by_order, last):
@@ -256,7 +279,7 @@ def score_block(texts: list[bytes], totals: np.ndarray, parts: int, leave_out: b
     return np.bincount(owner, minlength=docs), sums.astype(np.float64), np.bincount(owner[used == 1], minlength=docs), np.bincount(owner[steps > 0], minlength=docs)
 
 
-def summed(answers: DataFrame, parts: int, leave_out: bool, log_alpha: float) -> DataFrame:
+def summed(answers: DataFrame, own: bool, log_alpha: float) -> DataFrame:
     """(id, n_words, logs, n_single, n_backed) per document: a block's counts meet its documents."""
     out = "id long, n_words long, logs double, n_single long, n_backed long"
 
@@ -266,12 +289,11 @@ def summed(answers: DataFrame, parts: int, leave_out: bool, log_alpha: float) ->
             if docs is None:
                 raise RuntimeError("a block of documents is missing in a second read; call score with reread=False")
             lengths = np.frombuffer(docs[3], "<i8")
-            size = int.from_bytes(docs[4][:8], "little")
-            joined = pa.decompress(docs[4][8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+            joined = unsqueezed(docs[4])
             ends = np.cumsum(lengths)
             texts = [joined[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
             totals = np.concatenate([np.zeros(0, np.int64), *(numbers(r[2], int.from_bytes(r[4], "little")).astype(np.int64) for r in sent)])
-            words, logs, single, backed = score_block(texts, totals, parts, leave_out, log_alpha)
+            words, logs, single, backed = score_block(texts, totals, own, log_alpha)
             null, ids = np.frombuffer(docs[2][: len(lengths)], bool), np.frombuffer(docs[2][len(lengths) :], "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(words), pa.array(logs), pa.array(single), pa.array(backed)], names=["id", "n_words", "logs", "n_single", "n_backed"])
 
@@ -304,7 +326,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
     if not own:
         need(corpus, text)
         grams = grams.unionByName(exploded(as_rows(corpus, F.lit(None)), parts, COUNTED, chars))
-    scored = written(summed(answered(grams, parts).unionByName(texts_of(rows, chars)), parts, own, math.log(alpha)), "scores")
+    scored = written(summed(answered(grams, parts).unionByName(texts_of(rows, chars)), own, math.log(alpha)), "scores")
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     total = (scored.agg(F.sum("n_words").alias("n")) if own else corpus.agg(F.sum(words).alias("n"))).first()["n"] or 0
     log_n = F.log(F.greatest(F.lit(total) - F.col("n_words") if own else F.lit(total), F.lit(1)))

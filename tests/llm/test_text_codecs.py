@@ -410,13 +410,18 @@ def test_word_hashes_and_packed_rows(monkeypatch):
     assert len(set(lm_scoring.words_of([" ".join(many).encode()])[0].tolist())) == 1000
     for n in (0, 1, 5, 3000):
         x = np.sort(np.random.default_rng(n).integers(0, 1 << 48, n, np.uint64))
-        assert (lm_scoring.hashes(*lm_scoring.packed_hashes(x)) == x).all()
+        assert (lm_scoring.places(*lm_scoring.packed_places(x)) == x).all()
     for most in (1, 300, 70_000):
         assert lm_scoring.numbers(lm_scoring.packed_numbers(np.array([0, most])), 2).tolist() == [0, most]
 
 
-def test_more_partitions_than_a_cap_would_allow():
-    assert len({p for p in lm_scoring.part_of(np.random.default_rng(1).integers(0, 1 << 64, 200_000, np.uint64), 1 << 20).tolist()}) > 170_000
+@pytest.mark.parametrize("parts", [1, 7, 1 << 17])
+def test_partitions_have_no_cap_and_keep_the_order(parts):
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 200_000, np.uint64))
+    part = np.searchsorted(lm_scoring.part_starts(parts), h, "right") - 1
+    assert part.tolist() == [(int(x) * parts) >> 64 for x in h]
+    place = lm_scoring.place_in_part(h, parts)
+    assert int(place.max()) < 1 << 48 and all(a < b or p != q for a, b, p, q in zip(place.tolist(), place[1:].tolist(), part.tolist(), part[1:].tolist()))
 
 
 def test_scores_of_empty_and_null_ids(spark):
