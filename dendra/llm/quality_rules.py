@@ -1,8 +1,8 @@
 """Quality rules as a ledger of failure bits (DataFrame functions only).
 
-``build_ledger`` evaluates every rule once and stores one bit per failed rule beside the
-measurements. Policies are versioned bit masks, so a new policy or an ablation reads the
-ledger, never the texts again.
+``build_ledger`` evaluates every rule once, one bit per failed rule beside the measurements; ``store_ledger``
+writes that down. Policies are versioned bit masks, so a new policy or an ablation reads the
+stored ledger, never the texts again.
 
 Defined cases: a null text has no words, so it fails ``too_few_words``; so does an empty one. Rows are
 judged alone: repeated rows get equal results and none is merged. Null ids pass through. An empty
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dendra.llm.common import HIDDEN, SPACES, need, text_of, without
+from dendra.llm.common import HIDDEN, SPACES, need, text_of, without, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -130,6 +130,13 @@ def build_ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     return measured.withColumn("fail_bits", F.when(stop, reduce(lambda a, b: a.bitwiseOR(b), bits)))
 
 
+def store_ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ledger (with the columns ``keep`` of ``docs``, all if None), evaluated once and written to the shared folder; policies and
+    ablations read it from there."""
+    ledger = build_ledger(docs, text)
+    return written(ledger if keep is None else ledger.select(*keep, *MEASURES, "fail_bits"), "ledger")
+
+
 def verdict(policy: Policy, bits: Column | None = None) -> Column:
     bits = F.col("fail_bits") if bits is None else bits
     passed = bits.bitwiseAND(F.lit(policy.hard)) == 0

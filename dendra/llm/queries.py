@@ -23,11 +23,12 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = rules.build_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = rules.verdict(rules.POLICIES["base-1"])
-    return rules.apply_policy(ledger, "prose-1").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~base).alias("base_failed"), "kept", "n_lines", "n_bangs", "fail_bits", "policy",
+    ledger = rules.store_ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    judged = rules.apply_policy(ledger, "prose-1").withColumns({"base_failed": ~rules.verdict(rules.POLICIES["base-1"]), "kept_leniently": rules.verdict(rules.POLICIES["lenient-1"])})
+    gain = rules.ablate(ledger, "prose-1").select(F.col("mask").alias("fail_bits"), "n_only_this_rule")
+    return judged.join(F.broadcast(gain), "fail_bits", "left").select(  # a row per rule
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bangs", "fail_bits", "policy",
+        "kept_leniently", F.coalesce("n_only_this_rule", F.lit(0)).alias("n_kept_without_its_rule"),
     )
 
 

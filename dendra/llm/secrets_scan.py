@@ -8,9 +8,10 @@ characters of the base64 alphabets that overlaps no base span is a candidate:
    alone are numbers, not candidates).
 2. Battery, under the hypothesis of even, independent symbols: chi-squared uniformity over the
    alphabet, runs above and below the alphabet's middle, lag-one serial correlation. Each |z| may reach CRITICAL.
-3. Against the hypothesis of natural text: the number of equal symbol pairs (what chi-squared sums up), with mean and variance from
-   the symbol frequencies of text in that alphabet and from the length. Short strings give weak evidence, so the z-value carries
-   the length.
+3. Against the hypothesis of natural text, two z-values with mean and variance from the length: the number of equal symbol pairs (what
+   chi-squared sums up), by the symbol frequencies of text in that alphabet, and the number of changes between digits, upper case, lower
+   case and marks, by how often words, camel case and paths change. Their sum over the root of two (Stouffer) is one z-value, so
+   strings of 20 symbols, for which either alone is weak, carry enough evidence.
 4. False discoveries: in each stratum (encoding and length band) over the whole table, the Benjamini-Hochberg rule at level
    FDR picks a bound for that z-value. Only a histogram of fixed size (strata times bins) reaches the driver.
 
@@ -33,20 +34,22 @@ from dendra.llm.common import HIDDEN, need, text_of, without, written
 KINDS = ["assign", "access", "hex", "random"]
 KEY = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = KEY + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# a run of a class is matched whole, so asking for its least length in the pattern gives the same spans
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Patterns that some match of the base patterns fits; cheap to look for in texts without any.
 HINT = {"assign": KEY + r"""["']?\x20*[:=]""", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
-#: Encoding: pattern, alphabet in order of value, and for natural text in it the chance that two, and three, symbols are equal.
+#: Encoding: pattern, alphabet in order of value, and for natural text in it the chance that two, and three, symbols are equal; the
+#: values at which another class of symbols (digits, upper, lower, marks) begins, and how often natural text changes class at most.
 ENCODINGS = [
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.2606, 0.0852),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0667, 0.0057),
-    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.0667, 0.0057),
-    ("base62", r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.0667, 0.0057),
-    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0667, 0.0057),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.2606, 0.0852, [10, 99, 99], 0.12),
+    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.0667, 0.0057, [26, 99, 99], 0.12),
+    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.0667, 0.0057, [10, 99, 99], 0.12),
+    ("base62", r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.0667, 0.0057, [10, 36, 99], 0.3),
+    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.0667, 0.0057, [26, 52, 62], 0.35),
 ]
 BANDS = [32, 48, 80]
 CRITICAL = 3.0
@@ -130,14 +133,17 @@ def _tested(name: str, df: DataFrame) -> DataFrame:
             lambda a, s: F.struct(s.alias("last"), F.when(s == a["last"], a["run"] + 1).otherwise(zero).alias("run"), (a["pairs"] + F.when(s == a["last"], a["run"] + 1).otherwise(zero)).alias("pairs")),
             lambda a: a["pairs"],
         )
+        cuts = [_pick(x["enc"], [float(e[5][k]) for e in ENCODINGS]) for k in range(3)]
+        kind_of = lambda s: reduce(lambda a, b: a + b, [(s >= c).cast("int") for c in cuts])
         walk = F.aggregate(
             v,
-            F.struct(F.lit(None).cast("double").alias("last"), zero.alias("high"), zero.alias("changes"), zero.alias("serial")),
+            F.struct(F.lit(None).cast("double").alias("last"), zero.alias("high"), zero.alias("changes"), zero.alias("serial"), zero.alias("turns")),
             lambda a, s: F.struct(
                 s.alias("last"),
                 (a["high"] + F.when(s > mid, 1.0).otherwise(0.0)).alias("high"),
                 (a["changes"] + F.when((a["last"] > mid) != (s > mid), 1.0).otherwise(0.0)).alias("changes"),
                 (a["serial"] + F.coalesce((a["last"] - mid) * (s - mid), zero)).alias("serial"),
+                (a["turns"] + F.when(kind_of(a["last"]) != kind_of(s), 1.0).otherwise(0.0)).alias("turns"),
             ),
         )
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["enc"].alias("enc"), n.cast("double").alias("n"), size.alias("a"), pairs.alias("pairs"), walk.alias("w"))
@@ -156,7 +162,10 @@ def _tested(name: str, df: DataFrame) -> DataFrame:
         z_serial = w["serial"] / (F.sqrt(n - 1) * (a * a - 1) / 12)
         even = (high > 0) & (low > 0) & (spread > 0) & (F.abs(z_chi) <= CRITICAL) & (F.abs(z_runs) <= CRITICAL) & (F.abs(z_serial) <= CRITICAL)
         two, three = (_pick(x["enc"], [e[i] for e in ENCODINGS]) for i in (3, 4))
-        z_text = (all_pairs * two - pairs) / F.sqrt(all_pairs * two * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two))
+        z_pairs = (all_pairs * two - pairs) / F.sqrt(all_pairs * two * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two))
+        often = _pick(x["enc"], [e[6] for e in ENCODINGS])
+        z_turns = (w["turns"] - (n - 1) * often) / F.sqrt((n - 1) * often * (1 - often))
+        z_text = (z_pairs + z_turns) / math.sqrt(2)
         band = reduce(lambda rest, b: F.when(n < b[1], F.lit(b[0])).otherwise(rest), reversed(list(enumerate(BANDS))), F.lit(len(BANDS)))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), (x["enc"] * (len(BANDS) + 1) + band).cast("int").alias("stratum"),

@@ -17,7 +17,8 @@ b AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_wor
                + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
                + 32 * (word_chars > 15 * n_words)::BIGINT + 64 * (2 * n_bangs > n_words)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
-       n_lines, n_bangs, fail_bits, 'prose-1' AS policy FROM b
+       n_lines, n_bangs, fail_bits, 'prose-1' AS policy, (fail_bits & 3) = 0 AND bit_count(fail_bits & 124) <= 1 AS kept_leniently,
+       CASE WHEN bit_count(fail_bits) = 1 THEN count(*) OVER (PARTITION BY fail_bits) ELSE 0 END::BIGINT AS n_kept_without_its_rule FROM b
 """
 
 # Counts of the other documents: all counts less the document's own.

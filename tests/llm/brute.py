@@ -1,12 +1,15 @@
 """Plain Python versions of the operators' results, written from their contracts."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
 
 import xxhash
 
+from dendra.llm import secrets_scan
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -25,6 +28,83 @@ def secrets(text):
     return sorted(found)
 
 
+def z_scores(token, alphabet, two, three, cuts, often):
+    """Chi-squared, runs and serial correlation against even symbols; pairs and class changes, combined, against natural text."""
+    v = [alphabet.index(c) for c in token]
+    n, a = len(v), len(alphabet)
+    pairs = sum(c * (c - 1) // 2 for c in Counter(v).values())
+    chi = a * (2 * pairs + n) / n - n
+    mid = (a - 1) / 2
+    bits = [x > mid for x in v]
+    high = sum(bits)
+    mean = 2 * high * (n - high) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(bits[i] != bits[i - 1] for i in range(1, n))
+    serial = sum((v[i] - mid) * (v[i - 1] - mid) for i in range(1, n)) / ((n - 1) ** 0.5 * (a * a - 1) / 12)
+    m = n * (n - 1) / 2
+    by_pairs = (m * two - pairs) / (m * two * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two)) ** 0.5
+    kind = [sum(x >= c for c in cuts) for x in v]
+    turns = sum(kind[i] != kind[i - 1] for i in range(1, n))
+    by_turns = (turns - (n - 1) * often) / ((n - 1) * often * (1 - often)) ** 0.5
+    return (chi - a + 1) / (2 * (a - 1) * (n - 1) / n) ** 0.5, (runs - mean) / spread**0.5 if spread > 0 and 0 < high < n else None, serial, (by_pairs + by_turns) / 2**0.5
+
+
+def random_candidates(text):
+    """(start, end, stratum, bin, passes the battery) of each run to test. The parameters are the operator's."""
+    text, base, out = text or "", secrets(text), []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text):
+        if m[0].isdigit() or any(a < m.end() and b > m.start() for a, _, b in base):
+            continue
+        k = next(i for i, e in enumerate(secrets_scan.ENCODINGS) if re.search(e[1], m[0]))
+        name, _, *more = secrets_scan.ENCODINGS[k]
+        token = m[0].lower() if name == "hex" else m[0].replace("-", "+").replace("_", "/")
+        chi, runs, serial, z = z_scores(token, *more)
+        even = runs is not None and max(abs(chi), abs(runs), abs(serial)) <= secrets_scan.CRITICAL
+        band = sum(len(token) >= b for b in secrets_scan.BANDS)
+        out.append((m.start(), m.end(), k * (len(secrets_scan.BANDS) + 1) + band, min(max(math.floor(z * 10), 0), secrets_scan.TOP_BIN), even))
+    return out
+
+
+def all_secrets(texts):
+    """Per text, its base and random spans: Benjamini-Hochberg per stratum over all texts, on binned p-values."""
+    tried = [random_candidates(t) for t in texts]
+    least = {}
+    for stratum in {c[2] for own in tried for c in own}:
+        bins = [(c[3], c[4]) for own in tried for c in own if c[2] == stratum]
+        good = [b for b in {b for b, _ in bins} if any(e for x, e in bins if x >= b) and (0.5 * math.erfc(b / 10 / 2**0.5) if b else 1) * len(bins) <= secrets_scan.FDR * sum(e for x, e in bins if x >= b)]
+        least[stratum] = min(good, default=math.inf)
+    return [sorted(secrets(t) + [(a, 3, b) for a, b, stratum, bin_, even in own if even and bin_ >= least[stratum]]) for t, own in zip(texts, tried)]
+
+
+def shingle_groups(ids, texts, least=0.8, size=5):
+    """Smallest id that each text reaches over pairs whose word shingles have this Jaccard similarity or more."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            holders.setdefault(x, []).append(i)
+    parent = list(range(len(ids)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s or {None} for j in holders[x] if j < i)
+        for j, n in common.items():
+            if n >= least * (max(1, len(s)) + max(1, len(sets[j])) - n) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    low = {}
+    for i, x in enumerate(ids):
+        low[root(i)] = min(low.get(root(i), x), x)
+    return [low[root(i)] for i in range(len(ids))]
+
+
 def span_text(spans):
     return ",".join(f"{['assign', 'access', 'hex', 'random'][k]}:{a}:{b}" for a, k, b in spans)
 

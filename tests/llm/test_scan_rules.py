@@ -38,28 +38,12 @@ def test_query_over_whole_table(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
     got = queries.secret_scans(spark, sf_dir).collect()
     assert len(got) == len(docs)
+    every = dict(zip(docs, brute.all_secrets(list(docs.values()))))
     for r in got:
         base = brute.secrets(docs[r["doc_id"]])
+        assert r["spans"] == brute.span_text(every[r["doc_id"]]) and r["n_random"] == len(every[r["doc_id"]]) - len(base)
         assert r["base_sha256"] == hashlib.sha256(brute.span_text(base).encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in base) for k in range(3)]
-        assert set(brute.span_text(base).split(",")) <= set(r["spans"].split(","))
-
-
-def z_scores(token, alphabet, two, three):
-    v = [alphabet.index(c) for c in token]
-    n, a = len(v), len(alphabet)
-    pairs = sum(v[i] == v[j] for i in range(n) for j in range(i))
-    chi = a * (2 * pairs + n) / n - n
-    mid = (a - 1) / 2
-    bits = [x > mid for x in v]
-    high = sum(bits)
-    mean = 2 * high * (n - high) / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs = 1 + sum(bits[i] != bits[i - 1] for i in range(1, n))
-    serial = sum((v[i] - mid) * (v[i - 1] - mid) for i in range(1, n)) / ((n - 1) ** 0.5 * (a * a - 1) / 12)
-    m = n * (n - 1) / 2
-    text = (m * two - pairs) / (m * two * (1 - two) + n * (n - 1) * (n - 2) * (three - two * two)) ** 0.5
-    return (chi - a + 1) / (2 * (a - 1) * (n - 1) / n) ** 0.5, (runs - mean) / spread**0.5 if spread > 0 else None, serial, text
 
 
 def test_battery_finds_random_strings_and_leaves_text(spark):
@@ -72,18 +56,33 @@ def test_battery_finds_random_strings_and_leaves_text(spark):
     assert not [texts[i] for i in flagged if i >= len(tokens)]
     kinds = {e[0]: e for e in secrets_scan.ENCODINGS}
     for i in flagged:  # each passes the battery, recomputed
-        _, _, alphabet, two, three = kinds["base62"]
-        assert all(abs(z) <= secrets_scan.CRITICAL for z in z_scores(tokens[i], alphabet, two, three)[:3])
+        assert all(abs(z) <= secrets_scan.CRITICAL for z in brute.z_scores(tokens[i], *kinds["base62"][2:])[:3])
+
+
+@pytest.mark.parametrize("length, least", [(20, 0.7), (26, 0.8), (40, 0.85)])
+def test_short_tokens_are_found_among_many_others(spark, length, least):
+    """At a share of 1 %, among identifiers, paths and long words."""
+    words = "get set user name value total order count list item page view file path data north river garden market" .split()
+    rng = random.Random(length)
+    others = []
+    while len(others) < 3000:
+        w = rng.choices(words, k=9)
+        x = rng.choice(["".join(a.title() for a in w), "/".join(w), "_".join(w), "".join(w), "-".join(w[:4]) + str(rng.randint(0, 9999)) + "/" + w[5]])[: length + 5]
+        if len(x) >= 20:
+            others.append(x)
+    tokens = ["".join(rng.choice(B64[:62]) for _ in range(length)) for _ in range(30)]
+    got = {r["doc_id"]: r["n_random"] for r in secrets_scan.scan(rows(spark, tokens + others)).collect()}
+    assert sum(got[i] for i in range(30)) >= least * 30
+    assert sum(got[i] for i in range(30, len(got))) <= 3
 
 
 def test_bins_equal_recomputed_scores(spark):
     tokens = ["".join(random.choice(B64[:62]) for _ in range(45)) for _ in range(20)]
     df = spark.createDataFrame([(t,) for t in tokens], "text string").withColumn("b", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     df = secrets_scan._tested("f", df.withColumn("f", secrets_scan._candidates(F.col("text"), F.col("b"))))
-    _, _, alphabet, two, three = secrets_scan.ENCODINGS[3]
     for r in df.collect():
         (x,) = r["f"]
-        chi, runs, serial, text = z_scores(r["text"], alphabet, two, three)
+        chi, runs, serial, text = brute.z_scores(r["text"], *secrets_scan.ENCODINGS[3][2:])
         assert x["bin"] == min(max(int(text * 10 // 1), 0), secrets_scan.TOP_BIN)
         assert x["even"] == all(abs(z) <= secrets_scan.CRITICAL for z in (chi, runs, serial))
 
