@@ -62,12 +62,28 @@ def held() -> int:
     return len(_paths())
 
 
+def taken(since: int) -> list[str]:
+    """The paths this thread has written after the first ``since``; from now on they are the caller's to ``drop``."""
+    paths = _paths()
+    own, paths[since:] = paths[since:], []
+    return own
+
+
+def given(paths: list[str]) -> None:
+    """Hands paths back to ``release``."""
+    _paths().extend(paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> None:
     """Delete what this thread has written (after the first ``since`` tables; the last one stays if ``but_last``); call it once
     the results that read it are stored."""
-    paths, jvm = _paths(), spark.sparkContext._jvm
-    kept = paths[-1:] if but_last and len(paths) > since else []
-    for name in paths[since : len(paths) - len(kept)]:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    paths[since:] = kept
+    own = taken(since)
+    kept = own[-1:] if but_last else []
+    drop(spark, own[: len(own) - len(kept)])
+    given(kept)
