@@ -67,6 +67,7 @@ def normalized(scores: DataFrame, validate: bool = False) -> DataFrame:
 
     validate: fail at run time where a score is above the diagonal of its column.
     """
+    scores = written(scores, "scores")  # read twice
     diagonal = scores.where("target_id = query_id").select("query_id", F.col("raw").alias("own"))
     ratio = F.col("raw") / F.col("own")
     value = _check(F.col("raw") <= F.col("own"), ratio, "a score is above its column's diagonal") if validate else ratio
@@ -78,6 +79,7 @@ def mean_scores(norm: DataFrame, validate: bool = False) -> DataFrame:
 
     validate: fail at run time where a normalised score is above 1.
     """
+    norm = written(norm, "normalized")  # read twice
     back = norm.select(F.col("target_id").alias("query_id"), F.col("query_id").alias("target_id"), F.col("normalized").alias("other"))
     both = (F.col("normalized") + F.col("other")) / 2
     value = _check(F.greatest("normalized", "other") <= 1 + 1e-9, both, "a normalised score is above 1") if validate else both

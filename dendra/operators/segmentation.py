@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendra.operators.components import components
+from dendra.plans.scratch import written
 
 
 def contacts(voxels: DataFrame) -> DataFrame:
@@ -106,9 +107,14 @@ def greedy_dendrogram(graph: DataFrame, min_threshold: float) -> DataFrame:
 
 
 def with_steps(dendro: DataFrame) -> DataFrame:
-    """The edges numbered in order. Sorts all of them in one task: for reports."""
-    order = Window.orderBy(F.desc("aff_sum"), "seg0", "seg1")
-    return dendro.withColumn("step", (F.row_number().over(order) - 1).cast("long"))
+    """The edges numbered in order: each range of the order is numbered by a task of its own, after the edges of the ranges before."""
+    order = [F.desc("aff_sum"), F.asc("seg0"), F.asc("seg1")]
+    ranged = written(dendro.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "steps")
+    counts = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())  # a row per range
+    before = [(p, sum(n for q, n in counts if q < p)) for p, _ in counts]
+    offsets = dendro.sparkSession.createDataFrame(before, "__part int, __before long")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("step", own).join(F.broadcast(offsets), "__part").withColumn("step", (F.col("step") + F.col("__before")).cast("long")).drop("__part", "__before")
 
 
 def build_dendrogram(voxels: DataFrame, min_threshold: float) -> DataFrame:

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendra.plans.scratch import written
 
 AXES = ("x", "y", "z")
+#: Points of a target that one task searches whole, query points of a block, and distances computed at once.
+TASK_POINTS = 1 << 14
+QUERY_BLOCK = 1 << 14
+TASK_CELLS = 1 << 21
 
 
 def bounding_box(points: DataFrame, group: list[str]) -> DataFrame:
@@ -50,7 +56,55 @@ def default_cell(targets: DataFrame, group: str, k: int) -> float:
     return float(got) if got and got > 0 else 1.0
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", cell: float | None = None, levels: tuple[int, ...] = (1, 4, 16)) -> DataFrame:
+def nearest_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, squared distance) of each query's k nearest, nearest first; ties go to the earlier row of x."""
+    k, out, step = min(k, len(x)), [], max(1, TASK_CELLS // max(1, len(x)))
+    for a in range(0, len(q), step):
+        dx, dy, dz = (q[a : a + step, None, c] - x[None, :, c] for c in range(3))
+        d2 = dx * dx + dy * dy + dz * dz
+        if k == 1:
+            at = d2.argmin(axis=1)
+            rows = np.arange(len(at))
+        else:
+            rows, at = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
+            order = np.lexsort((at, d2[rows, at], rows))
+            rows, at = rows[order], at[order]
+            first = np.searchsorted(rows, np.arange(len(d2)))
+            keep = np.arange(len(rows)) - first[rows] < k
+            rows, at = rows[keep], at[keep]
+        out.append((rows + a, at, d2[rows, at]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def knn_within_tasks(queries: DataFrame, targets: DataFrame, k: int, pairs: str) -> DataFrame:
+    """``knn`` for targets of at most TASK_POINTS points each: a task holds one target and a block of query points."""
+    blocks = 1 if pairs == "same" else max(1, -(-queries.count() // QUERY_BLOCK))  # a neuron's own points are few enough
+    kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *targets.schema.fields]}
+    block = F.pmod(F.xxhash64("query_id", "query_idx"), F.lit(blocks)).cast("int")
+    todo = queries.withColumn("block", block)
+    if pairs == "same":
+        todo = todo.withColumn("target_id", F.col("query_id"))
+    else:
+        ids = targets.select(F.col("target_id").alias("of")).distinct()
+        todo = todo.join(ids, F.col("query_id") != F.col("of")) if pairs == "other" else todo.crossJoin(ids)  # as many rows as are asked for
+        todo = todo.withColumnRenamed("of", "target_id")
+    there = targets.select(F.col("target_id").alias("target_id"), "idx", *AXES).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "query_idx", "target_id", "idx", "d2", "rank"]
+        if not len(q) or not len(t):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        t = t.sort_values("idx", kind="stable")
+        rows, at, d2 = nearest_of(q[["qx", "qy", "qz"]].to_numpy(float), t[list(AXES)].to_numpy(float), k)
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+        own = pd.Series(q["query_id"].to_numpy()[rows], dtype=object)
+        return pd.DataFrame({"query_id": own, "query_idx": q["query_idx"].to_numpy()[rows], "target_id": pd.Series([t["target_id"].iloc[0]] * len(rows), dtype=object), "idx": t["idx"].to_numpy()[at], "d2": d2, "rank": rank})[names]
+
+    out = f"query_id {kinds['query_id']}, query_idx {kinds['query_idx']}, target_id {kinds['target_id']}, idx {kinds['idx']}, d2 double, rank int"
+    return todo.groupBy("target_id", "block").cogroup(there.groupBy("target_id", "block")).applyInPandas(run, out)
+
+
+def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", cell: float | None = None, levels: tuple[int, ...] = (1, 4, 16), task_points: int = TASK_POINTS) -> DataFrame:
     """The k nearest target points of every query point, in each target neuron.
 
     queries: (query_id, query_idx, qx, qy, qz). targets: (target_id, idx, x, y, z). Result: query_id, query_idx, target_id, idx, d2,
@@ -58,13 +112,23 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", cell
 
     pairs: "all" target neurons, "same" (target_id = query_id, for neighbourhoods) or "other" (all but the same).
 
-    Exact, in levels: points are joined by grid cell (the query's cell and its 26 neighbours). If the k-th distance found is
+    Targets of at most TASK_POINTS points are searched within tasks. Others, exactly, in levels: points are joined by grid cell (the query's cell and its 26 neighbours). If the k-th distance found is
     within the cell width, nothing outside can be nearer; the other query points go to the next level with wider
     cells, and the last ones are compared with all points of the target neuron. A level's settled rows are written out,
     so no level is computed twice, and the levels end as soon as all points are settled.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    sizes = targets.groupBy("target_id").count()
+    large = sizes.agg(F.count("*").alias("n"), F.count(F.when(F.col("count") > task_points, 1)).alias("large")).first()
+    if not large["large"]:
+        return knn_within_tasks(queries, targets, k, pairs)
+    if large["large"] < large["n"]:
+        of = sizes.select("target_id", (F.col("count") > task_points).alias("large"))
+        marked = targets.join(of, "target_id")
+        more = marked.where("large").drop("large")
+        asked = queries.join(more.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi") if pairs == "same" else queries
+        return knn_within_tasks(queries, marked.where("NOT large").drop("large"), k, pairs).unionByName(knn(asked, more, k, pairs, cell, levels, 0))
     h = cell or default_cell(targets, "target_id", k)
     key = ["query_id", "query_idx", "target_id"]
     if pairs == "same":

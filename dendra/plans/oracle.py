@@ -123,16 +123,16 @@ def sql() -> dict[str, str]:
         "m2_m4_bbox": pts + """SELECT *, (CASE WHEN max_x - min_x >= max_y - min_y AND max_x - min_x >= max_z - min_z THEN 0 WHEN max_y - min_y >= max_z - min_z THEN 1 ELSE 2 END)::INTEGER AS dim FROM (
             SELECT neuron_id, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM p GROUP BY neuron_id)""",
         "m5_box_distance": f"""WITH {POINTS}, b AS (SELECT neuron_id AS box_id, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM p GROUP BY neuron_id),
-            o AS (SELECT neuron_id, idx, box_id, greatest(0.0, x0 - x, x - x1) AS dx, greatest(0.0, y0 - y, y - y1) AS dy, greatest(0.0, z0 - z, z - z1) AS dz FROM p JOIN b ON box_id <> neuron_id)
+            o AS (SELECT neuron_id, idx, box_id, greatest(0.0, x0 - x, x - x1) AS dx, greatest(0.0, y0 - y, y - y1) AS dy, greatest(0.0, z0 - z, z - z1) AS dz FROM p JOIN b ON box_id::INT = neuron_id::INT + 1)
             SELECT neuron_id, idx, box_id, dx*dx + dy*dy + dz*dz AS d2 FROM o""",
         "m9_knn": f"WITH {POINTS}, {_near(5, True)} SELECT query_id AS neuron_id, query_idx, idx, rank FROM nn",
         "n2_lookup": f"""WITH {POINTS}, {_near(1, False)}, {_scores()} SELECT query_id, query_idx, target_id, dist_bin, adp_bin, score
             FROM nn JOIN st ON sqrt(d2) >= lo AND sqrt(d2) < hi AND adp_bin = greatest(0, trunc((query_idx % 11) / 10 * 10 - 1e-4))::INTEGER""",
         "n5_vectors": f"WITH {VECTORS} SELECT neuron_id, idx, {_round('vx', 'vy', 'vz')} FROM vec",
         "n7_self": f"WITH {RAW} SELECT target_id, query_id, {_round('raw')} FROM own",
-        "n8_raw": f"""WITH {RAW}, alone AS (SELECT '0' AS target_id, '0' AS query_id, sum(score) AS raw FROM vec JOIN st
-            ON vec.neuron_id = '0' AND dist_bin = 0 AND adp_bin = least(9, greatest(0, trunc(round(vx*vx + vy*vy + vz*vz, 9) * 10 - 1e-4)))::INTEGER)
-            SELECT target_id, query_id, {_round('raw')} FROM (SELECT * FROM rawc WHERE target_id = '0' UNION ALL SELECT * FROM alone)""",
+        "n8_raw": f"""WITH {RAW}, alone AS (SELECT neuron_id AS target_id, neuron_id AS query_id, sum(score) AS raw FROM vec JOIN st
+            ON dist_bin = 0 AND adp_bin = least(9, greatest(0, trunc(round(vx*vx + vy*vy + vz*vz, 9) * 10 - 1e-4)))::INTEGER GROUP BY neuron_id)
+            SELECT target_id, query_id, {_round('raw')} FROM (SELECT * FROM rawc UNION ALL SELECT * FROM alone)""",
         "n9_matrix": f"WITH {RAW} SELECT target_id, query_id, {_round('raw')} FROM mx",
         "n11_normalized": f"WITH {RAW} SELECT target_id, query_id, {_round('normalized', digits=6)} FROM nm",
         "n12_mean": f"WITH {RAW} SELECT a.target_id, a.query_id, round(CASE WHEN a.target_id = a.query_id THEN 1.0::DOUBLE ELSE (a.normalized + b.normalized) / 2 END, 6) + 0.0 AS mean FROM nm a JOIN nm b ON b.target_id = a.query_id AND b.query_id = a.target_id",

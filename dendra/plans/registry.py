@@ -99,9 +99,10 @@ def m2_m4_bbox(spark, d) -> DataFrame:
 
 
 def m5_box_distance(spark, d) -> DataFrame:
+    """Each point's distance to the box of the neuron that follows by number."""
     p = derive.points(spark, d)
-    box = spatial.bounding_box(p, ["neuron_id"]).withColumnRenamed("neuron_id", "box_id").drop("dim")
-    pairs = p.join(F.broadcast(box), F.col("box_id") != F.col("neuron_id"))  # a box per neuron of a fixed set
+    box = spatial.bounding_box(p, ["neuron_id"]).select(F.col("neuron_id").alias("box_id"), *[f"{e}_{c}" for e in ("min", "max") for c in spatial.AXES])
+    pairs = p.join(box, F.col("neuron_id").cast("int") + 1 == F.col("box_id").cast("int"))
     return pairs.select("neuron_id", "idx", "box_id", spatial.box_distance().alias("d2"))
 
 
@@ -132,8 +133,7 @@ def n7_self(spark, d) -> DataFrame:
 
 def n8_raw(spark, d) -> DataFrame:
     v = _vectors(spark, d)
-    one = v.where("neuron_id = '0'")
-    return nblast.raw_scores(v, one).select("target_id", "query_id", *_r("raw"))
+    return nblast.raw_scores(v, v).select("target_id", "query_id", *_r("raw"))
 
 
 def n9_matrix(spark, d) -> DataFrame:

@@ -266,3 +266,27 @@ def test_greedy_merges(spark):
     graph = spark.createDataFrame([(1, 2, 2, 1.8), (2, 3, 1, 0.8), (1, 3, 4, 0.4), (7, 8, 1, 0.9)], "seg0 long, seg1 long, n long, aff_sum double")
     got = {(r["root"], r["step"]): (r["seg0"], r["seg1"], round(r["affinity"], 6)) for r in seg.greedy_dendrogram(graph, 0.2).collect()}
     assert got == {(1, 0): (1, 2, 0.9), (1, 1): (1, 3, 0.24), (7, 0): (7, 8, 0.9)}
+
+
+@pytest.mark.parametrize("pairs", ["same", "other", "all"])
+def test_searches_within_tasks_and_by_grid_agree(spark, monkeypatch, pairs):
+    monkeypatch.setattr(spatial, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(spatial, "TASK_CELLS", 300)
+    points = cloud(spark, a=R.normal(size=(60, 3)), b=np.round(R.normal(size=(90, 3)) * 2), c=np.zeros((7, 3)))  # b and c hold ties
+    q, t = spatial.as_queries(points), spatial.as_targets(points)
+    rows = lambda n: sorted((r["query_id"], r["query_idx"], r["target_id"], r["rank"], r["idx"], r["d2"]) for r in spatial.knn(q, t, 4, pairs, task_points=n).collect())
+    whole = rows(1000)
+    assert whole == rows(70) == rows(0) and len({r[2] for r in whole}) == 3
+
+
+def test_steps_count_over_ranges(spark):
+    edges = spark.createDataFrame([(int(a), int(b), 1, float(c)) for a, b, c in zip(range(300), range(300, 600), R.integers(0, 20, 300))], "seg0 long, seg1 long, n long, aff_sum double")
+    got = seg.with_steps(edges).collect()
+    assert [r["step"] for r in sorted(got, key=lambda r: (-r["aff_sum"], r["seg0"], r["seg1"]))] == list(range(300))
+
+
+def test_components_over_several_rounds(spark):
+    """Too many edges for one task."""
+    edges = [(i, i + 1) for i in range(0, 90)] + [(200, i) for i in range(201, 240)] + [(5, 5)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b", task_edges=4).collect()}
+    assert got == {i: 0 for i in range(91)} | {i: 200 for i in range(200, 240)}
