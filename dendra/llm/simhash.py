@@ -20,6 +20,7 @@ alone has a null ``component_id``. Repeated rows stay rows. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,13 @@ BLOCK = 1 << 16
 #: Children of a node.
 FAN = 8
 #: Pairs of nodes expanded at once.
-FRONTIER = 1 << 18
-#: Fingerprints in one bucket above which the bucket is dealt out again by the bits it doesn't share.
-HOT_BUCKET = 1 << 20
+FRONTIER = 1 << 14
+#: Fingerprints in one bucket above which the bucket is dealt out again by the bits it doesn't share, and how often at most: three
+#: times leaves one bit in four of those not shared to the last bands, so a larger bucket holds near copies in great number.
+HOT_BUCKET = 1 << 14
+DEALS = 3
+#: Entries of the index per task.
+TASK_ROWS = 1 << 18
 
 
 # fingerprints
@@ -174,13 +179,12 @@ class GrayIndex:
         return (ra >= 0) & (ra == rb)
 
 
-def bucket_links(fps: np.ndarray, shift: int, width: int, max_bits: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest over the fingerprints that agree in ``width`` bits from ``shift`` (and in the bits of ``more``)."""
+def bucket_links(fps: np.ndarray, shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest over the fingerprints, of which all agree in the bits of ``shared``. They are turned so that these come first."""
+    shift = 64 - shared.bit_length() if shared else 0
     turned = np.unique(rotated(fps, shift))
-    order = np.argsort(gray_rank(turned))
-    turned = turned[order]
-    shared = np.uint64(((1 << width) - 1) << (64 - width)) | rotated(np.array([more], np.uint64), shift)[0]
-    parent = GrayIndex(turned, shared).links(np.arange(len(turned)), max_bits) if len(turned) else np.zeros(0, np.int64)
+    turned = turned[np.argsort(gray_rank(turned))]
+    parent = GrayIndex(turned, rotated(np.array([shared], np.uint64), shift)[0]).links(np.arange(len(turned)), max_bits) if len(turned) else np.zeros(0, np.int64)
     child = np.flatnonzero(parent != np.arange(len(turned)))
     back = rotated(turned, 64 - shift)
     return back[parent[child]], back[child]
@@ -196,39 +200,69 @@ def bands(max_bits: int, bits: list[int]) -> list[int]:
     return [sum(1 << b for b in bits[cut[i] : cut[i + 1]]) for i in range(k)]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET, deals: int = DEALS) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints of ``fps`` (column fp) that span every component of the link graph.
 
-    A bucket with more than ``hot`` fingerprints is dealt out once more by bands of the bits outside its own
-    band, which keeps every link by the same argument and bounds what one task holds.
+    A bucket with more than ``hot`` fingerprints is dealt out again by bands of the bits that its members needn't share, which keeps
+    every link by the same argument, and again while it is too large, up to ``deals`` times in all. A bucket is known by the mask of
+    its shared bits, their pattern, and the number of its bits dealt last.
     """
-    first = bands(max_bits, list(range(64)))
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    row = lambda mask, band: F.struct(F.lit(band).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("long")).alias("key"))
-    dealt = fps.select("fp", F.inline(F.array(*[row(m, i) for i, m in enumerate(first)])))
-    count = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("band", "key", F.lit(True).alias("hot"))
-    marked = dealt.join(count, ["band", "key"], "left")
-    again = [F.array(*[F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("sub_key")) for j, m in enumerate(bands(max_bits, [b for b in range(64) if not own >> b & 1]))]) for own in first]
-    pick = F.when(F.col("hot"), F.element_at(F.array(*again), F.col("band") + 1)).otherwise(F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("sub_key"))))
-    rows = marked.select("fp", "band", "key", F.inline(pick)).repartition("band", "key", "sub", "sub_key")
-    width = 64 // (max_bits + 1)
+    mask_of = {0: 0}  # number of a mask (base max_bits + 2 digits, one per deal) to the mask: 4 + 16 + 64 at most
+
+    def deal(rows: DataFrame, numbers: list[int]) -> DataFrame:
+        """rows (fp, mask: number) with the mask's bands added and the pattern under the wider mask."""
+        cases = None
+        for number in numbers:
+            old = mask_of[number]
+            fresh = []
+            for i, band in enumerate(bands(max_bits, [b for b in range(64) if not old >> b & 1])):
+                wider = number * (max_bits + 2) + i + 1
+                mask_of[wider] = old | band
+                fresh.append(F.struct(F.lit(wider).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(old | band)).cast("long")).alias("pattern")))
+            cases = F.when(F.col("mask") == number, F.array(*fresh)) if cases is None else cases.when(F.col("mask") == number, F.array(*fresh))
+        return rows.select("fp", F.inline(cases))
+
+    todo, done = deal(fps.select("fp", F.lit(0).alias("mask")), [0]), []
+    for turn in range(1, deals + 1):
+        todo = written(todo, "bands")
+        large = todo.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("mask", "pattern")
+        if turn == deals or not large.take(1):
+            done.append(todo)
+            break
+        large = written(large, "large")  # at most one bucket per ``hot`` entries
+        done.append(todo.join(large, ["mask", "pattern"], "left_anti"))
+        numbers = [n for n in mask_of if (max_bits + 2) ** (turn - 1) <= n]
+        todo = deal(todo.join(large, ["mask", "pattern"], "left_semi").select("fp", "mask"), numbers)
+    rows = reduce(DataFrame.unionByName, [d.select("fp", "mask", "pattern") for d in done])
+    tasks = max(1, -(-rows.count() // TASK_ROWS), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        fp, band, sub = (np.concatenate(x) for x in zip(*got))
-        for t in np.unique(band):
-            for s in np.unique(sub[band == t]):
-                own = fp[(band == t) & (sub == s)].view(np.uint64)
-                low, high = (first[t] & -first[t]).bit_length() - 1, first[t].bit_length()
-                more = bands(max_bits, [b for b in range(64) if not first[t] >> b & 1])[s] if s >= 0 else 0
-                a, b = bucket_links(own, 64 - high, high - low, max_bits, more)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    assert width * (max_bits + 1) <= 64
-    return rows.select("fp", "band", "sub").mapInArrow(run, "a long, b long")
+        """Bucket by bucket: rows come sorted by bucket."""
+
+        def linked(mask: int, own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            whole = np.concatenate(own).view(np.uint64)
+            if len(whole) < 2:
+                return
+            a, b = bucket_links(whole, mask_of[mask], max_bits)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        now, own = None, []
+        for batch in batches:
+            fp, mask, pattern = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])) + 1
+            for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(fp)).tolist()):
+                if a < b:
+                    if now is not None and now != (mask[a], pattern[a]):
+                        yield from linked(int(now[0]), own)
+                        own = []
+                    now = (mask[a], pattern[a])
+                    own.append(fp[a:b])
+        if own:
+            yield from linked(int(now[0]), own)
+
+    return rows.repartition(tasks, "mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, keep: list[str] | None = None, least: float | None = None) -> DataFrame:

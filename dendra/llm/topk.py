@@ -1,32 +1,34 @@
 """Exact top-k by inner product over whole-number vectors.
 
-Vectors are cut into slots of bounded size by falling length. A first pass answers every query from the longest
-vectors alone and so knows a score that its k-th answer reaches at least. In the second pass each query block
-meets each slot; inside a slot vectors go by falling length, rotated by the right singular vectors of the
-whole table so that the first coordinates hold most of the length. A block of vectors is skipped once
-|q| * |x| can't reach the k-th score (and with it all shorter ones); a vector is dropped once the sum over the first
-coordinates plus |rest of q| * |rest of x| (Cauchy-Schwarz) can't. What is left is scored in whole numbers, so
-rotation and rounding decide only what is skipped, never a score; bounds carry a margin over rounding.
-
-Queries meet all rows in blocks (a stated query set against all rows): a block of ``QUERY_ROWS`` queries and a slot of
-``SLOT_ROWS`` vectors are one task's work, neither grows with the table.
-
-Defined cases: vectors that are null, of another length than most, or that hold a null or non-finite component take no
-part. Ties go to the smaller id. A query's own id is never its answer. Rows that repeat a candidate's id are candidates
-each; queries that repeat an id are answered once, for the first vector in order. Rows with a null id take no part.
-An empty table gives an empty result.
+A first pass answers every query from the longest vectors alone and so knows a score that its k-th answer reaches at least (its
+floor); a vector shorter than floor / |q| can't be an answer. Vectors are dealt into slots by falling length, queries into blocks by
+that least length, both by histograms of fixed size, so a vector is copied only to the blocks whose queries it may answer
+(Cauchy-Schwarz), and a block meets only slots of long enough vectors. Inside a slot vectors go by falling length, rotated by the right
+singular vectors of the whole table so that the first coordinates hold most of the length. A run of vectors is skipped once |q| * |x|
+can't reach the k-th score; a vector is dropped once the sum over the first coordinates plus |rest of q| * |rest of x| can't.
+What is left is scored in whole numbers, so rotation and rounding decide only what is skipped, never a score; bounds carry a
+margin over rounding. Only scores that reach the floor leave a task.
+
+A block of ``QUERY_ROWS`` queries and a slot of ``SLOT_ROWS`` vectors are one task's work, neither grows with the table; a length that a
+third of all vectors have fills many slots.
+
+Defined cases: vectors that are null or empty, or that hold a null or non-finite component, take no part; nor do rows with a null id. Vectors
+of several lengths are answered among those of their own length. Ties go to the smaller id. Only the query's own row is no answer: rows
+that repeat its id are, and queries that repeat an id are answered each. Ids that aren't whole numbers, and components so large that a score
+may exceed 64 bits, are an error. Other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.llm.common import HIDDEN, need, with_row_id, written
+from dendra.llm.common import HIDDEN, need, whole_ids, with_row_id, written
 
 K = 10
 QUERY_ROWS = 2048
@@ -70,15 +72,15 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(m.reshape(dim, dim))[1][:, ::-1].copy()
 
 
-def best_of(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, rot: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its up to k best of x (id, score). floor: scores below it can't be among the k; x in any order."""
+def best_of(queries: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, rot: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its up to k best of x (id, score) that reach its floor. q_rows, rows: row numbers; a query's own row is no answer."""
     first = min(FIRST, x.shape[1])
     order = np.argsort(-(x * x).sum(axis=1), kind="stable")
-    x, ids = x[order], ids[order]
+    x, ids, rows = x[order], ids[order], rows[order]
     xr, qr = x.astype(np.float64) @ rot, queries.astype(np.float64) @ rot
     length, q_length = np.sqrt((xr * xr).sum(axis=1)), np.sqrt((qr * qr).sum(axis=1))
     x_rest, q_rest = np.sqrt((xr[:, first:] ** 2).sum(axis=1)), np.sqrt((qr[:, first:] ** 2).sum(axis=1))
-    floor = floor.astype(np.float64).copy()
+    least, floor = floor, floor.astype(np.float64)
     found_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
     found = np.full((len(queries), k), NONE)
     for a in range(0, len(x), STEP):
@@ -91,7 +93,7 @@ def best_of(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.nda
         bound += MARGIN * np.outer(q_length[live], length[a:b]) + 1
         qi, xi = np.nonzero(bound >= floor[live][:, None])
         qi = live[qi]
-        own = ids[a + xi] != q_ids[qi]
+        own = rows[a + xi] != q_rows[qi]
         qi, xi = qi[own], a + xi[own]
         if not len(qi):
             continue
@@ -104,60 +106,95 @@ def best_of(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.nda
             found[q], found_ids[q] = all_scores[top], all_ids[top]
             floor[q] = max(floor[q], float(found[q, -1]))
     for q in range(len(queries)):
-        real = found[q] > NONE
+        real = (found[q] > NONE) & (found[q] >= least[q])
         yield q, found_ids[q][real], found[q][real]
 
 
+def bin_of(square: Column) -> Column:
+    """Squared lengths in 64 bins for each doubling, a fixed number in all."""
+    return F.floor(64 * F.log2(1 + square)).cast("int")
+
+
+def dealt(counts: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(bin, first group, groups) for (bin, rows) in the order given: groups of about ``size`` rows. A bin with more fills several of its own."""
+    out, group, room = [], -1, 0
+    for b, n in counts:
+        if n > room:
+            span = -(-n // size)
+            out.append((b, group + 1, span))
+            group, room = group + span, size - n if span == 1 else 0
+        else:
+            out.append((b, group, 1))
+            room -= n
+    return out
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector: str = "embedding", by: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, the k rows with the highest inner product."""
     need(vectors, id_col, vector)
-    spark = vectors.sparkSession
-    rid, slot, block = (HIDDEN + x for x in ("rid", "slot", "block"))
-    out = "query_id long, vec_id long, score long"
+    whole_ids(vectors, id_col)
+    rid = HIDDEN + "rid"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("asked"), scaled(vector, by).alias("x"))
     rows = written(with_row_id(rows.where(F.col("x").isNotNull() & F.col("id").isNotNull()), rid), "vectors")
-    sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, n, asked = sizes["d"], sizes["n"], sizes["q"]
-    rows = rows.where(F.size("x") == dim)
-    rot = rotation(rows, dim)
-    square = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
-    rows = rows.withColumn("square", square)
+    most = F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x")))).alias("most")
+    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("long")).alias("asked"), most).orderBy("d").collect()  # a row per vector length
+    for g in lengths:
+        if g["d"] * g["most"] ** 2 >= 1 << 62:
+            raise ValueError(f"components up to {g['most']} make scores beyond 64 bits")
+    found = [_of_length(rows.where(F.size("x") == g["d"]), g["d"], k) for g in lengths if g["asked"]]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    near = reduce(DataFrame.unionByName, found)
+    return near.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
-    head = rows.orderBy(F.desc("square"), "id").limit(HEAD_ROWS).select("id", "x").toPandas()  # a fixed number of rows
-    head_x, head_ids = np.stack(head["x"].to_numpy()).astype(np.int64), head["id"].to_numpy()
-    shared = spark.sparkContext.broadcast((rot, head_x, head_ids))
 
-    first = Window.partitionBy("id").orderBy("x", rid)
-    q = rows.where("asked").withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "x")
+def _of_length(rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query, query_id, vec_id, score): up to k answers of each query from each slot that it meets."""
+    spark, rid = rows.sparkSession, HIDDEN + "rid"
+    slot, block, bin_ = (HIDDEN + x for x in ("slot", "block", "bin"))
+    rows = rows.withColumn("x", F.col("x").cast("array<int>"))  # components that fit the bound on scores fit 32 bits
+    rot = rotation(rows, dim)
+    rows = rows.withColumn("square", F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v))
+    stacked = lambda x: np.stack(x.to_numpy()).astype(np.int64)
+
+    head = rows.orderBy(F.desc("square"), "id").limit(HEAD_ROWS).select("id", "x", rid).toPandas()  # a fixed number of rows
+    shared = spark.sparkContext.broadcast((rot, stacked(head["x"]), head["id"].to_numpy(), head[rid].to_numpy()))
 
     def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rot, hx, hi = shared.value
+        rot, hx, hi, hr = shared.value
         for b in batches:
             if len(b):
-                own = np.stack(b["x"].to_numpy()).astype(np.int64)
                 low = np.full(len(b), NONE)
-                for i, _, s in best_of(own, b["id"].to_numpy(), low.astype(np.float64), hx, hi, rot, k):
+                for i, _, s in best_of(stacked(b["x"]), b[rid].to_numpy(), low, hx, hi, hr, rot, k):
                     if len(s) == k:
                         low[i] = s[-1]
                 yield b.assign(floor=low)
 
-    blocks, slots = max(1, -(-asked // QUERY_ROWS)), max(1, -(-n // SLOT_ROWS))
-    seeded = q.mapInPandas(seed, "id long, x array<bigint>, floor long")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = seeded.withColumn(block, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(slot, each(slots))
-    # slots by falling length would put all long vectors into one task's hands; dealt out, each has some of every length
-    right = rows.select("id", "x", F.pmod(F.xxhash64(rid), F.lit(slots)).cast("int").alias(slot)).withColumn(block, each(blocks))
+    seeded = rows.where("asked").select("id", "x", "square", rid).mapInPandas(seed, f"id long, x {rows.schema['x'].dataType.simpleString()}, square long, {rid} long, floor long")
+    least = F.greatest(F.col("floor").cast("double"), F.lit(0.0)) / F.greatest(F.sqrt("square"), F.lit(1.0))
+    asked = written(seeded.withColumn(bin_, bin_of(least * least)), "queries")
+    rows = rows.withColumn(bin_, bin_of(F.col("square")))
+    counted = lambda df: [(r[bin_], r["count"]) for r in df.groupBy(bin_).count().collect()]  # noqa: E731  at most 4,033 bins
+    slots, blocks = dealt(sorted(counted(rows), reverse=True), SLOT_ROWS), dealt(sorted(counted(asked)), QUERY_ROWS)
+    # a block goes to the slots before the first whose vectors are too short, and the other way round; one bin's leeway covers rounding
+    met_slots = [(b, first, span, max((f + n for s, f, n in slots if s + 1 >= b), default=0)) for b, first, span in blocks]
+    met_blocks = [(s, first, span, max((f + n for b, f, n in blocks if b <= s + 1), default=0)) for s, first, span in slots]
+
+    def placed(df: DataFrame, table: list[tuple], own: str, other: str) -> DataFrame:
+        of = spark.createDataFrame(table, f"{bin_} int, first int, span int, met int")
+        at = df.join(F.broadcast(of), bin_).where("met > 0")  # a row per bin
+        return at.withColumn(own, (F.col("first") + F.pmod(F.xxhash64(rid), F.col("span"))).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("met") - 1)))
+
+    left = placed(asked, met_slots, block, slot).select("id", "x", "floor", rid, block, slot)
+    right = placed(rows, met_blocks, slot, block).select("id", "x", F.col(rid).alias("row"), block, slot)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        got: list[tuple] = []
+        got: list[np.ndarray] = []
         if len(a) and len(b):
-            ids = a["id"].to_numpy()
-            for i, vec, score in best_of(np.stack(a["x"].to_numpy()).astype(np.int64), ids, a["floor"].to_numpy(), np.stack(b["x"].to_numpy()).astype(np.int64), b["id"].to_numpy(), shared.value[0], k):
-                got += [(ids[i], v, s) for v, s in zip(vec, score)]
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"], dtype=np.int64)
+            ids, own = a["id"].to_numpy(), a[rid].to_numpy()
+            for i, vec, score in best_of(stacked(a["x"]), own, a["floor"].to_numpy(), stacked(b["x"]), b["id"].to_numpy(), b["row"].to_numpy(), shared.value[0], k):
+                got.append(np.column_stack([np.full(len(vec), own[i]), np.full(len(vec), ids[i]), vec, score]))
+        return pd.DataFrame(np.concatenate(got) if got else np.zeros((0, 4), np.int64), columns=["query", "query_id", "vec_id", "score"])
 
-    near = left.groupBy(block, slot).cogroup(right.groupBy(block, slot)).applyInPandas(meet, out)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return left.groupBy(block, slot).cogroup(right.groupBy(block, slot)).applyInPandas(meet, "query long, query_id long, vec_id long, score long")

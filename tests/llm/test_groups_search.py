@@ -63,8 +63,7 @@ def test_index_finds_all_links(kind, bits):
     f = np.unique(f)
     parent, at = np.arange(len(f)), {int(x): i for i, x in enumerate(f)}
     for mask in simhash.bands(bits, list(range(64))):
-        low, high = (mask & -mask).bit_length() - 1, mask.bit_length()
-        a, b = simhash.bucket_links(f, 64 - high, high - low, bits)
+        a, b = simhash.bucket_links(f, mask, bits)
         assert all(int(x ^ y).bit_count() <= 64 for x, y in zip(a, b))
         if len(a):
             parent = simhash.union(parent, np.array([at[int(x)] for x in a]), np.array([at[int(x)] for x in b]))
@@ -144,7 +143,11 @@ def test_top_k_prunes_nothing_it_needs(spark, monkeypatch, sizes):
     bad = [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1002, [math.nan] * 8), (1003, [math.inf] * 8), (1004, [1.0]), (1005, []), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")
     x = np.floor(1024 * v).astype(np.int64)
-    assert answers(topk.top_k(df, F.col("vec_id") % 20 == 0)) == brute_top(np.arange(400), x, np.arange(400) % 20 == 0)
+    short = spark.createDataFrame([(5000, [1.0]), (5001, [-2.0])], "vec_id long, embedding array<double>")  # another length, with 1004
+    by_length = answers(topk.top_k(df.unionByName(short), F.col("vec_id").isin(5000, 5001)))
+    assert by_length == {5000: [(1004, 1 << 20), (5001, -2 << 20)], 5001: [(1004, -2 << 20), (5000, -2 << 20)]}
+    clash = df.withColumns({"score": F.lit("x"), "rank": F.lit(None), "query_id": F.col("vec_id")})
+    assert answers(topk.top_k(clash, F.col("vec_id") % 20 == 0)) == brute_top(np.arange(400), x, np.arange(400) % 20 == 0)
 
 
 def test_top_k_small_tables(spark):
@@ -155,6 +158,24 @@ def test_top_k_small_tables(spark):
     assert answers(topk.top_k(three, F.col("vec_id") == 0)) == {0: [(1, 3 << 20), (1, 2 << 20), (100, -(1 << 20))]}
 
 
+def test_top_k_bounds(spark):
+    big = spark.createDataFrame([(0, [3e6] * 4), (1, [3e6] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(big, F.lit(True))
+    with pytest.raises(ValueError, match="vec_id"):
+        topk.top_k(big.withColumn("vec_id", F.lit("x")), F.lit(True))
+
+
+def test_slots_and_blocks():
+    assert topk.dealt([(9, 3), (8, 30), (7, 4), (6, 5), (5, 2)], 10) == [(9, 0, 1), (8, 1, 3), (7, 4, 1), (6, 4, 1), (5, 5, 1)]
+
+
+def test_repeated_ids_are_answered_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (3, [1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == [(1, 3, 1 << 20), (1, 3, 2 << 20), (2, 0, 0), (2, 0, 0)]
+
+
 # sharding
 
 
