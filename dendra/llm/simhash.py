@@ -45,6 +45,8 @@ FRONTIER = 1 << 14
 #: times leaves one bit in four of those not shared to the last bands, so a larger bucket holds near copies in great number.
 HOT_BUCKET = 1 << 14
 DEALS = 3
+#: Fingerprints of small buckets that share an index.
+BATCH = 1 << 13
 #: Entries of the index per task.
 TASK_ROWS = 1 << 18
 
@@ -238,7 +240,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET, deals
     tasks = max(1, -(-rows.count() // TASK_ROWS), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bucket by bucket: rows come sorted by bucket."""
+        """Rows come sorted by bucket. Buckets of one mask share an index up to BATCH fingerprints: it only links what agrees in the mask."""
 
         def linked(mask: int, own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             whole = np.concatenate(own).view(np.uint64)
@@ -248,17 +250,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET, deals
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        now, own = None, []
+        now, own, held = None, [], 0
         for batch in batches:
             fp, mask, pattern = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])) + 1
             for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(fp)).tolist()):
                 if a < b:
-                    if now is not None and now != (mask[a], pattern[a]):
+                    key = (mask[a], pattern[a])
+                    if now is not None and now != key and (now[0] != key[0] or held > BATCH):
                         yield from linked(int(now[0]), own)
-                        own = []
-                    now = (mask[a], pattern[a])
+                        own, held = [], 0
+                    now = key
                     own.append(fp[a:b])
+                    held += b - a
         if own:
             yield from linked(int(now[0]), own)
 

@@ -72,6 +72,13 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(m.reshape(dim, dim))[1][:, ::-1].copy()
 
 
+def exact(queries: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs: by one matrix product of doubles where these hold every sum exactly, else pair by pair."""
+    if queries.shape[1] * float(np.abs(queries).max()) * float(np.abs(x).max()) < 1 << 53:
+        return (queries.astype(np.float64) @ x.astype(np.float64).T)[qi, xi].astype(np.int64)
+    return np.concatenate([np.einsum("ij,ij->i", queries[qi[s : s + STEP]], x[xi[s : s + STEP]]) for s in range(0, len(qi), STEP)])
+
+
 def best_of(queries: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, rot: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its up to k best of x (id, score) that reach its floor. q_rows, rows: row numbers; a query's own row is no answer."""
     first = min(FIRST, x.shape[1])
@@ -82,7 +89,7 @@ def best_of(queries: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, x: np.nd
     x_rest, q_rest = np.sqrt((xr[:, first:] ** 2).sum(axis=1)), np.sqrt((qr[:, first:] ** 2).sum(axis=1))
     least, floor = floor, floor.astype(np.float64)
     found_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-    found = np.full((len(queries), k), NONE)
+    found, least_now = np.full((len(queries), k), NONE), least.astype(np.int64)
     for a in range(0, len(x), STEP):
         b = min(len(x), a + STEP)
         live = np.flatnonzero(q_length * length[a] * (1 + MARGIN) + 1 > floor)
@@ -94,17 +101,25 @@ def best_of(queries: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, x: np.nd
         qi, xi = np.nonzero(bound >= floor[live][:, None])
         qi = live[qi]
         own = rows[a + xi] != q_rows[qi]
-        qi, xi = qi[own], a + xi[own]
+        qi, xi = qi[own], xi[own]
         if not len(qi):
             continue
-        score = np.einsum("ij,ij->i", queries[qi], x[xi]) if len(qi) < 1 << 20 else np.concatenate([np.einsum("ij,ij->i", queries[qi[s : s + (1 << 20)]], x[xi[s : s + (1 << 20)]]) for s in range(0, len(qi), 1 << 20)])
-        cuts = np.searchsorted(qi, np.arange(len(queries) + 1))
-        for q in np.unique(qi):
-            s = slice(cuts[q], cuts[q + 1])
-            all_scores, all_ids = np.concatenate([found[q], score[s]]), np.concatenate([found_ids[q], ids[xi[s]]])
-            top = np.lexsort((all_ids, -all_scores))[:k]
-            found[q], found_ids[q] = all_scores[top], all_ids[top]
-            floor[q] = max(floor[q], float(found[q, -1]))
+        score = exact(queries, x[a:b], qi, xi)
+        # what may still be among a query's k: all that reach its k-th score so far and the k-th of this step
+        table = np.full((len(queries), b - a), NONE)
+        table[qi, xi] = score
+        kth = np.partition(table, max(0, b - a - k), axis=1)[:, max(0, b - a - k)]
+        good = score >= np.maximum(kth, least_now)[qi]
+        qi, xi, score = qi[good], xi[good], score[good]
+        some = np.unique(qi)
+        was = np.repeat(some, k)
+        all_q, all_s, all_i = np.concatenate([was, qi]), np.concatenate([found[some].ravel(), score]), np.concatenate([found_ids[some].ravel(), ids[a + xi]])
+        order = np.lexsort((all_i, -all_s, all_q))
+        place = np.arange(len(order)) - np.searchsorted(all_q[order], all_q[order])
+        order = order[place < k]
+        found[some], found_ids[some] = all_s[order].reshape(-1, k), all_i[order].reshape(-1, k)
+        least_now = np.maximum(least_now, found[:, -1])
+        floor = np.maximum(floor, found[:, -1].astype(np.float64))
     for q in range(len(queries)):
         real = (found[q] > NONE) & (found[q] >= least[q])
         yield q, found_ids[q][real], found[q][real]
