@@ -25,7 +25,19 @@ def _spark(spark: SparkSession | None) -> SparkSession:
     return spark or SparkSession.builder.getOrCreate()
 
 
-class Skeleton:
+class _Handle:
+    """A handle on ``frame``; its pickle holds the rows, and is opened in the session that is active then."""
+
+    frame: DataFrame
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"frame": self.frame.toArrow()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, frame=_spark(None).createDataFrame(state["frame"]))
+
+
+class Skeleton(_Handle):
     """One neuron's tree."""
 
     def __init__(self, frame: DataFrame):
@@ -109,7 +121,7 @@ class Skeleton:
         self.frame = _down.downsample(self.frame, step, duplicate_junctions).drop("source_idx")
 
 
-class KDTree:
+class KDTree(_Handle):
     """Nearest neighbours of single points; ``leaf_size`` can't change an answer and is only kept."""
 
     def __init__(self, points: np.ndarray, leaf_size: int = 10, spark: SparkSession | None = None):
@@ -122,7 +134,7 @@ class KDTree:
         return np.array(rows[0]["neighbours"] if rows else [], "u4")
 
 
-class VectorCloud:
+class VectorCloud(_Handle):
     """One neuron's points with their directions."""
 
     def __init__(self, points: np.ndarray, leaf_size: int = 10, k: int = 20, spark: SparkSession | None = None):

@@ -152,6 +152,11 @@ def initialize(n: int, spark, neuron_id: str = "0") -> DataFrame:
     return spark.range(n).select(F.lit(neuron_id).alias("neuron_id"), F.col("id").cast("int").alias("idx"), F.lit(0).alias("class"), *[zero.alias(c) for c in (*AXES, "r")], F.lit(None).cast("int").alias("parent"))
 
 
+def plot_points(cloud: DataFrame, k: int = 600) -> DataFrame:
+    """The first ``k`` points of each neuron."""
+    return cloud.where(F.col("idx") < k).select("neuron_id", *AXES)
+
+
 def sample_for_plot(cloud: DataFrame, k: int = 600):
-    """The first ``k`` points of each neuron as a pandas frame, for a scatter plot of two clouds."""
-    return cloud.where(F.col("idx") < k).select("neuron_id", *AXES).toPandas()
+    """``plot_points`` as a pandas frame, for a scatter plot of two clouds."""
+    return plot_points(cloud, k).toPandas()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dendra.plans.scratch import fresh
+from dendra.sources import swc
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +40,15 @@ def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("parent", parent)
 
 
+def swc_folder(spark: SparkSession, sf_dir: str) -> str:
+    """SWC files of ``skeletons`` in the shared folder; each fifth line is indented, each seventh has a comment behind it."""
+    own = swc.lines(skeletons(spark, sf_dir), precision=2)
+    indent, tail = F.when(F.col("idx") % 5 == 0, "  ").otherwise(""), F.when(F.col("idx") % 7 == 0, " # a remark").otherwise("")
+    path = fresh(spark, "swc")
+    swc.write_lines(own.withColumn("line", F.concat(indent, "line", tail)), path)
+    return path
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 20 x 20 x n volume from ``events``; affinities are whole thousandths, the same for the three axes."""
     e = _table(spark, sf_dir, "events").select("event_id", "event_type", "value")

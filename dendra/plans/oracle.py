@@ -76,8 +76,11 @@ mx AS (SELECT * FROM rawc UNION ALL SELECT * FROM own),
 nm AS (SELECT m.target_id, m.query_id, m.raw / o.raw AS normalized FROM mx m JOIN own o ON o.query_id = m.query_id)"""
 
 
-def _round(*columns: str, digits: int = 4) -> str:
-    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in columns)
+def _round(*columns: str, digits: int = 4, of: str = "") -> str:
+    return ", ".join(f"round({of}{c}, {digits}) + 0.0 AS {c}" for c in columns)
+
+
+NODES = f"SELECT neuron_id, idx, class, {_round('x', 'y', 'z', 'r')}, parent FROM s"
 
 
 #: The walk of a segment: state is the node, where the node before it was put, and where the last kept one was put.
@@ -117,6 +120,23 @@ def sql() -> dict[str, str]:
             SELECT s.*, c.top, CASE WHEN s.parent IS NOT NULL THEN lead(s.idx) OVER (PARTITION BY s.neuron_id, s.parent ORDER BY s.idx <> u.top, s.idx) END AS sib
             FROM s LEFT JOIN c USING (neuron_id, idx) LEFT JOIN c u ON u.neuron_id = s.neuron_id AND u.idx = s.parent)""",
         "k17_equal": sk + "SELECT neuron_id, bool_and(d <= 0.001 + 1e-5 * abs(x + d)) AS equal FROM (SELECT *, CASE WHEN neuron_id LIKE '%1' THEN 0.5 ELSE 0.0005 END::DOUBLE AS d FROM s) GROUP BY neuron_id",
+        "k14_set_points": sk + "SELECT neuron_id, idx, class, round(x * 2, 4) + 0.0 AS x, round(y + 1, 4) + 0.0 AS y, round(-z, 4) + 0.0 AS z, round(r / 2, 4) + 0.0 AS r, parent FROM s",
+        "k18_initialize": "SELECT '0' AS neuron_id, (row_number() OVER () - 1)::INTEGER AS idx, 0 AS class, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS r, NULL::INTEGER AS parent FROM part",
+        "k19_plot_points": pts + "SELECT neuron_id, x, y, z FROM p WHERE idx < 600",
+        "s1_swc_lenient": f"""WITH {SKELETONS}, kept AS (SELECT *, (row_number() OVER (PARTITION BY neuron_id ORDER BY idx) - 1)::INTEGER AS own FROM s WHERE idx % 5 <> 0 AND idx % 7 <> 0)
+            SELECT a.neuron_id, a.own AS idx, a.class, {_round('x', 'y', 'z', 'r', of='a.')}, b.own AS parent FROM kept a LEFT JOIN kept b ON b.neuron_id = a.neuron_id AND b.idx = a.parent""",
+        "s2_swc_strict": sk + NODES,
+        "s3_swc_rows": f"WITH {NUMBERED} SELECT neuron_id, idx, class, {_round('x', 'y', 'z', 'r')}, CASE WHEN id % 10 <> 0 THEN idx END AS parent FROM m",
+        "s4_attribute_rows": sk + NODES,
+        "s5_point_rows": sk + f"SELECT neuron_id, idx, 0 AS class, {_round('x', 'y', 'z')}, 0.0::DOUBLE AS r, parent FROM s",
+        "s9_swc_files": sk + NODES,
+        "s9_swc_text": sk + """SELECT neuron_id, '# id class x y z r parent' || chr(10) || string_agg(format('{} {} {} {} {} {} {}', idx + 1, class, round(x)::BIGINT, round(y)::BIGINT, round(z)::BIGINT, round(r)::BIGINT, coalesce(parent + 1, -1)), chr(10) ORDER BY idx) || chr(10) AS swc
+            FROM s GROUP BY neuron_id""",
+        "s11_saved_skeletons": sk + NODES,
+        "s12_saved_vectors": f"WITH {VECTORS} SELECT neuron_id, idx, {_round('x', 'y', 'z', 'vx', 'vy', 'vz')} FROM vec JOIN p USING (neuron_id, idx)",
+        "n4_table": f"WITH {_scores()} SELECT dist_bin, adp_bin, score FROM st",
+        "n6_sizes": pts + "SELECT neuron_id, count(*) AS n_points FROM p GROUP BY neuron_id",
+        "n10_neuron_count": pts + "SELECT count(DISTINCT neuron_id) AS n_neurons FROM p",
         "s6_s7_precomputed": sk + "SELECT neuron_id, idx, class, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z, r::FLOAT::DOUBLE AS r, parent FROM s",
         "s8_swc_lines": sk + "SELECT neuron_id, idx, format('{} {} {} {} {} {} {}', idx + 1, class, round(x)::BIGINT, round(y)::BIGINT, round(z)::BIGINT, round(r)::BIGINT, coalesce(parent + 1, -1)) AS line FROM s",
         "m1_pca_group": f"WITH {POINTS}, ctr AS (SELECT p.neuron_id, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM p WINDOW w AS (PARTITION BY neuron_id)), {_component('ctr', 'neuron_id')} SELECT neuron_id, {_round('vx', 'vy', 'vz')} FROM pc",

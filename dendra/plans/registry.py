@@ -11,7 +11,8 @@ from dendra.operators import downsample as down
 from dendra.operators import nblast, spatial, skeleton
 from dendra.operators import segmentation as seg
 from dendra.plans import derive
-from dendra.sources import precomputed, swc
+from dendra.plans.scratch import fresh
+from dendra.sources import precomputed, swc, tables
 
 K_NEAR = 10
 STEP = 40.0
@@ -80,6 +81,76 @@ def k17_equal(spark, d) -> DataFrame:
     return skeleton.equal(s, moved)
 
 
+def k14_set_points(spark, d) -> DataFrame:
+    s = derive.skeletons(spark, d)
+    moved = skeleton.points(s).withColumns({"x": F.col("x") * 2, "y": F.col("y") + 1, "z": -F.col("z"), "r": F.col("r") / 2})
+    return skeleton.set_points(s, moved).select("neuron_id", "idx", "class", *_r("x", "y", "z", "r"), "parent")
+
+
+def k18_initialize(spark, d) -> DataFrame:
+    return skeleton.initialize(derive.skeletons(spark, d).count(), spark)
+
+
+def k19_plot_points(spark, d) -> DataFrame:
+    return skeleton.plot_points(derive.points(spark, d))
+
+
+def _nodes(df) -> DataFrame:
+    return df.select("neuron_id", "idx", "class", *_r("x", "y", "z", "r"), "parent")
+
+
+def s1_swc_lenient(spark, d) -> DataFrame:
+    return _nodes(swc.read_swc(spark, derive.swc_folder(spark, d)))
+
+
+def s2_swc_strict(spark, d) -> DataFrame:
+    return _nodes(swc.read_swc(spark, derive.swc_folder(spark, d), strict=True))
+
+
+def s3_swc_rows(spark, d) -> DataFrame:
+    n = derive.numbered_parts(spark, d)
+    up = F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("id"))
+    row = F.array(*[F.col(c).cast("double") for c in ("id", "class", *skeleton.AXES, "r")], up.cast("double"))
+    return _nodes(tables.from_swc_rows(n.select("neuron_id", row.alias("row"))))
+
+
+def _with_point(df) -> DataFrame:
+    return df.withColumn("point", F.array(*skeleton.AXES, "r"))
+
+
+def s4_attribute_rows(spark, d) -> DataFrame:
+    s = derive.skeletons(spark, d)
+    own = skeleton.attributes(s).select("neuron_id", "idx", F.array("class", "parent", "first_child", "next_sibling").alias("attributes"))
+    return _nodes(tables.from_attribute_rows(_with_point(s).join(own, ["neuron_id", "idx"])))
+
+
+def s5_point_rows(spark, d) -> DataFrame:
+    s = _with_point(derive.skeletons(spark, d))
+    return _nodes(tables.from_point_rows(s.select("neuron_id", "idx", F.slice("point", 1, 3).alias("point"), F.coalesce("parent", F.lit(-2)).alias("parent"))))
+
+
+def s9_swc_files(spark, d) -> DataFrame:
+    path = fresh(spark, "swc")
+    swc.write_swc(derive.skeletons(spark, d), path)
+    return _nodes(swc.read_swc(spark, path))
+
+
+def s9_swc_text(spark, d) -> DataFrame:
+    return swc.swc_text(derive.skeletons(spark, d), precision=0)
+
+
+def s11_saved_skeletons(spark, d) -> DataFrame:
+    path = fresh(spark, "skeletons")
+    tables.save(derive.skeletons(spark, d), path)
+    return _nodes(tables.load_skeletons(spark, path))
+
+
+def s12_saved_vectors(spark, d) -> DataFrame:
+    path = fresh(spark, "clouds")
+    tables.save(_vectors(spark, d), path)
+    return tables.load_vectors(spark, path).select("neuron_id", "idx", *_r("x", "y", "z", "vx", "vy", "vz"))
+
+
 def s6_s7_precomputed(spark, d) -> DataFrame:
     back = precomputed.decode(precomputed.encode(derive.skeletons(spark, d)))
     return back.select("neuron_id", "idx", "class", "x", "y", "z", "r", "parent")
@@ -123,6 +194,19 @@ def _vectors(spark, d) -> DataFrame:
     return nblast.direction_vectors(derive.points(spark, d), K_NEAR)
 
 
+def n4_table(spark, d) -> DataFrame:
+    return ScoreTable().frame(spark).select("dist_bin", "adp_bin", "score")
+
+
+def n6_sizes(spark, d) -> DataFrame:
+    return skeleton.point_count(derive.points(spark, d))
+
+
+def n10_neuron_count(spark, d) -> DataFrame:
+    n = nblast.neuron_count(nblast.self_scores(derive.points(spark, d), ScoreTable()))
+    return spark.createDataFrame([(n,)], "n_neurons long")
+
+
 def n5_vectors(spark, d) -> DataFrame:
     return _vectors(spark, d).select("neuron_id", "idx", *_r("vx", "vy", "vz"))
 

@@ -37,6 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse}/dendra_scratch"
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared folder, for the caller to write to; ``release`` deletes it."""
+    path = f"{shared_folder(spark)}/dendra-{label}-{uuid.uuid4().hex}"
+    _paths().append(path)
+    return path
+
+
 def written(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors,
     and makes a value computed once stay the same in every later scan.
@@ -44,11 +51,10 @@ def written(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFra
     arrow_rows: rows per batch that Python functions in ``df`` get while it is written (whole texts are large rows).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/dendra-{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     before = spark.conf.get(ARROW_ROWS)
     if arrow_rows:
         spark.conf.set(ARROW_ROWS, str(arrow_rows))
-    _paths().append(path)
     try:
         df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     finally:

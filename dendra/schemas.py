@@ -10,11 +10,7 @@ POINTS = "neuron_id string, idx int, x double, y double, z double"
 SKELETON = "neuron_id string, idx int, class int, x double, y double, z double, r double, parent int"
 SWC = "neuron_id string, id int, class int, x double, y double, z double, r double, parent int"
 VECTORS = "neuron_id string, idx int, x double, y double, z double, vx double, vy double, vz double"
-SCORES = "target_id string, query_id string, raw double"
-SCORE_TABLE = "dist_bin int, adp_bin int, dist_lo double, dist_hi double, score double"
 VOXELS = "z int, y int, x int, label long, aff_x double, aff_y double, aff_z double"
-REGION_GRAPH = "seg0 long, seg1 long, n long, aff_sum double"
-DENDROGRAM = "step long, seg0 long, seg1 long, affinity double"
 
 #: In-band sentinel for a missing parent, child or sibling in arrays that leave the engine.
 MISSING = -2

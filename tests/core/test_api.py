@@ -1,5 +1,7 @@
 """The handles, the array sources and the driver entry."""
 
+import pickle
+
 import numpy as np
 import pytest
 
@@ -26,6 +28,7 @@ def test_skeleton_round_trips(tree, tmp_path):
     assert api.Skeleton.from_precomputed(tree.to_precomputed()) == tree
     tree.to_swc(str(tmp_path / "t.swc"))
     back = api.Skeleton.from_swc(str(tmp_path / "t.swc"))
+    assert (tmp_path / "t.swc").read_text() == tree.to_swc_str()
     assert back == tree and not back == api.Skeleton.from_points_and_parents(POINTS + 1, PARENTS)
     swc = [[i + 1, 0, *p, u + 1 if u >= 0 else -1] for i, (p, u) in enumerate(zip(POINTS, PARENTS))]
     assert api.Skeleton.from_swc_array(np.array(swc)[::-1]) == tree
@@ -35,6 +38,15 @@ def test_skeleton_round_trips(tree, tmp_path):
             bad()
 
 
+def test_pickles(tree):
+    assert pickle.loads(pickle.dumps(tree)) == tree
+    cloud = api.VectorCloud(np.cumsum(np.ones((12, 3)), axis=0), k=4)
+    assert np.array_equal(pickle.loads(pickle.dumps(cloud)).vectors, cloud.vectors)
+    trees = api.KDTree(np.arange(24).reshape(8, 3), leaf_size=3)
+    back = pickle.loads(pickle.dumps(trees))
+    assert back.leaf_size == 3 and back.knn((6.1, 7.1, 8.1), 1).tolist() == [2]
+
+
 def test_skeleton_changes(spark):
     t = api.Skeleton.from_points_and_parents(POINTS, PARENTS)
     t.points = t.points * 2

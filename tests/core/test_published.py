@@ -1,0 +1,33 @@
+"""Published figures of three public neurons. DENDRA_NEURONS names a folder with their SWC files; without it the tests are skipped."""
+
+import os
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from dendra import api
+
+#: Number of nodes, by which a file is known.
+SMALL, LEFT, RIGHT = 2277, 7595, 8869
+#: Cable length in micrometres; raw scores, targets as rows, queries as columns, in the order LEFT, RIGHT.
+LENGTH = 3516.6
+RAW = [[86501.20, 53696.72], [50891.03, 101011.08]]
+
+
+@pytest.fixture(scope="module")
+def neurons(spark):
+    folder = os.environ.get("DENDRA_NEURONS")
+    if not folder:
+        pytest.skip("DENDRA_NEURONS is not set")
+    trees = [api.Skeleton.from_swc(str(p), spark) for p in sorted(Path(folder).glob("*.swc"))]
+    return {len(t): t for t in trees}
+
+
+def test_cable_length(neurons):
+    assert abs(neurons[SMALL].path_length - LENGTH) < 0.1
+
+
+def test_scores(neurons):
+    clouds = [api.VectorCloud(neurons[n].points, 10, 20) for n in (LEFT, RIGHT)]
+    np.testing.assert_allclose(api.ScoreMatrix(clouds).raw_score_matrix, RAW, rtol=1e-3)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dendra.operators import downsample as down
 from dendra.operators import skeleton
 from dendra.schemas import SKELETON, ensure_schema, reject_nan
-from dendra.sources import precomputed, swc
+from dendra.sources import precomputed, swc, tables
 
 #   0 - 1 - 2 - 3      2 has the children 3 and 5; a second root 7 stands alone
 #           `- 5 - 4 - 6
@@ -143,15 +143,36 @@ def test_read_swc(spark, tmp_path):
 
 
 def test_swc_round_trip(tree, spark, tmp_path):
-    swc.write_swc(tree, str(tmp_path / "out"))
-    for neuron in ("a", "b"):
-        text = "\n".join(p.read_text() for p in (tmp_path / "out" / f"neuron_id={neuron}").glob("*.txt"))
-        (tmp_path / f"{neuron}.swc").write_text(text)
-    back = swc.read_swc(spark, str(tmp_path / "*.swc"))
-    assert all(r["equal"] for r in skeleton.equal(tree, back).collect())
-    texts = {r["neuron_id"]: r["swc"] for r in swc.swc_text(tree, 1, header="two\nlines").collect()}
-    assert texts["b"] == "# two\n# lines\n1 1 1.0 1.0 1.0 1.0 -1\n"
-    assert swc.swc_text(tree).where("swc LIKE '# written 20%'").count() == 2
+    own = tree.withColumn("neuron_id", F.when(F.col("neuron_id") == "b", "b+1 #%").otherwise(F.col("neuron_id")))
+    out = str(tmp_path / "out")
+    swc.write_swc(own, out)
+    texts = {r["neuron_id"]: r["swc"] for r in swc.swc_text(own).collect()}
+    assert {p.name.removesuffix(".swc"): p.read_text() for p in (tmp_path / "out").glob("*.swc")} == texts
+    assert texts["b+1 #%"] == "# id class x y z r parent\n1 1 1.000 1.000 1.000 1.000 -1\n"
+    assert all(r["equal"] for r in skeleton.equal(own, swc.read_swc(spark, out)).collect())
+    with pytest.raises(FileExistsError):
+        swc.write_swc(own, out)
+    swc.write_swc(tree.where("neuron_id = 'b'"), out, 1, "overwrite", header="two\nlines")
+    assert {p.name: p.read_text() for p in (tmp_path / "out").glob("*.swc")} == {"b.swc": "# two\n# lines\n1 1 1.0 1.0 1.0 1.0 -1\n"}
+    for bad in (lambda: swc.write_swc(tree, out, mode="append"), lambda: swc.lines(tree, -1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_sources_refuse_nan(spark, tmp_path):
+    (tmp_path / "n.swc").write_text("1 1 0 NaN 0 1 -1\n")
+    nan = [math.nan, 0.0, 0.0]
+    swc_rows = spark.createDataFrame([("a", [1.0, 0.0, *nan, 1.0, -1.0][:7])], "neuron_id string, row array<double>")
+    point_rows = spark.createDataFrame([("a", 0, nan, -1)], "neuron_id string, idx int, point array<double>, parent int")
+    for df in (swc.read_swc(spark, str(tmp_path / "n.swc")), tables.from_swc_rows(swc_rows), tables.from_point_rows(point_rows)):
+        with pytest.raises(Exception, match="missing or NaN"):
+            df.collect()
+    with pytest.raises(Exception, match="a row needs 7 values"):
+        tables.from_swc_rows(swc_rows.select("neuron_id", F.slice("row", 1, 6).alias("row"))).collect()
+
+
+def test_plot_points(tree):
+    assert skeleton.plot_points(tree, 3).count() == 4 and len(skeleton.sample_for_plot(tree, 2)) == 3
 
 
 def test_precomputed_layout():
