@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.operators.components import components
+from dendra.operators.components import TASK_EDGES, components
 from dendra.plans.scratch import written
 
 
@@ -63,47 +63,91 @@ def dendrogram(graph: DataFrame, min_threshold: float) -> DataFrame:
     return kept.select("seg0", "seg1", "affinity", "aff_sum")
 
 
-def greedy_merges(counts: dict[tuple[int, int], tuple[int, float]], min_threshold: float) -> list[tuple[int, int, float]]:
-    """Merges (kept, merged, mean) of one graph: always the edge with the largest mean, as merged so far; ties by segments."""
-    near: dict[int, dict[int, tuple[int, float]]] = {}
-    for (a, b), edge in counts.items():
+def greedy_merges(edges: dict[tuple[int, int], tuple[int, float, tuple[int, int]]], min_threshold: float) -> list[tuple[int, int, float, tuple[int, int]]]:
+    """Merges (kept, merged, mean, pair) of one graph, in order; see ``greedy_dendrogram``. edges: segments to contacts, sum, pair."""
+    near: dict[int, dict[int, tuple]] = {}
+    for (a, b), edge in edges.items():
         near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = edge
-    heap = [(-s / n, a, b, n) for (a, b), (n, s) in counts.items()]
+    heap = [(-s / n, pair, a, b, n) for (a, b), (n, s, pair) in edges.items()]
     heapq.heapify(heap)
     out = []
     while heap:
-        mean, a, b, n = heapq.heappop(heap)
-        edge = near.get(a, {}).get(b)
-        if edge is None or edge[0] != n or -edge[1] / n != mean:
+        mean, pair, a, b, n = heapq.heappop(heap)
+        if near.get(a, {}).get(b, (0, 0.0, None))[::2] != (n, pair):
             continue  # the edge has changed since
         if -mean < min_threshold:
             break
-        out.append((a, b, -mean))
+        out.append((a, b, -mean, pair))
         del near[a][b]
-        for c, (n, s) in near.pop(b).items():
+        for c, (n, s, pair) in near.pop(b).items():
             if c == a:
                 continue
             del near[c][b]
-            old = near[a].get(c, (0, 0.0))
-            near[a][c] = near[c][a] = joined = (old[0] + n, old[1] + s)
-            heapq.heappush(heap, (-joined[1] / joined[0], min(a, c), max(a, c), joined[0]))
+            old = near[a].get(c, (0, 0.0, pair))
+            near[a][c] = near[c][a] = joined = (old[0] + n, old[1] + s, min(old[2], pair))
+            heapq.heappush(heap, (-joined[1] / joined[0], joined[2], min(a, c), max(a, c), joined[0]))
     return out
 
 
-def greedy_dendrogram(graph: DataFrame, min_threshold: float) -> DataFrame:
-    """(root, step, seg0, seg1, affinity): agglomeration that recomputes means as segments merge; seg0 is the one that stays.
+MERGES = "root long, seg0 long, seg1 long, affinity double, t0 long, t1 long"
 
-    Merges never leave a connected part of the graph, so each part is one task's work; its edges are held in memory.
+
+def _best_pairs(edges: DataFrame, min_threshold: float) -> DataFrame:
+    """Edges that come first for both of their segments, with a mean of at least ``min_threshold``. Each segment is in one at most."""
+    key = F.struct((-F.col("aff_sum") / F.col("n")).alias("s"), "t0", "t1", "root", "seg0", "seg1")
+    both = edges.select(F.col("seg0").alias("seg"), key.alias("k")).unionByName(edges.select(F.col("seg1").alias("seg"), key.alias("k")))
+    agreed = both.groupBy("seg").agg(F.min("k").alias("k")).groupBy("k").count().where((F.col("count") == 2) & (F.col("k.s") <= -min_threshold))
+    return agreed.select("k.root", "k.seg0", "k.seg1", (-F.col("k.s")).alias("affinity"), "k.t0", "k.t1")
+
+
+def _after(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """``edges`` between the segments that are left."""
+    for end in ("seg0", "seg1"):
+        moved = merges.select(F.col("seg1").alias(end), F.col("seg0").alias("__to"))
+        edges = edges.join(moved, end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+    own = edges.where("seg0 <> seg1").withColumns({"seg0": F.least("seg0", "seg1"), "seg1": F.greatest("seg0", "seg1"), "t": F.struct("t0", "t1")})
+    sums = own.groupBy("root", "seg0", "seg1").agg(F.sum("n").alias("n"), F.sum("aff_sum").alias("aff_sum"), F.min("t").alias("t"))
+    return sums.select("root", "seg0", "seg1", "n", "aff_sum", "t.t0", "t.t1")
+
+
+def greedy_dendrogram(graph: DataFrame, min_threshold: float, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(root, step, seg0, seg1, affinity): agglomeration that recomputes means as segments merge; seg0 is the one that stays, root
+    the smallest segment of the connected part, step the order within it.
+
+    The edge with the largest mean goes first; ties go to the edge with the smallest pair of first segments among all that it
+    joins. So an edge that is joined from two never comes before both, and merging every edge that is first for both of its segments
+    at once gives what merging one by one gives. (Sums that aren't exact may differ in the last bit.) While there are more than
+    ``task_edges`` edges, a round does that; what is left is merged one by one, a connected part per task.
     """
     parts = components(graph, "seg0", "seg1").select(F.col("node").alias("seg0"), "root")
+    first = graph.join(parts, "seg0").select("root", "seg0", "seg1", "n", F.col("aff_sum").cast("double").alias("aff_sum"), F.col("seg0").alias("t0"), F.col("seg1").alias("t1"))
+    edges, done = written(first, "edges"), None
+    while edges.count() > task_edges:  # read from the files' footers
+        merges = written(_best_pairs(edges, min_threshold), "merges")
+        if not merges.take(1):
+            return _numbered(done if done is not None else merges)
+        done = merges if done is None else done.unionByName(merges)
+        edges = written(_after(edges, merges), "edges")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = {(a, b): (n, s) for a, b, n, s in zip(pdf["seg0"].tolist(), pdf["seg1"].tolist(), pdf["n"].tolist(), pdf["aff_sum"].tolist())}
-        got = pd.DataFrame(greedy_merges(counts, min_threshold), columns=["seg0", "seg1", "affinity"])
-        return got.assign(root=pdf["root"].iloc[0], step=range(len(got)))[["root", "step", "seg0", "seg1", "affinity"]]
-
-    edges = graph.join(parts, "seg0").selectExpr("root", "seg0", "seg1", "n", "cast(aff_sum AS double) AS aff_sum")
-    return edges.groupBy("root").applyInPandas(run, "root long, step long, seg0 long, seg1 long, affinity double")
+        own = pdf.sort_values(["seg0", "seg1"])
+        columns = [own[c].tolist() for c in ("seg0", "seg1", "n", "aff_sum", "t0", "t1")]
+        rows = [(pdf["root"].iloc[0], *m[:3], *m[3]) for m in greedy_merges({(a, b): (n, s, (t, u)) for a, b, n, s, t, u in zip(*columns)}, min_threshold)]
+        return pd.DataFrame(rows, columns=["root", "seg0", "seg1", "affinity", "t0", "t1"])
+
+    rest = edges.groupBy("root").applyInPandas(run, MERGES)
+    return _numbered(written(rest if done is None else done.unionByName(rest), "merges"))
+
+
+def _numbered(merges: DataFrame) -> DataFrame:
+    """``step`` from 0 in each connected part: ranges of the order are numbered by a task each, after the part's ranges before."""
+    order = [F.desc("affinity"), F.asc("t0"), F.asc("t1")]
+    ranged = written(merges.repartitionByRange(F.asc("root"), *order).withColumn("__part", F.spark_partition_id()), "steps")
+    before = Window.partitionBy("root").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("root", "__part").count().select("root", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("root", "__part").orderBy(*order)) - 1
+    numbered = ranged.withColumn("__own", own).join(offsets, ["root", "__part"])
+    return numbered.select("root", (F.col("__own") + F.col("__before")).cast("long").alias("step"), "seg0", "seg1", "affinity")
 
 
 def with_steps(dendro: DataFrame) -> DataFrame:

@@ -245,6 +245,10 @@ def g4_dendrogram(spark, d) -> DataFrame:
     return seg.with_steps(seg.build_dendrogram(derive.voxels(spark, d), MIN_MEAN)).select("step", "seg0", "seg1", *_r("affinity"))
 
 
+def g3_greedy(spark, d) -> DataFrame:
+    return seg.greedy_dendrogram(seg.region_graph(derive.voxels(spark, d)), MIN_MEAN).select("root", "step", "seg0", "seg1", *_r("affinity"))
+
+
 def g8_components(spark, d) -> DataFrame:
     v = derive.voxels(spark, d)
     roots = seg.segments(seg.build_dendrogram(v, MIN_MEAN), CUT)

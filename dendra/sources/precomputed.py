@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dendra.schemas import reject_nan
+
 NODES = "neuron_id string, idx int, class int, x double, y double, z double, r double, parent int"
 
 
@@ -53,7 +55,7 @@ def encode(nodes: DataFrame) -> DataFrame:
 
 
 def decode(encoded: DataFrame) -> DataFrame:
-    """A skeleton frame from (neuron_id, data)."""
+    """A skeleton frame from (neuron_id, data). NaN coordinates fail at run time."""
 
     def run(batches):
         for pdf in batches:
@@ -66,7 +68,7 @@ def decode(encoded: DataFrame) -> DataFrame:
                 out["parent"] = up
                 yield out[["neuron_id", "idx", "class", "x", "y", "z", "r", "parent"]]
 
-    return encoded.select("neuron_id", "data").mapInPandas(run, NODES)
+    return reject_nan(encoded.select("neuron_id", "data").mapInPandas(run, NODES), "x", "y", "z")
 
 
 def read_precomputed(spark: SparkSession, path: str) -> DataFrame:

@@ -164,7 +164,9 @@ def test_sources_refuse_nan(spark, tmp_path):
     nan = [math.nan, 0.0, 0.0]
     swc_rows = spark.createDataFrame([("a", [1.0, 0.0, *nan, 1.0, -1.0][:7])], "neuron_id string, row array<double>")
     point_rows = spark.createDataFrame([("a", 0, nan, -1)], "neuron_id string, idx int, point array<double>, parent int")
-    for df in (swc.read_swc(spark, str(tmp_path / "n.swc")), tables.from_swc_rows(swc_rows), tables.from_point_rows(point_rows)):
+    data = precomputed.encode_arrays(np.array([nan]), np.array([-1]), np.zeros(1), np.zeros(1, int))
+    binary = precomputed.decode(spark.createDataFrame([("a", bytearray(data))], "neuron_id string, data binary"))
+    for df in (swc.read_swc(spark, str(tmp_path / "n.swc")), tables.from_swc_rows(swc_rows), tables.from_point_rows(point_rows), binary):
         with pytest.raises(Exception, match="missing or NaN"):
             df.collect()
     with pytest.raises(Exception, match="a row needs 7 values"):

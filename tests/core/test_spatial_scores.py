@@ -240,32 +240,51 @@ def test_components_equal_union_find(spark):
 
 
 def plain_greedy(edges, least):
-    edges, out = {k: list(v) for k, v in edges.items()}, []
+    """Merges one by one; each edge carries the smallest pair of first segments that it joins, for ties."""
+    edges, out = {k: [*v, k] for k, v in edges.items()}, []
     while edges:
-        (a, b), (n, s) = min(edges.items(), key=lambda e: (-e[1][1] / e[1][0], e[0]))
+        (a, b), (n, s, pair) = min(edges.items(), key=lambda e: (-e[1][1] / e[1][0], e[1][2]))
         if s / n < least:
             break
         out.append((a, b))
         del edges[a, b]
         for k in [k for k in edges if b in k]:
-            m, t = edges.pop(k)
+            m, t, pair = edges.pop(k)
             c = k[0] if k[1] == b else k[1]
-            e = edges.setdefault((min(a, c), max(a, c)), [0, 0.0])
-            e[0] += m
-            e[1] += t
+            e = edges.setdefault((min(a, c), max(a, c)), [0, 0.0, pair])
+            edges[min(a, c), max(a, c)] = [e[0] + m, e[1] + t, min(e[2], pair)]
     return out
 
 
-def test_greedy_merges(spark):
-    for _ in range(40):
-        edges = {}
-        for a, b in R.integers(0, 12, (25, 2)).tolist():
-            if a != b:
-                edges[min(a, b), max(a, b)] = (int(R.integers(1, 9)), float(R.integers(1, 200)))
-        assert [m[:2] for m in seg.greedy_merges(edges, 10.0)] == plain_greedy(edges, 10.0)
-    graph = spark.createDataFrame([(1, 2, 2, 1.8), (2, 3, 1, 0.8), (1, 3, 4, 0.4), (7, 8, 1, 0.9)], "seg0 long, seg1 long, n long, aff_sum double")
-    got = {(r["root"], r["step"]): (r["seg0"], r["seg1"], round(r["affinity"], 6)) for r in seg.greedy_dendrogram(graph, 0.2).collect()}
+def random_graph(nodes, edges, worst):
+    out = {}
+    for a, b in R.integers(0, nodes, (edges, 2)).tolist():
+        if a != b:
+            out[min(a, b), max(a, b)] = (int(R.integers(1, 9)), float(R.integers(1, worst)))
+    return out
+
+
+def test_greedy_merges():
+    for worst in (200, 200, 200, 4) * 10:  # few values make ties
+        edges = random_graph(12, 25, worst)
+        assert [m[:2] for m in seg.greedy_merges({k: (*v, k) for k, v in edges.items()}, 0.5)] == plain_greedy(edges, 0.5)
+
+
+@pytest.mark.parametrize("task_edges, worst", [(0, 4), (12, 200), (1000, 4)])
+def test_greedy_dendrogram(spark, task_edges, worst):
+    frame = lambda edges: spark.createDataFrame([(*k, *v) for k, v in edges.items()], "seg0 long, seg1 long, n long, aff_sum double")
+    few = frame({(1, 2): (2, 1.8), (2, 3): (1, 0.8), (1, 3): (4, 0.4), (7, 8): (1, 0.9)})
+    got = {(r["root"], r["step"]): (r["seg0"], r["seg1"], round(r["affinity"], 6)) for r in seg.greedy_dendrogram(few, 0.2, task_edges).collect()}
     assert got == {(1, 0): (1, 2, 0.9), (1, 1): (1, 3, 0.24), (7, 0): (7, 8, 0.9)}
+    assert seg.greedy_dendrogram(few, 5.0, task_edges).count() == 0 and seg.greedy_dendrogram(few.limit(0), 0.2, task_edges).count() == 0
+    edges = random_graph(30, 60, worst)
+    rows = seg.greedy_dendrogram(frame(edges), 0.5, task_edges).collect()
+    for root in {r["root"] for r in rows}:
+        own = sorted((r["step"], r["seg0"], r["seg1"]) for r in rows if r["root"] == root)
+        part = {r["seg0"] for r in rows if r["root"] == root} | {r["seg1"] for r in rows if r["root"] == root}
+        want = [m for m in plain_greedy(edges, 0.5) if m[0] in part]
+        assert [m[0] for m in own] == list(range(len(own))) and [m[1:] for m in own] == want
+    assert len(rows) == len(plain_greedy(edges, 0.5))
 
 
 @pytest.mark.parametrize("pairs", ["same", "other", "all"])
