@@ -1,12 +1,14 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles: candidates by MinHash bands, each link verified.
+"""Near-duplicate groups by the Jaccard similarity of word shingles: candidates by fingerprints in Gray order, each link verified.
 
 1. A text is the set of its shingles (XXH64 of the words in lower case). Texts with equal sets are one class, never expanded into pairs.
-2. BANDS bands of ROWS minima deal out the classes; two sets of similarity s share a bucket with probability
-   1 - (1 - s**ROWS)**BANDS (0.9998 at 0.8).
-3. Each member of a bucket is compared with the bucket's smallest class, and components are formed of the links that hold.
-4. In buckets that still hold several components, every pair across components is compared, inside the task that holds the
-   bucket: a member's similarity to all others comes from an inverted index of their shingles, exactly, and a task returns
-   a spanning forest of its links, never pairs that fail. A bucket too large for one task is cut into groups, and each pair of
+2. A class has ``simhash.TURNS`` fingerprints, and ``simhash.candidate_groups`` joins classes by the Gray-order index: those that agree in a
+   quarter of some fingerprint and differ in 9 bits or fewer of it. Two large sets at exactly 0.8 are missed with probability 0.0001.
+   The votes of small sets scatter more: sets of up to SMALL shingles are joined, without a miss, to all that share one
+   of their first shingles by hash, of which sets at ``least`` have one in common.
+3. Each member of a component of candidates is compared with its smallest class, and components are formed of the links that hold.
+4. Where candidates still fall into several components, every pair across components is compared, inside the task that holds
+   them: a member's similarity to all others comes from an inverted index of their shingles, exactly, and a task returns
+   a spanning forest of its links, never pairs that fail. What is too large for one task is cut into groups, and each pair of
    groups is a task's work.
 
 A link holds only if the sets themselves, not signatures, reach ``least``. Sets are built again from the texts of
@@ -29,14 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendra.llm.common import HIDDEN, SEED, need, with_row_id, written
+from dendra.llm.simhash import TURNS, candidate_groups, set_fingerprints
 from dendra.operators.components import components
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS = 16
-ROWS = 4
-#: Shingles whose minima are taken at once.
-BLOCK = 1 << 11
+#: Shingles of a set whose candidates don't depend on fingerprints.
+SMALL = 32
 #: Members, and shingles of theirs, that one task compares at once; larger buckets are cut into groups of half as many.
 GROUP_ROWS = 1 << 11
 GROUP_SHINGLES = 1 << 21
@@ -44,8 +45,6 @@ GROUP_SHINGLES = 1 << 21
 ROWS_AT_ONCE = 500
 #: Bits of the bitmap of candidates.
 BITMAP = 1 << 23
-_ODD = np.random.RandomState(SEED).randint(0, 1 << 62, BANDS * ROWS + ROWS + 1).astype(np.uint64) * np.uint64(4) + np.uint64(1)
-MIX, FOLD, TURN = _ODD[: BANDS * ROWS], _ODD[BANDS * ROWS : -1], _ODD[-1]
 LINK = "a long, b long"
 
 
@@ -62,12 +61,11 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends.tolist())), np.uint64, n))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The set's smallest hash under each of BANDS * ROWS orders."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for a in range(0, len(hashes), BLOCK):
-        np.minimum(low, (hashes[a : a + BLOCK, None] * MIX).min(axis=0), out=low)
-    return low
+def heads(hashes: np.ndarray, least: float) -> np.ndarray:
+    """A small set's first shingles by hash: a set of up to SMALL shingles shares one of its own with every set at ``least`` or more.
+    Partners may be larger than SMALL, so sets of up to SMALL / least have some."""
+    n = len(hashes)
+    return hashes[: n - int(np.ceil(least * n - 1e-9)) + 1] if n <= SMALL / least + 1e-9 else hashes[:0]
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -78,23 +76,23 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def signed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` with key (of the shingle set) and bands. One pass, no shuffle."""
-    names = [HIDDEN + x for x in ("key", "bands")]
-    band = np.arange(BANDS, dtype=np.uint64) * TURN
+def signed(docs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
+    """``docs`` with key (of the shingle set), prints and heads. One pass, no shuffle."""
+    names = [HIDDEN + x for x in ("key", "prints", "heads")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            keys, prints, firsts = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, TURNS), np.uint64), []
             for i, x in enumerate(batch.column(batch.schema.get_field_index(text))):
                 own = shingles(x.as_py(), shingle)
-                low = minima(own)
                 keys[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED)
-                bands[i] = (low.reshape(BANDS, ROWS) * FOLD).sum(axis=1, dtype=np.uint64) + band
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64)), lists], names=[*batch.schema.names, *names])
+                prints[i] = set_fingerprints(own)
+                firsts.append(heads(own, least).view(np.int64).tolist())
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * TURNS, pa.int32()), pa.array(prints.ravel().view(np.int64)))
+            added = [pa.array(keys.view(np.int64)), wide, pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
-    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.LongType())))]
+    added = [T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
@@ -170,7 +168,7 @@ def across(key: np.ndarray, root: np.ndarray, side: np.ndarray, sets: list[np.nd
 
 
 def met(members: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between components within buckets. members: value, i, j (groups that meet), side, key, root, grams."""
+    """Links (a, b) between components within buckets (components of candidates). members: value, i, j (groups that meet), side, key, root, grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows):
@@ -198,17 +196,15 @@ def met(members: DataFrame, least: float) -> DataFrame:
 
 def links(rows: DataFrame, of_key: DataFrame, text: str, shingle: int, least: float, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Pairs (a, b) of classes at ``least`` or more that span the components found."""
-    dealt = of_key.select(F.explode("bands").alias("value"), "key")
-    shared = dealt.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("value", "low")
-    members = written(dealt.join(shared, "value").distinct(), "buckets")
-    wanted = of_key.join(members.select("key").distinct(), "key", "left_semi").select(F.col("best.rid").alias(HIDDEN + "rid"))
+    members = written(candidate_groups(of_key).select(F.col("root").alias("value"), F.col("node").alias("key"), F.col("root").alias("low")), "buckets")
+    wanted = of_key.join(members.select("key"), "key", "left_semi").select(F.col("best.rid").alias(HIDDEN + "rid"))
     held = sets_of(rows, wanted, text, shingle)
-    first = verified(members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct(), held, least)
+    first = verified(members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")), held, least)
     roots = components(first, "a", "b").withColumnRenamed("node", "key")
     placed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).join(held.select("key", "n"), "key")
     sizes = F.greatest(F.ceil(2 * F.count("*") / group_rows), F.ceil(2 * F.sum("n") / group_shingles)).cast("int").alias("cuts")
     mixed = placed.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), sizes).where("x <> y")
-    mixed = mixed.select("value", F.when(F.col("cuts") > 2, F.col("cuts")).otherwise(1).alias("cuts"))
+    mixed = written(mixed.select("value", F.when(F.col("cuts") > 2, F.col("cuts")).otherwise(1).alias("cuts")), "cuts")
     placed = written(placed.join(mixed, "value").withColumn("side", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("long")), "mixed")
     meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j")))
     second = written(met(placed.select("value", "key", "root", "side", F.inline(meets)).join(held.select("key", "grams"), "key"), least), "links", arrow_rows=ROWS_AT_ONCE)
@@ -221,12 +217,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     need(docs, id_col, text)
     rid, key = HIDDEN + "rid", HIDDEN + "key"
     out = [c for c in docs.columns if c not in ("component_id", "representative")]
-    rows = written(with_row_id(signed(docs.select(*dict.fromkeys([*out, id_col, text])), text, shingle), rid), "shingles", arrow_rows=ROWS_AT_ONCE)
+    rows = written(with_row_id(signed(docs.select(*dict.fromkeys([*out, id_col, text])), text, shingle, least), rid), "shingles", arrow_rows=ROWS_AT_ONCE)
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))).alias("best")
-    of_key = written(rows.groupBy(F.col(key).alias("key")).agg(best, F.first(HIDDEN + "bands").alias("bands")), "classes")
+    of_key = written(rows.groupBy(F.col(key).alias("key")).agg(best, *[F.first(HIDDEN + x).alias(x) for x in ("prints", "heads")]), "classes")
     roots = components(links(rows, of_key, text, shingle, least, group_rows), "a", "b")
     linked = of_key.join(roots, of_key["key"] == roots["node"], "left").select("key", "best", F.coalesce("root", "key").alias("root"))
     of_root = linked.groupBy("root").agg(F.min("best").alias("best"))
     group = linked.select(F.col("key").alias(key), "root").join(of_root, "root").select(key, "best")
-    got = rows.drop(HIDDEN + "bands").join(group, key)
+    got = rows.drop(HIDDEN + "prints", HIDDEN + "heads").join(group, key)
     return got.select(*out, F.col("best.id").alias("component_id"), (F.col("best.rid") == F.col(rid)).alias("representative"))

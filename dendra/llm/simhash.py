@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dendra.llm import jaccard
 from dendra.llm.common import HIDDEN, SEED, need, with_row_id, without, written
 from dendra.operators.components import components
 
@@ -49,6 +48,22 @@ DEALS = 3
 BATCH = 1 << 13
 #: Entries of the index per task.
 TASK_ROWS = 1 << 18
+#: Fingerprints of a set in ``set_fingerprints``, and the differing bits that their candidates may have; quarters are the bands.
+TURNS = 40
+TURN_BITS = 9
+QUARTERS = 4
+#: Turns at which a round of ``candidate_groups`` begins: few first, so that a group is joined once and not by every turn.
+ROUNDS = (0, 1, 4)
+#: Hashes whose bits are counted at once in bytes.
+VOTES = 255
+#: Entries of a bucket of ``candidates`` above which it is cut into groups, and the share of sets (one in so many) that sizes are taken from.
+HOT_QUARTER = 1 << 12
+SAMPLE = 64
+#: Entries of small buckets that share an index there, and pairs of its nodes expanded at once. A bound of
+#: nine bits leaves more pairs open than one of three, hence smaller numbers.
+QUARTER_BATCH = 1 << 11
+QUARTER_FRONTIER = 1 << 12
+_MIX = np.random.RandomState(SEED).randint(0, 1 << 62, TURNS + 1).astype(np.uint64) * np.uint64(4) + np.uint64(1)
 
 
 # fingerprints
@@ -86,6 +101,22 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
+def set_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """TURNS fingerprints of a set of hashes, each a majority vote over the hashes mixed in another way."""
+    counts = np.zeros((8, TURNS, 8), np.int64)  # bit of a byte, turn, byte
+    lanes = np.zeros((8, TURNS), np.uint64)
+    for a in range(0, len(hashes), VOTES):
+        x = hashes[a : a + VOTES, None] * _MIX[:TURNS]
+        x ^= x >> np.uint64(32)
+        x *= _MIX[TURNS]
+        x ^= x >> np.uint64(29)
+        for bit in range(8):
+            np.sum(x & np.uint64(0x0101010101010101), axis=0, out=lanes[bit])
+            x >>= np.uint64(1)
+        counts += lanes.view(np.uint8).reshape(8, TURNS, 8)
+    return np.packbits((2 * counts > len(hashes)).transpose(1, 2, 0), axis=2, bitorder="little").reshape(TURNS, 8).view("<u8").ravel()
+
+
 # index
 
 
@@ -137,14 +168,14 @@ class GrayIndex:
             self.patterns.append(ones)
             self.masks.append(ones | zeros)
 
-    def links(self, parent: np.ndarray, max_bits: int) -> np.ndarray:
-        """``parent`` with the sets of all pairs at ``max_bits`` or fewer differing bits joined."""
+    def links(self, parent: np.ndarray, max_bits: int, frontier: int = FRONTIER) -> np.ndarray:
+        """``parent`` with the sets of all pairs at ``max_bits`` or fewer differing bits joined; ``frontier``: pairs expanded at once."""
         top = len(self.patterns) - 1
         one = np.zeros(1, np.int64)
         stack = [(top, one, one, np.zeros(1, np.int64), np.zeros(1, np.uint64))]
         while stack:
             level, a, b, total, done = stack.pop()
-            if len(a) > FRONTIER:
+            if len(a) > frontier:
                 half = len(a) // 2
                 stack += [(level, a[half:], b[half:], total[half:], done[half:]), (level, a[:half], b[:half], total[:half], done[:half])]
                 continue
@@ -181,12 +212,12 @@ class GrayIndex:
         return (ra >= 0) & (ra == rb)
 
 
-def bucket_links(fps: np.ndarray, shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(fps: np.ndarray, shared: int, max_bits: int, frontier: int = FRONTIER) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest over the fingerprints, of which all agree in the bits of ``shared``. They are turned so that these come first."""
     shift = 64 - shared.bit_length() if shared else 0
     turned = np.unique(rotated(fps, shift))
     turned = turned[np.argsort(gray_rank(turned))]
-    parent = GrayIndex(turned, rotated(np.array([shared], np.uint64), shift)[0]).links(np.arange(len(turned)), max_bits) if len(turned) else np.zeros(0, np.int64)
+    parent = GrayIndex(turned, rotated(np.array([shared], np.uint64), shift)[0]).links(np.arange(len(turned)), max_bits, frontier) if len(turned) else np.zeros(0, np.int64)
     child = np.flatnonzero(parent != np.arange(len(turned)))
     back = rotated(turned, 64 - shift)
     return back[parent[child]], back[child]
@@ -269,13 +300,95 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET, deals
     return rows.repartition(tasks, "mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(run, "a long, b long")
 
 
+def candidate_groups(sets: DataFrame, hot: int = HOT_QUARTER) -> DataFrame:
+    """(node, root) of every key of ``sets`` with a candidate: root is the smallest key that it reaches over candidates.
+
+    sets: key, prints (``set_fingerprints``), heads. Two sets are candidates if some fingerprint agrees in one of its quarters and
+    differs in TURN_BITS or fewer bits in all, or if they have a head in common. Later rounds only join what earlier ones left apart.
+    """
+    groups, n = None, sets.count()
+    for start, end in zip(ROUNDS, (*ROUNDS[1:], TURNS)):
+        part = sets.select("key", F.slice("prints", start + 1, end - start).alias("prints"), ("heads" if start == 0 else F.array().cast("array<long>").alias("heads")))
+        if groups is None:
+            found = candidates(part.withColumn("label", F.col("key")), start, end - start, n, hot)
+        else:
+            part = part.join(groups, part["key"] == groups["node"], "left").select("key", "prints", "heads", F.coalesce("root", "key").alias("label"))
+            found = candidates(part, start, end - start, n, hot).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        groups = components(written(found, "pairs"), "a", "b")  # written first, as two Python functions in a task are two workers
+    return groups
+
+
+def candidates(sets: DataFrame, start: int, turns: int, n: int, hot: int) -> DataFrame:
+    """Pairs (a, b) of labels that join the labels of all candidates among ``sets``: key, label, heads, prints of the turns from ``start``.
+    n: how many sets there are.
+
+    A bucket (turn, quarter, pattern) is searched by the index above. A bucket that the sample shows to be larger than ``hot`` is
+    cut into groups, and each pair of groups is a bucket of its own; no entry is left out.
+    """
+    wide = 64 // QUARTERS
+    low = (1 << wide) - 1
+
+    def quarters(fp, turn):
+        pattern = lambda i: F.shiftrightunsigned(fp, wide * i).bitwiseAND(F.lit(low))
+        return F.array(*[F.struct((((turn + start) * QUARTERS + i) * (low + 1) + pattern(i)).cast("long").alias("bucket"), fp.alias("fp")) for i in range(QUARTERS)])
+
+    heads = F.transform("heads", lambda h: F.struct((F.lit(TURNS * QUARTERS * (low + 1)) + h.bitwiseAND(F.lit(low))).cast("long").alias("bucket"), h.alias("fp")))
+    dealt = lambda df: df.select("key", "label", F.inline(F.concat(F.flatten(F.transform("prints", quarters)), heads)))
+    rows, bits = dealt(sets), (TURNS * QUARTERS * (low + 1) + low).bit_length()
+    sample = dealt(sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)).groupBy("bucket").agg(F.count("*").alias("n"))
+    large = written(sample.where(F.col("n") * SAMPLE > hot).select("bucket", F.ceil(2 * SAMPLE * F.col("n") / hot).cast("int").alias("cuts")), "large")
+    if large.take(1):
+        rows = rows.join(large, "bucket", "left").withColumn("side", F.pmod(F.xxhash64("key", F.lit(1)), F.coalesce("cuts", F.lit(1))))
+        pair = lambda x: F.shiftleft(F.least(x, F.col("side")), 44) + F.shiftleft(F.greatest(x, F.col("side")), bits)
+        meets = F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: pair(x.cast("long"))))
+        rows = rows.select("bucket", "fp", "label", F.explode(meets).alias("pair")).select((F.col("bucket") + F.col("pair")).alias("bucket"), "fp", "label")
+    tasks = max(1, -(-n * turns * QUARTERS // TASK_ROWS), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; buckets of one quarter share an index up to QUARTER_BATCH entries."""
+
+        def linked(band: int, fps: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            fp, key = np.concatenate(fps).view(np.uint64), np.concatenate(keys)
+            if len(fp) < 2:
+                return
+            each, first, of = np.unique(fp, return_index=True, return_inverse=True)
+            a, b = key[first[of]], key  # sets that share a fingerprint
+            if band < TURNS * QUARTERS:
+                x, y = bucket_links(each, low << wide * (band % QUARTERS), TURN_BITS, QUARTER_FRONTIER)
+                a, b = np.concatenate([a, key[first[np.searchsorted(each, x)]]]), np.concatenate([b, key[first[np.searchsorted(each, y)]]])
+            real = a != b
+            if real.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["a", "b"])
+
+        now, fps, keys, held = None, [], [], 0
+        for batch in batches:
+            bucket, fp, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            band = (bucket & ((1 << bits) - 1)) // (low + 1)
+            cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for s, e in zip(np.append(0, cuts).tolist(), np.append(cuts, len(bucket)).tolist()):
+                if s < e:
+                    if now is not None and now[0] != bucket[s] and (now[1] != band[s] or held > QUARTER_BATCH):
+                        yield from linked(int(now[1]), fps, keys)
+                        fps, keys, held = [], [], 0
+                    now = (bucket[s], band[s])
+                    fps.append(fp[s:e])
+                    keys.append(key[s:e])
+                    held += e - s
+        if fps:
+            yield from linked(int(now[1]), fps, keys)
+
+    return rows.select("bucket", "fp", "label").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, keep: list[str] | None = None, least: float | None = None) -> DataFrame:
     """One row per row of ``docs``: its columns (or those of ``keep``), ``fp``, ``component_id`` (smallest id
     that it reaches) and ``representative`` (true for one row of each component: the first by id).
 
-    least: link by this Jaccard similarity of the shingle sets instead of ``max_bits`` (no ``fp`` then). Fingerprints can't find such
-    pairs (at 0.8 the median distance is 7 bits), so candidates come from MinHash bands: see ``jaccard``."""
+    least: link by this Jaccard similarity of the shingle sets instead of ``max_bits`` (no ``fp`` then). One fingerprint can't find such
+    pairs (at 0.8 the median distance is 7 bits), so ``candidate_groups`` takes many, with a wider bound: see ``jaccard``."""
     if least is not None:
+        from dendra.llm import jaccard  # it builds on this module
+
         got = jaccard.near_duplicates(docs, id_col, text, shingle, least)
         return got if keep is None else got.select(*keep, "component_id", "representative")
     need(docs, id_col, text)
