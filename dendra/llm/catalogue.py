@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_sentencepiece": q.sentencepiece_round_trip,
         "op9_sharding": q.shards,
         "op10_chat": q.chats,
+        "op11_whitening": q.whitened,
+        "op12_fill_in_middle": q.fill_in_the_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": sql.QUALITY_RULES,
         "op6_exact_topk": sql.EXACT_TOP_K,
         "op10_chat": sql.CHATS,
+        "op12_fill_in_middle": sql.FILL_IN_MIDDLE,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendra.llm import chat, lm_scoring, packing, secrets_scan, sentencepiece_codec, sharding, simhash, topk, url_filter
+from dendra.llm import chat, fill_in_middle, lm_scoring, packing, secrets_scan, sentencepiece_codec, sharding, simhash, topk, url_filter, whitening
 from dendra.llm import quality_rules as rules
 from dendra.llm.common import table
 
@@ -77,3 +77,17 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(extra)
     return chat.read_back(chat.format_chats(rows))
+
+
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of"))
+    deviation = F.expr("try_cast(deviation AS long)")  # null beyond 64 bits
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", deviation.alias("deviation"), "of.whitened", "of.explained", "identity_error")
+
+
+def fill_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.reorder(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", F.col("n_units").alias("n"), "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
