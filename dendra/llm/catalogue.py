@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_chat": q.chats,
         "op11_whitening": q.whitened,
         "op12_fill_in_middle": q.fill_in_the_middle,
+        "op13_minhash": q.minhash_groups,
         "pipeline": corpus_pipeline.run,
     }
 

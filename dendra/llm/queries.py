@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dendra.llm import chat, fill_in_middle, lm_scoring, packing, secrets_scan, sentencepiece_codec, sharding, simhash, topk, url_filter, whitening
+from dendra.llm import chat, fill_in_middle, lm_scoring, minhash, packing, secrets_scan, sentencepiece_codec, sharding, simhash, topk, url_filter, whitening
 from dendra.llm import quality_rules as rules
 from dendra.llm.common import table
 
@@ -91,3 +91,8 @@ def fill_in_the_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
     back = fill_in_middle.restored(F.col("output"), F.col("form"))
     return cut.select("doc_id", F.col("n_units").alias("n"), "form", chars("prefix"), chars("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
