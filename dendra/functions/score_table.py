@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,11 @@ class ScoreTable:
         flat = F.array(*[F.lit(v) for r in self.rows for v in r])
         return F.element_at(flat, (dist_bin(distance) * 10 + adp_bin(adp) + 1).cast("int"))
 
+    def scores(self, distance: np.ndarray, adp: np.ndarray) -> np.ndarray:
+        """The same for arrays."""
+        i = np.clip(np.searchsorted(DISTANCES, distance, side="right") - 1, 0, None)
+        return np.array(self.rows)[i, np.clip((adp * 10 - 1e-4).astype(int), 0, 9)]
+
     def __getitem__(self, key: tuple[float, float]) -> float:
         d, a = key
         i = max((n for n, lo in enumerate(DISTANCES) if d >= lo), default=0)

@@ -2,28 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dendra.functions.linalg import first_component, moments
+from dendra.functions.linalg import MOMENTS, first_component, moments
 from dendra.functions.score_table import ScoreTable
-from dendra.operators.spatial import AXES, as_queries, as_targets, knn
+from dendra.operators import tiles
+from dendra.operators.batches import AXES, runs
+from dendra.operators.search import Cloud
+from dendra.operators.spatial import TASK_POINTS, as_queries, as_targets, by_size, knn
+from dendra.operators.tiles import OUT_ROWS
+from dendra.operators.tree import LEAF
 from dendra.plans.scratch import written
 
 DIRECTION = ("vx", "vy", "vz")
 
 
-def direction_vectors(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
-    """``points`` (neuron_id, idx, x, y, z) with the first principal component of each point's k nearest points, itself included.
+def _near_moments(points: DataFrame, k: int) -> DataFrame:
+    """``points`` with the moments of each point's k nearest about it. A neuron is one task's work."""
 
-    Where there is none (see ``first_component``) the direction is NULL and scores as |dot| = 0.
-    """
-    near = knn(as_queries(points), as_targets(points), k, "same", cell)
+    given = list(points.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in runs(batches, "neuron_id"):
+            x = np.column_stack([own.column(c).to_numpy().astype(float) for c in AXES])
+            cloud = Cloud(x)
+            for a in range(0, len(x), step := max(1, OUT_ROWS // k)):
+                part = x[a : a + step]
+                at, _ = cloud.nearest(part, k)
+                rx, ry, rz = (x[at, c] - part[:, None, c] for c in range(3))
+                sums = [rx, ry, rz, rx * rx, ry * ry, rz * rz, rx * ry, rx * rz, ry * rz]
+                rows = own.slice(a, len(part)).combine_chunks()
+                kept = [rows.column(c).combine_chunks() for c in given]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(part), at.shape[1])), *[pa.array(v.sum(axis=1)) for v in sums]], names=[*given, *MOMENTS])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    sorted_ = points.repartition("neuron_id").sortWithinPartitions("neuron_id", "idx")
+    return sorted_.mapInArrow(run, f"{kinds}, n long, " + ", ".join(f"{m} double" for m in MOMENTS[1:]))
+
+
+def _joined_moments(points: DataFrame, k: int, leaf: int) -> DataFrame:
+    """The same for neurons of any size."""
+    near = knn(as_queries(points), as_targets(points), k, "same", leaf, 0)
     there = points.select(F.col("neuron_id").alias("target_id"), "idx", *[F.col(c).alias("n" + c) for c in AXES])
     own = points.select(F.col("neuron_id").alias("query_id"), F.col("idx").alias("query_idx"), *AXES)
     joined = near.select("query_id", "query_idx", "target_id", "idx").join(there, ["target_id", "idx"]).join(own, ["query_id", "query_idx"])
     sums = joined.groupBy("query_id", "query_idx", *AXES).agg(*moments(*[F.col("n" + c) - F.col(c) for c in AXES]))
-    found = first_component(sums, DIRECTION).select(F.col("query_id").alias("neuron_id"), F.col("query_idx").alias("idx"), *AXES, *DIRECTION)
+    return sums.withColumnsRenamed({"query_id": "neuron_id", "query_idx": "idx"})
+
+
+def direction_vectors(points: DataFrame, k: int, leaf: int = LEAF, task_points: int = TASK_POINTS) -> DataFrame:
+    """``points`` (neuron_id, idx, x, y, z) with the first principal component of each point's k nearest points, itself included.
+
+    Where there is none (see ``first_component``) the direction is NULL and scores as |dot| = 0.
+    """
+    points = points.select("neuron_id", "idx", *AXES)
+    small, large = by_size(points, "neuron_id", task_points)
+    sums = [_near_moments(small, k)] + ([_joined_moments(large, k, leaf)] if large is not None else [])
+    found = first_component(reduce(DataFrame.unionByName, sums), DIRECTION).select("neuron_id", "idx", *AXES, *DIRECTION)
     return written(found, "vectors")  # a scoring plan reads them several times
 
 
@@ -32,12 +73,12 @@ def self_scores(vectors: DataFrame, table: ScoreTable) -> DataFrame:
     return vectors.groupBy("neuron_id").agg((F.count("*") * F.lit(table.self_score)).alias("raw")).select(F.col("neuron_id").alias("target_id"), F.col("neuron_id").alias("query_id"), "raw")
 
 
-def matches(query: DataFrame, target: DataFrame, pairs: str = "all", cell: float | None = None) -> DataFrame:
+def matches(query: DataFrame, target: DataFrame, pairs: str = "all", leaf: int = LEAF, task_points: int = TASK_POINTS) -> DataFrame:
     """(query_id, query_idx, target_id, idx, distance, adp) of each query point and its nearest point in each target.
 
     adp is rounded to 9 digits before it is binned, so that engines whose cosines differ in the last bit agree.
     """
-    near = knn(as_queries(query), as_targets(target), 1, pairs, cell).select("query_id", "query_idx", "target_id", "idx", "d2")
+    near = knn(as_queries(query), as_targets(target), 1, pairs, leaf, task_points).select("query_id", "query_idx", "target_id", "idx", "d2")
     q = query.select(F.col("neuron_id").alias("query_id"), F.col("idx").alias("query_idx"), *[F.col(c).alias("q" + c) for c in DIRECTION])
     t = target.select(F.col("neuron_id").alias("target_id"), "idx", *DIRECTION)
     dot = F.abs(F.col("qvx") * F.col("vx") + F.col("qvy") * F.col("vy") + F.col("qvz") * F.col("vz"))
@@ -45,17 +86,43 @@ def matches(query: DataFrame, target: DataFrame, pairs: str = "all", cell: float
     return joined.select("query_id", "query_idx", "target_id", "idx", F.sqrt("d2").alias("distance"), F.round(F.coalesce(dot, F.lit(0.0)), 9).alias("adp"))
 
 
-def raw_scores(query: DataFrame, target: DataFrame, table: ScoreTable | None = None, pairs: str = "all", cell: float | None = None) -> DataFrame:
-    """(target_id, query_id, raw): the sum over query points."""
+def tile_scores(query: DataFrame, target: DataFrame, table: ScoreTable, same: bool) -> DataFrame:
+    """(target_id, query_id, raw) of targets that fit a task: each task scores some targets against some queries, so a point is copied once per
+    group and only sums leave the task."""
+    values = [*AXES, *DIRECTION]
+    renamed = lambda df: df.select(F.col("neuron_id").alias("id"), "idx", *values)
+    sizes = [df.agg(F.count("*").alias("n"), F.approx_count_distinct("neuron_id").alias("ids")).first() for df in (target, query)]
+    parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.tiles(tiles.pack_targets(renamed(target), values), tiles.pack_queries(renamed(query), values), *[tiles.groups(s["n"], s["ids"], parts) for s in sizes])
+
+    def work(target_id, _, cloud, there, query_id, idxs, x):
+        at, d2 = cloud.nearest(x[:, :3], 1)
+        if not at.shape[1]:
+            return
+        a, b = x[:, 3:], there[at[:, 0], 3:]
+        adp = np.round(np.nan_to_num(np.abs(a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2]), nan=0.0), 9)
+        raw = float(table.scores(np.sqrt(d2[:, 0]), adp).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([target_id]), pa.array([query_id]), pa.array([raw])], names=["target_id", "query_id", "raw"])
+
+    kinds = [df.schema["neuron_id"].dataType.simpleString() for df in (target, query)]
+    return tiles.met(dealt, work, f"target_id {kinds[0]}, query_id {kinds[1]}, raw double", len(values), same)
+
+
+def raw_scores(query: DataFrame, target: DataFrame, table: ScoreTable | None = None, pairs: str = "all", leaf: int = LEAF, task_points: int = TASK_POINTS) -> DataFrame:
+    """(target_id, query_id, raw): the sum over query points. pairs: "all" or "other" targets."""
     table = table or ScoreTable()
-    scored = matches(query, target, pairs, cell).withColumn("s", table.score(F.col("distance"), F.col("adp")))
-    return scored.groupBy("target_id", "query_id").agg(F.sum("s").alias("raw"))
+    small, large = by_size(target, "neuron_id", task_points)
+    found = tile_scores(query, small, table, pairs == "all")
+    if large is not None:
+        scored = matches(query, large, pairs, leaf, 0).withColumn("raw", table.score(F.col("distance"), F.col("adp")))
+        found = found.unionByName(scored.select("target_id", "query_id", "raw"))
+    return found.groupBy("target_id", "query_id").agg(F.sum("raw").alias("raw"))
 
 
-def score_matrix(vectors: DataFrame, table: ScoreTable | None = None, cell: float | None = None) -> DataFrame:
+def score_matrix(vectors: DataFrame, table: ScoreTable | None = None) -> DataFrame:
     """All pairs of neurons in one plan; the diagonal needs no matching."""
     table = table or ScoreTable()
-    return raw_scores(vectors, vectors, table, "other", cell).unionByName(self_scores(vectors, table))
+    return raw_scores(vectors, vectors, table, "other").unionByName(self_scores(vectors, table))
 
 
 def _check(ok: Column, value: Column, message: str) -> Column:

@@ -6,16 +6,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dendra.plans.scratch import written
+from dendra.operators import tiles, tree
+from dendra.operators.batches import AXES
+from dendra.operators.search import Cloud
 
-AXES = ("x", "y", "z")
-#: Points of a target that one task searches whole, query points of a block, and distances computed at once.
+#: Points of a target that one task searches whole.
 TASK_POINTS = 1 << 14
-QUERY_BLOCK = 1 << 14
-TASK_CELLS = 1 << 21
+KEY = ["query_id", "query_idx", "target_id"]
 
 
 def bounding_box(points: DataFrame, group: list[str]) -> DataFrame:
@@ -38,73 +39,65 @@ def box_distance() -> Column:
     return total
 
 
-def _d2() -> Column:
-    dx, dy, dz = (F.col("q" + c) - F.col(c) for c in AXES)
-    return dx * dx + dy * dy + dz * dz
-
-
 def _best(candidates: DataFrame, key: list[str], k: int) -> DataFrame:
     """The k candidates of each key with the smallest (d2, idx); Spark cuts each partition to k before the shuffle."""
     order = Window.partitionBy(*key).orderBy("d2", "idx")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def default_cell(targets: DataFrame, group: str, k: int) -> float:
-    """A cell width that holds some k points of a neuron that fills its box like a sheet."""
-    box = targets.groupBy(group).agg(F.count("*").alias("n"), F.greatest(*[F.max(c) - F.min(c) for c in AXES]).alias("e"))
-    got = box.agg(F.avg(F.col("e") * F.sqrt(F.lit(float(k)) / F.col("n"))).alias("h")).first()["h"]
-    return float(got) if got and got > 0 else 1.0
+def by_size(points: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``points`` of the groups of at most ``most`` points, and of the larger ones (None if there are none)."""
+    sizes = points.groupBy(group).count()
+    if not sizes.where(F.col("count") > most).take(1):
+        return points, None
+    marked = points.join(sizes.select(group, (F.col("count") > most).alias("__large")), group)
+    return marked.where("NOT __large").select(*points.columns), marked.where("__large").select(*points.columns)
 
 
-def nearest_of(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, squared distance) of each query's k nearest, nearest first; ties go to the earlier row of x."""
-    k, out, step = min(k, len(x)), [], max(1, TASK_CELLS // max(1, len(x)))
-    for a in range(0, len(q), step):
-        dx, dy, dz = (q[a : a + step, None, c] - x[None, :, c] for c in range(3))
-        d2 = dx * dx + dy * dy + dz * dz
-        if k == 1:
-            at = d2.argmin(axis=1)
-            rows = np.arange(len(at))
-        else:
-            rows, at = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
-            order = np.lexsort((at, d2[rows, at], rows))
-            rows, at = rows[order], at[order]
-            first = np.searchsorted(rows, np.arange(len(d2)))
-            keep = np.arange(len(rows)) - first[rows] < k
-            rows, at = rows[keep], at[keep]
-        out.append((rows + a, at, d2[rows, at]))
-    return tuple(np.concatenate(c) for c in zip(*out))
-
-
-def knn_within_tasks(queries: DataFrame, targets: DataFrame, k: int, pairs: str) -> DataFrame:
-    """``knn`` for targets of at most TASK_POINTS points each: a task holds one target and a block of query points."""
-    blocks = 1 if pairs == "same" else max(1, -(-queries.count() // QUERY_BLOCK))  # a neuron's own points are few enough
+def _within(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """Each query point's k nearest among the points of its own neuron; a neuron is one task's work."""
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *targets.schema.fields]}
-    block = F.pmod(F.xxhash64("query_id", "query_idx"), F.lit(blocks)).cast("int")
-    todo = queries.withColumn("block", block)
-    if pairs == "same":
-        todo = todo.withColumn("target_id", F.col("query_id"))
-    else:
-        ids = targets.select(F.col("target_id").alias("of")).distinct()
-        todo = todo.join(ids, F.col("query_id") != F.col("of")) if pairs == "other" else todo.crossJoin(ids)  # as many rows as are asked for
-        todo = todo.withColumnRenamed("of", "target_id")
-    there = targets.select(F.col("target_id").alias("target_id"), "idx", *AXES).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = ["query_id", "query_idx", "target_id", "idx", "d2"]
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "query_idx", "target_id", "idx", "d2", "rank"]
         if not len(q) or not len(t):
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
         t = t.sort_values("idx", kind="stable")
-        rows, at, d2 = nearest_of(q[["qx", "qy", "qz"]].to_numpy(float), t[list(AXES)].to_numpy(float), k)
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
-        own = pd.Series(q["query_id"].to_numpy()[rows], dtype=object)
-        return pd.DataFrame({"query_id": own, "query_idx": q["query_idx"].to_numpy()[rows], "target_id": pd.Series([t["target_id"].iloc[0]] * len(rows), dtype=object), "idx": t["idx"].to_numpy()[at], "d2": d2, "rank": rank})[names]
+        at, d2 = Cloud(t[list(AXES)].to_numpy(float)).nearest(q[["qx", "qy", "qz"]].to_numpy(float), k)
+        own = lambda c: np.repeat(q[c].to_numpy(), at.shape[1])
+        return pd.DataFrame({"query_id": own("query_id"), "query_idx": own("query_idx"), "target_id": own("query_id"), "idx": t["idx"].to_numpy()[at.ravel()], "d2": d2.ravel()})[names]
+
+    out = ", ".join(f"{c} {kinds[c]}" for c in names[:4]) + ", d2 double"
+    return queries.groupBy("query_id").cogroup(targets.groupBy("target_id")).applyInPandas(run, out)
+
+
+def _in_tiles(queries: DataFrame, targets: DataFrame, k: int, same: bool, points: int, neurons: int) -> DataFrame:
+    """Each query point's k nearest in each of the targets, none of which is large: a task has some targets and some queries."""
+    asked = queries.select(F.col("query_id").alias("id"), F.col("query_idx").alias("idx"), *[F.col("q" + c).alias(c) for c in AXES])
+    size = asked.agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids")).first()
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    there = tiles.pack_targets(targets.withColumnRenamed("target_id", "id"), list(AXES))
+    dealt = tiles.tiles(there, tiles.pack_queries(asked, list(AXES)), tiles.groups(points, neurons, parts), tiles.groups(size["n"], size["ids"], parts))
 
-    out = f"query_id {kinds['query_id']}, query_idx {kinds['query_idx']}, target_id {kinds['target_id']}, idx {kinds['idx']}, d2 double, rank int"
-    return todo.groupBy("target_id", "block").cogroup(there.groupBy("target_id", "block")).applyInPandas(run, out)
+    def work(target, idxs, cloud, _, query, own, x):
+        for a in range(0, len(x), step := max(1, tiles.OUT_ROWS // k)):
+            at, d2 = cloud.nearest(x[a : a + step, :3], k)
+            flat = [np.repeat(own[a : a + step], at.shape[1]), idxs[at.ravel()], d2.ravel()]
+            q, i, d = (pa.array(v) for v in flat)
+            yield pa.RecordBatch.from_arrays([pa.repeat(query, len(d)), q, pa.repeat(target, len(d)), i, d], names=["query_id", "query_idx", "target_id", "idx", "d2"])
 
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (targets, "target_id"))]
+    return tiles.met(dealt, work, f"query_id {kinds[0]}, query_idx long, target_id {kinds[1]}, idx long, d2 double", 3, same)
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", cell: float | None = None, levels: tuple[int, ...] = (1, 4, 16), task_points: int = TASK_POINTS) -> DataFrame:
+
+def _by_tree(queries: DataFrame, targets: DataFrame, k: int, pairs: str, leaf: int) -> DataFrame:
+    there = tree.build(targets.withColumnRenamed("target_id", "id"), leaf)
+    asked = tree.build(queries.select(F.col("query_id").alias("id"), F.col("query_idx").alias("idx"), *[F.col("q" + c).alias(c) for c in AXES]), leaf)
+    found = tree.nearest(asked.leaves, there, k, pairs)
+    return found.select(F.col("q").alias("query_id"), F.col("idx0").alias("query_idx"), F.col("target").alias("target_id"), "idx", "d2")
+
+
+def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", leaf: int = tree.LEAF, task_points: int = TASK_POINTS) -> DataFrame:
     """The k nearest target points of every query point, in each target neuron.
 
     queries: (query_id, query_idx, qx, qy, qz). targets: (target_id, idx, x, y, z). Result: query_id, query_idx, target_id, idx, d2,
@@ -112,49 +105,31 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", cell
 
     pairs: "all" target neurons, "same" (target_id = query_id, for neighbourhoods) or "other" (all but the same).
 
-    Targets of at most TASK_POINTS points are searched within tasks. Others, exactly, in levels: points are joined by grid cell (the query's cell and its 26 neighbours). If the k-th distance found is
-    within the cell width, nothing outside can be nearer; the other query points go to the next level with wider
-    cells, and the last ones are compared with all points of the target neuron. A level's settled rows are written out,
-    so no level is computed twice, and the levels end as soon as all points are settled.
+    A neuron's own points are searched in one task; others in tiles of some targets and some queries (``tiles``). Targets of more than
+    ``task_points`` points are cut into leaves of some ``leaf`` points and searched by box distance (``tree``). All are exact.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     sizes = targets.groupBy("target_id").count()
-    large = sizes.agg(F.count("*").alias("n"), F.count(F.when(F.col("count") > task_points, 1)).alias("large")).first()
-    if not large["large"]:
-        return knn_within_tasks(queries, targets, k, pairs)
-    if large["large"] < large["n"]:
-        of = sizes.select("target_id", (F.col("count") > task_points).alias("large"))
-        marked = targets.join(of, "target_id")
-        more = marked.where("large").drop("large")
-        asked = queries.join(more.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi") if pairs == "same" else queries
-        return knn_within_tasks(queries, marked.where("NOT large").drop("large"), k, pairs).unionByName(knn(asked, more, k, pairs, cell, levels, 0))
-    h = cell or default_cell(targets, "target_id", k)
-    key = ["query_id", "query_idx", "target_id"]
-    if pairs == "same":
-        todo = queries.withColumn("target_id", F.col("query_id"))
-    else:
-        ids = targets.select("target_id").distinct()
-        todo = queries.join(ids, queries["query_id"] != ids["target_id"]) if pairs == "other" else queries.crossJoin(ids)
-    group = Window.partitionBy(*key)
+    is_large = F.col("count") > task_points
+    got = sizes.agg(F.count("*").alias("n"), F.sum("count").alias("points"), F.count(F.when(is_large, 1)).alias("large"), F.sum(F.when(is_large, F.col("count"))).alias("in_large")).first()
+    small, more = targets, None
+    if got["large"]:
+        marked = targets.join(sizes.select("target_id", is_large.alias("large")), "target_id")
+        small, more = marked.where("NOT large").drop("large"), marked.where("large").drop("large")
     out = []
-    for width in (h * f for f in levels):
-        at = lambda c, w=width: F.floor(F.col(c) / F.lit(w))
-        cells = targets.withColumns({f"c{c}": at(c) for c in AXES})
-        around = F.sequence(F.lit(-1), F.lit(1))
-        # one list of the 27 cells, exploded at once
-        near = F.flatten(F.transform(around, lambda i: F.flatten(F.transform(around, lambda j: F.transform(around, lambda m: F.struct((at("qx") + i).alias("cx"), (at("qy") + j).alias("cy"), (at("qz") + m).alias("cz")))))))
-        joined = todo.select(*key, "qx", "qy", "qz", F.inline(near)).join(cells, ["target_id", "cx", "cy", "cz"])
-        found = _best(joined.select(*key, "idx", _d2().alias("d2")), key, k)
-        sure = (F.count("*").over(group) == k) & (F.max("d2").over(group) <= width * width)
-        settled = written(found.withColumn("sure", sure).where("sure").drop("sure"), "knn")
-        out.append(settled)
-        todo = todo.join(settled.where("rank = 1").select(*key), key, "left_anti")
-        if not todo.take(1):
-            break
-    else:
-        out.append(_best(todo.join(targets, "target_id").select(*key, "idx", _d2().alias("d2")), key, k))
-    return reduce(DataFrame.unionByName, out)
+    if got["n"] > got["large"] or not got["n"]:
+        asked = queries
+        if pairs == "same":
+            found = _within(queries if more is None else queries.join(small.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi"), small, k)
+        else:
+            found = _in_tiles(asked, small, k, pairs == "all", (got["points"] or 0) - (got["in_large"] or 0), got["n"] - got["large"])
+        out.append(found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("d2", "idx"))))
+    if more is not None:
+        asked = queries.join(more.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi") if pairs == "same" else queries
+        out.append(_best(_by_tree(asked, more, k, pairs, leaf), KEY, k))
+    kinds = {"query_idx": queries.schema["query_idx"].dataType, "idx": targets.schema["idx"].dataType}
+    return reduce(DataFrame.unionByName, [df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()}) for df in out]).select(*KEY, "idx", "d2", "rank")
 
 
 def as_queries(points: DataFrame) -> DataFrame:

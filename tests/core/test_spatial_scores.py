@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dendra.functions import linalg
 from dendra.functions.score_table import DISTANCES, ScoreTable, adp_bin, dist_bin
-from dendra.operators import nblast, spatial
+from dendra.operators import nblast, spatial, tiles
 from dendra.operators import segmentation as seg
 from dendra.operators.components import components
 
@@ -40,13 +40,12 @@ def test_knn_known_answers(spark):
     assert listed(spatial.knn(at(spark, (0, 0, 0)), spatial.as_targets(cloud(spark, t=[(1, 0, 0), (-1, 0, 0)])), 1)) == {0: [0]}  # a tie
 
 
-@pytest.mark.parametrize("k", [1, 4, 500])
-@pytest.mark.parametrize("cell", [None, 0.01, 50.0])
-def test_knn_equals_brute_force(spark, k, cell):
+@pytest.mark.parametrize("k, sizes", [(1, (1 << 14, 64)), (4, (1 << 14, 64)), (500, (1 << 14, 64)), (1, (0, 3)), (4, (50, 8)), (500, (0, 16))])
+def test_knn_equals_brute_force(spark, k, sizes):
     t = {"a": R.normal(size=(60, 3)) * 10, "b": np.repeat(R.normal(size=(8, 3)), 5, axis=0)}  # repeated points tie
     q = np.concatenate([R.normal(size=(15, 3)) * 10, [[1e4, 0, 0]], t["b"][:2]])
     got = defaultdict(list)
-    for r in spatial.knn(at(spark, *q), spatial.as_targets(cloud(spark, **t)), k, cell=cell).collect():
+    for r in spatial.knn(at(spark, *q), spatial.as_targets(cloud(spark, **t)), k, task_points=sizes[0], leaf=sizes[1]).collect():
         got[r["query_idx"], r["target_id"]].append((r["rank"], r["idx"]))
     assert len(got) == len(q) * 2
     for (i, name), own in got.items():
@@ -287,15 +286,16 @@ def test_greedy_dendrogram(spark, task_edges, worst):
     assert len(rows) == len(plain_greedy(edges, 0.5))
 
 
-@pytest.mark.parametrize("pairs", ["same", "other", "all"])
-def test_searches_within_tasks_and_by_grid_agree(spark, monkeypatch, pairs):
-    monkeypatch.setattr(spatial, "QUERY_BLOCK", 50)
-    monkeypatch.setattr(spatial, "TASK_CELLS", 300)
+@pytest.mark.parametrize("pairs, most", [("same", 70), ("other", 0), ("all", 70)])
+def test_searches_within_tasks_and_by_tree_agree(spark, monkeypatch, pairs, most):
+    monkeypatch.setattr(tiles, "GROUP_POINTS", 50)
+    monkeypatch.setattr(tiles, "ROW_POINTS", 20)
+    monkeypatch.setattr(tiles, "OUT_ROWS", 30)
     points = cloud(spark, a=R.normal(size=(60, 3)), b=np.round(R.normal(size=(90, 3)) * 2), c=np.zeros((7, 3)))  # b and c hold ties
     q, t = spatial.as_queries(points), spatial.as_targets(points)
-    rows = lambda n: sorted((r["query_id"], r["query_idx"], r["target_id"], r["rank"], r["idx"], r["d2"]) for r in spatial.knn(q, t, 4, pairs, task_points=n).collect())
+    rows = lambda n: sorted((r["query_id"], r["query_idx"], r["target_id"], r["rank"], r["idx"], r["d2"]) for r in spatial.knn(q, t, 4, pairs, leaf=10, task_points=n).collect())
     whole = rows(1000)
-    assert whole == rows(70) == rows(0) and len({r[2] for r in whole}) == 3
+    assert whole == rows(most) and len({r[2] for r in whole}) == 3
 
 
 def test_steps_count_over_ranges(spark):
