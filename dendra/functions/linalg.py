@@ -59,6 +59,30 @@ def first_component(df: DataFrame, names: tuple[str, str, str] = ("vx", "vy", "v
     return out.drop(*[x for x in out.columns if x.startswith("__")])
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """``first_component`` of many small sets of points at once: x is sets by points by 3, relative to a point nearby; a line of NaN where there is none."""
+    n = x.shape[1]
+    if n < 2:
+        return np.full((len(x), 3), np.nan)
+    sums = x.sum(axis=1)
+    a = (np.einsum("spi,spj->sij", x, x) - sums[:, :, None] * sums[:, None, :] / n) / (n - 1)
+    q = np.trace(a, axis1=1, axis2=2) / 3
+    b = a - q[:, None, None] * np.eye(3)
+    p = np.sqrt((b * b).sum(axis=(1, 2)) / 6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        half = np.linalg.det(b / p[:, None, None]) / 2
+        top = q + 2 * p * np.cos(np.arccos(np.clip(half, -1, 1)) / 3)
+        rows = a - top[:, None, None] * np.eye(3)
+        crosses = np.stack([np.cross(rows[:, i], rows[:, j]) for i, j in ((0, 1), (0, 2), (1, 2))], axis=1)
+        sizes = (crosses * crosses).sum(axis=2)
+        best = sizes.argmax(axis=1)
+        v, size = crosses[np.arange(len(x)), best], sizes[np.arange(len(x)), best]
+        lead = v[np.arange(len(x)), np.abs(v).argmax(axis=1)]
+        out = v * (np.where(lead < 0, -1.0, 1.0) / np.sqrt(size))[:, None]
+    out[~((p > 0) & (size > 1e-24 * q**4))] = np.nan
+    return out
+
+
 def pca_first_component(df: DataFrame, group: list[str], axes: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """First principal component of each group of 3-D points: group columns and vx, vy, vz.
 

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dendra.functions.linalg import MOMENTS, first_component, moments
+from dendra.functions.linalg import directions, first_component, moments
 from dendra.functions.score_table import ScoreTable
 from dendra.operators import tiles
 from dendra.operators.batches import AXES, runs
 from dendra.operators.search import Cloud
-from dendra.operators.spatial import TASK_POINTS, as_queries, as_targets, by_size, knn
+from dendra.operators.spatial import TASK_POINTS, Sized, as_queries, as_targets, by_size, knn
 from dendra.operators.tiles import OUT_ROWS
 from dendra.operators.tree import LEAF
 from dendra.plans.scratch import written
@@ -23,9 +22,8 @@ from dendra.plans.scratch import written
 DIRECTION = ("vx", "vy", "vz")
 
 
-def _near_moments(points: DataFrame, k: int) -> DataFrame:
-    """``points`` with the moments of each point's k nearest about it. A neuron is one task's work."""
-
+def _near_directions(points: DataFrame, k: int) -> DataFrame:
+    """``points`` with the direction of each one's k nearest. A neuron is one task's work."""
     given = list(points.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,25 +33,24 @@ def _near_moments(points: DataFrame, k: int) -> DataFrame:
             for a in range(0, len(x), step := max(1, OUT_ROWS // k)):
                 part = x[a : a + step]
                 at, _ = cloud.nearest(part, k)
-                rx, ry, rz = (x[at, c] - part[:, None, c] for c in range(3))
-                sums = [rx, ry, rz, rx * rx, ry * ry, rz * rz, rx * ry, rx * rz, ry * rz]
+                v = directions(x[at] - part[:, None])
                 rows = own.slice(a, len(part)).combine_chunks()
                 kept = [rows.column(c).combine_chunks() for c in given]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(part), at.shape[1])), *[pa.array(v.sum(axis=1)) for v in sums]], names=[*given, *MOMENTS])
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, mask=np.isnan(c)) for c in v.T]], names=[*given, *DIRECTION])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     sorted_ = points.repartition("neuron_id").sortWithinPartitions("neuron_id", "idx")
-    return sorted_.mapInArrow(run, f"{kinds}, n long, " + ", ".join(f"{m} double" for m in MOMENTS[1:]))
+    return sorted_.mapInArrow(run, f"{kinds}, " + ", ".join(f"{c} double" for c in DIRECTION))
 
 
-def _joined_moments(points: DataFrame, k: int, leaf: int) -> DataFrame:
+def _joined_directions(points: DataFrame, k: int, leaf: int) -> DataFrame:
     """The same for neurons of any size."""
     near = knn(as_queries(points), as_targets(points), k, "same", leaf, 0)
     there = points.select(F.col("neuron_id").alias("target_id"), "idx", *[F.col(c).alias("n" + c) for c in AXES])
     own = points.select(F.col("neuron_id").alias("query_id"), F.col("idx").alias("query_idx"), *AXES)
     joined = near.select("query_id", "query_idx", "target_id", "idx").join(there, ["target_id", "idx"]).join(own, ["query_id", "query_idx"])
     sums = joined.groupBy("query_id", "query_idx", *AXES).agg(*moments(*[F.col("n" + c) - F.col(c) for c in AXES]))
-    return sums.withColumnsRenamed({"query_id": "neuron_id", "query_idx": "idx"})
+    return first_component(sums.withColumnsRenamed({"query_id": "neuron_id", "query_idx": "idx"}), DIRECTION).select("neuron_id", "idx", *AXES, *DIRECTION)
 
 
 def direction_vectors(points: DataFrame, k: int, leaf: int = LEAF, task_points: int = TASK_POINTS) -> DataFrame:
@@ -62,9 +59,10 @@ def direction_vectors(points: DataFrame, k: int, leaf: int = LEAF, task_points:
     Where there is none (see ``first_component``) the direction is NULL and scores as |dot| = 0.
     """
     points = points.select("neuron_id", "idx", *AXES)
-    small, large = by_size(points, "neuron_id", task_points)
-    sums = [_near_moments(small, k)] + ([_joined_moments(large, k, leaf)] if large is not None else [])
-    found = first_component(reduce(DataFrame.unionByName, sums), DIRECTION).select("neuron_id", "idx", *AXES, *DIRECTION)
+    own = by_size(points, "neuron_id", task_points)
+    found = _near_directions(own.small, k)
+    if own.large is not None:
+        found = found.unionByName(_joined_directions(own.large, k, leaf))
     return written(found, "vectors")  # a scoring plan reads them several times
 
 
@@ -86,14 +84,18 @@ def matches(query: DataFrame, target: DataFrame, pairs: str = "all", leaf: int =
     return joined.select("query_id", "query_idx", "target_id", "idx", F.sqrt("d2").alias("distance"), F.round(F.coalesce(dot, F.lit(0.0)), 9).alias("adp"))
 
 
-def tile_scores(query: DataFrame, target: DataFrame, table: ScoreTable, same: bool) -> DataFrame:
-    """(target_id, query_id, raw) of targets that fit a task: each task scores some targets against some queries, so a point is copied once per
-    group and only sums leave the task."""
+def tile_scores(query: DataFrame, target: Sized, table: ScoreTable, same: bool, own: bool) -> DataFrame:
+    """(target_id, query_id, raw) of small targets: each task scores some of them against some queries, so a point is copied once per group and
+    only sums leave the task. own: the queries are the targets."""
     values = [*AXES, *DIRECTION]
     renamed = lambda df: df.select(F.col("neuron_id").alias("id"), "idx", *values)
-    sizes = [df.agg(F.count("*").alias("n"), F.approx_count_distinct("neuron_id").alias("ids")).first() for df in (target, query)]
     parts = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles.tiles(tiles.pack_targets(renamed(target), values), tiles.pack_queries(renamed(query), values), *[tiles.groups(s["n"], s["ids"], parts) for s in sizes])
+    there, n = tiles.pack_targets(renamed(target.small), values), tiles.groups(target.points, target.groups, parts)
+    if own:
+        dealt = tiles.tiles(there, there, n, n)
+    else:
+        size = query.agg(F.count("*").alias("n"), F.approx_count_distinct("neuron_id").alias("ids")).first()
+        dealt = tiles.tiles(there, tiles.pack_queries(renamed(query), values), n, tiles.groups(size["n"], size["ids"], parts))
 
     def work(target_id, _, cloud, there, query_id, idxs, x):
         at, d2 = cloud.nearest(x[:, :3], 1)
@@ -104,17 +106,17 @@ def tile_scores(query: DataFrame, target: DataFrame, table: ScoreTable, same: bo
         raw = float(table.scores(np.sqrt(d2[:, 0]), adp).sum())
         yield pa.RecordBatch.from_arrays([pa.array([target_id]), pa.array([query_id]), pa.array([raw])], names=["target_id", "query_id", "raw"])
 
-    kinds = [df.schema["neuron_id"].dataType.simpleString() for df in (target, query)]
+    kinds = [df.schema["neuron_id"].dataType.simpleString() for df in (target.small, query)]
     return tiles.met(dealt, work, f"target_id {kinds[0]}, query_id {kinds[1]}, raw double", len(values), same)
 
 
 def raw_scores(query: DataFrame, target: DataFrame, table: ScoreTable | None = None, pairs: str = "all", leaf: int = LEAF, task_points: int = TASK_POINTS) -> DataFrame:
     """(target_id, query_id, raw): the sum over query points. pairs: "all" or "other" targets."""
     table = table or ScoreTable()
-    small, large = by_size(target, "neuron_id", task_points)
-    found = tile_scores(query, small, table, pairs == "all")
-    if large is not None:
-        scored = matches(query, large, pairs, leaf, 0).withColumn("raw", table.score(F.col("distance"), F.col("adp")))
+    own = by_size(target, "neuron_id", task_points)
+    found = tile_scores(query, own, table, pairs == "all", query is target and own.large is None)
+    if own.large is not None:
+        scored = matches(query, own.large, pairs, leaf, 0).withColumn("raw", table.score(F.col("distance"), F.col("adp")))
         found = found.unionByName(scored.select("target_id", "query_id", "raw"))
     return found.groupBy("target_id", "query_id").agg(F.sum("raw").alias("raw"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,13 +46,24 @@ def _best(candidates: DataFrame, key: list[str], k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def by_size(points: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """``points`` of the groups of at most ``most`` points, and of the larger ones (None if there are none)."""
+class Sized(NamedTuple):
+    """Points of the groups of at most so many points, how many points and groups these are, and the points of larger groups (None if there are none)."""
+
+    small: DataFrame
+    points: int
+    groups: int
+    large: DataFrame | None
+
+
+def by_size(points: DataFrame, group: str, most: int) -> Sized:
+    """One pass of counts."""
     sizes = points.groupBy(group).count()
-    if not sizes.where(F.col("count") > most).take(1):
-        return points, None
-    marked = points.join(sizes.select(group, (F.col("count") > most).alias("__large")), group)
-    return marked.where("NOT __large").select(*points.columns), marked.where("__large").select(*points.columns)
+    few = F.col("count") <= most
+    got = sizes.agg(F.count("*").alias("all"), F.count(F.when(few, 1)).alias("groups"), F.sum(F.when(few, F.col("count"))).alias("points")).first()
+    if got["all"] == got["groups"]:
+        return Sized(points, got["points"] or 0, got["groups"], None)
+    marked = points.join(sizes.select(group, few.alias("__few")), group)
+    return Sized(marked.where("__few").select(*points.columns), got["points"] or 0, got["groups"], marked.where("NOT __few").select(*points.columns))
 
 
 def _within(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -110,24 +122,16 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, pairs: str = "all", leaf
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    sizes = targets.groupBy("target_id").count()
-    is_large = F.col("count") > task_points
-    got = sizes.agg(F.count("*").alias("n"), F.sum("count").alias("points"), F.count(F.when(is_large, 1)).alias("large"), F.sum(F.when(is_large, F.col("count"))).alias("in_large")).first()
-    small, more = targets, None
-    if got["large"]:
-        marked = targets.join(sizes.select("target_id", is_large.alias("large")), "target_id")
-        small, more = marked.where("NOT large").drop("large"), marked.where("large").drop("large")
-    out = []
-    if got["n"] > got["large"] or not got["n"]:
-        asked = queries
+    own, out = by_size(targets, "target_id", task_points), []
+    if own.groups or own.large is None:
         if pairs == "same":
-            found = _within(queries if more is None else queries.join(small.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi"), small, k)
+            found = _within(queries if own.large is None else queries.join(own.small.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi"), own.small, k)
         else:
-            found = _in_tiles(asked, small, k, pairs == "all", (got["points"] or 0) - (got["in_large"] or 0), got["n"] - got["large"])
+            found = _in_tiles(queries, own.small, k, pairs == "all", own.points, own.groups)
         out.append(found.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("d2", "idx"))))
-    if more is not None:
-        asked = queries.join(more.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi") if pairs == "same" else queries
-        out.append(_best(_by_tree(asked, more, k, pairs, leaf), KEY, k))
+    if own.large is not None:
+        asked = queries.join(own.large.select(F.col("target_id").alias("query_id")).distinct(), "query_id", "left_semi") if pairs == "same" else queries
+        out.append(_best(_by_tree(asked, own.large, k, pairs, leaf), KEY, k))
     kinds = {"query_idx": queries.schema["query_idx"].dataType, "idx": targets.schema["idx"].dataType}
     return reduce(DataFrame.unionByName, [df.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()}) for df in out]).select(*KEY, "idx", "d2", "rank")
 

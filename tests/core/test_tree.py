@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from dendra.functions import linalg
 from dendra.functions.score_table import ScoreTable
 from dendra.operators import batches, nblast, search, spatial, tiles, tree
 
@@ -121,3 +122,15 @@ def test_scores_of_large_and_small_targets_agree(spark):
     table = ScoreTable()
     d, a = R.random(500) * 60000, np.round(R.random(500), 2)
     assert table.scores(d, a).tolist() == [table[x, y] for x, y in zip(d, a)]
+
+
+def test_directions_of_many_sets_at_once(spark):
+    sets = [R.normal(size=(6, 3)) @ R.normal(size=(3, 3)) for _ in range(50)] + [np.ones((6, 3)), np.concatenate([np.eye(3), -np.eye(3)]), np.outer(np.arange(6), [1.0, 0, 0])]
+    got = linalg.directions(np.array(sets))
+    assert np.isnan(got[50]).all() and np.isnan(got[51]).all() and got[52].tolist() == [1.0, 0.0, 0.0] and np.isnan(linalg.directions(np.ones((2, 1, 3)))).all()
+    for x, v in zip(sets[:50], got):
+        want = np.linalg.eigh(np.cov(x.T))[1][:, -1]
+        assert abs(abs(v @ want) - 1) < 1e-6 and v[np.abs(v).argmax()] > 0
+    rows = spark.createDataFrame([(i, *map(float, p)) for i, x in enumerate(sets) for p in x], "g int, x double, y double, z double")
+    for r in linalg.pca_first_component(rows, ["g"]).collect():
+        assert (r["vx"] is None) == bool(np.isnan(got[r["g"], 0])) and (r["vx"] is None or np.allclose([r["vx"], r["vy"], r["vz"]], got[r["g"]], atol=1e-6))
