@@ -1,6 +1,6 @@
 """Region graphs of labelled volumes, their agglomeration, and relabelling.
 
-Voxels: (z, y, x, label, aff_x, aff_y, aff_z); label 0 is background; an affinity belongs to the voxel and its lower neighbour.
+Voxels: (z, y, x, label, aff_x, aff_y, aff_z), or blocks of them (``blocks``); label 0 is background; an affinity belongs to the voxel and its lower neighbour.
 """
 
 from __future__ import annotations
@@ -10,33 +10,21 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dendra.operators import blocks
 from dendra.operators.components import TASK_EDGES, components
 from dendra.plans.scratch import written
 
 
-def contacts(voxels: DataFrame) -> DataFrame:
-    """(seg0, seg1, aff) of each pair of touching voxels with different labels, smaller label first.
-
-    A window per axis lines up a row of voxels and looks at the one before; no self-join. Rows of a volume are short, so
-    no task holds more than its sort can spill.
-    """
-    axes = {"z": ("y", "x"), "y": ("z", "x"), "x": ("z", "y")}
-    out = None
-    for axis, others in axes.items():
-        line = Window.partitionBy(*others).orderBy(axis)
-        before, at = F.lag("label").over(line), F.lag(axis).over(line)
-        # background is kept until here: it separates
-        touching = voxels.select("label", before.alias("below"), (F.col(axis) - at).alias("gap"), F.col(f"aff_{axis}").alias("aff"))
-        touching = touching.where("gap = 1 AND label > 0 AND below > 0 AND label <> below")
-        own = touching.select(F.least("label", "below").alias("seg0"), F.greatest("label", "below").alias("seg1"), "aff")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def region_graph(voxels: DataFrame) -> DataFrame:
-    """(seg0, seg1, n, aff_sum): contact count and affinity sum of touching segments."""
-    return contacts(voxels).groupBy("seg0", "seg1").agg(F.count("*").alias("n"), F.sum("aff").alias("aff_sum"))
+def region_graph(voxels: DataFrame, edge: int = blocks.EDGE) -> DataFrame:
+    """(seg0, seg1, n, aff_sum): contact count and affinity sum of touching segments, by blocks (see there); voxels or BLOCKS.
+    The sum is a whole number where the affinities are."""
+    if "labels" in voxels.columns:
+        return blocks.region_graph(voxels, edge)
+    kinds = {voxels.schema[f"aff_{a}"].dataType for a in "xyz"}
+    graph = blocks.region_graph(blocks.from_voxels(voxels, edge), edge)
+    return graph.withColumn("aff_sum", F.col("aff_sum").cast("long")) if all(isinstance(k, T.IntegralType) for k in kinds) else graph
 
 
 def neighbours(graph: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ POINTS = "neuron_id string, idx int, x double, y double, z double"
 SKELETON = "neuron_id string, idx int, class int, x double, y double, z double, r double, parent int"
 SWC = "neuron_id string, id int, class int, x double, y double, z double, r double, parent int"
 VECTORS = "neuron_id string, idx int, x double, y double, z double, vx double, vy double, vz double"
+BLOCKS = "bz long, by long, bx long, nz int, ny int, nx int, labels binary, affinities binary, present binary"
 VOXELS = "z int, y int, x int, label long, aff_x double, aff_y double, aff_z double"
 
 #: In-band sentinel for a missing parent, child or sibling in arrays that leave the engine.
