@@ -15,7 +15,8 @@ from dendra.functions.linalg import pca_first_component as _pca
 from dendra.functions.linalg import pca_first_component_any
 from dendra.functions.score_table import ScoreTable
 from dendra.operators import downsample as _down
-from dendra.operators import nblast, segmentation, skeleton, spatial
+from dendra.operators import merge_tree, nblast, segmentation, skeleton, spatial
+from dendra.plans.scratch import written
 from dendra.sources import precomputed, swc, tables, volumes
 
 __all__ = ["KDTree", "ScoreMatrix", "ScoreTable", "Skeleton", "SupervoxelDendrogram", "VectorCloud", "mean_matrix", "normalized_matrix", "pca_first_component"]
@@ -214,3 +215,8 @@ class SupervoxelDendrogram:
 
     def segment(self, threshold: float) -> np.ndarray:
         return volumes.labels_to_array(segmentation.segment(self.voxels, self.frame, threshold))
+
+    def segment_all(self, thresholds: Sequence[float]) -> list[np.ndarray]:
+        """The same for several thresholds, from one merge tree."""
+        at = written(merge_tree.segments(merge_tree.build(self.frame), list(thresholds)), "segments")
+        return [volumes.labels_to_array(segmentation.relabel(self.voxels, at.where(F.col("threshold") == float(t)).select("label", "root"))) for t in thresholds]

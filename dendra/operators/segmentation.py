@@ -6,8 +6,11 @@ Voxels: (z, y, x, label, aff_x, aff_y, aff_z), or blocks of them (``blocks``); l
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,9 @@ from dendra.operators import blocks
 from dendra.operators.components import TASK_EDGES, components
 from dendra.plans.scratch import written
 
+#: Neighbours in a row of ``neighbours``.
+CHUNK = 1 << 12
+
 
 def region_graph(voxels: DataFrame, edge: int = blocks.EDGE) -> DataFrame:
     """(seg0, seg1, n, aff_sum): contact count and affinity sum of touching segments, by blocks (see there); voxels or BLOCKS.
@@ -27,10 +33,39 @@ def region_graph(voxels: DataFrame, edge: int = blocks.EDGE) -> DataFrame:
     return graph.withColumn("aff_sum", F.col("aff_sum").cast("long")) if all(isinstance(k, T.IntegralType) for k in kinds) else graph
 
 
-def neighbours(graph: DataFrame) -> DataFrame:
-    """(seg, neighbours), sorted."""
+def neighbours(graph: DataFrame, most: int = CHUNK) -> DataFrame:
+    """(seg, first, neighbours): each segment's neighbours, sorted, in rows of at most ``most``; first is a row's smallest. Rows are dealt by ranges of
+    (segment, neighbour), so a hub's are built by several tasks."""
     both = graph.select(F.col("seg0").alias("seg"), F.col("seg1").alias("other")).unionByName(graph.select(F.col("seg1").alias("seg"), F.col("seg0").alias("other")))
-    return both.groupBy("seg").agg(F.sort_array(F.collect_set("other")).alias("neighbours"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, held = None, np.zeros(0, np.int64)
+
+        def rows(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            cut = [(s, x[i : i + most]) for s, x in parts for i in range(0, len(x), most)]
+            columns = [[s for s, _ in cut], [int(x[0]) for _, x in cut], [x.tolist() for _, x in cut]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["seg", "first", "neighbours"])
+
+        for batch in batches:
+            of, other = (c.to_numpy() for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(of)) + 1
+            done = []
+            for own, x in zip(np.split(of, cuts), np.split(other, cuts)):
+                if len(own) and own[0] != seg:
+                    done += [(seg, held)] if len(held) else []
+                    seg, held = int(own[0]), x
+                else:
+                    held = np.concatenate([held, x])
+                whole = len(held) // most * most
+                if whole:
+                    done.append((seg, held[:whole]))
+                    held = held[whole:]
+            if done:
+                yield rows(done)
+        if len(held):
+            yield rows([(seg, held)])
+
+    return both.repartitionByRange("seg", "other").sortWithinPartitions("seg", "other").mapInArrow(run, "seg long, first long, neighbours array<long>")
 
 
 def _order() -> Column:

@@ -152,6 +152,12 @@ def initialize(n: int, spark, neuron_id: str = "0") -> DataFrame:
     return spark.range(n).select(F.lit(neuron_id).alias("neuron_id"), F.col("id").cast("int").alias("idx"), F.lit(0).alias("class"), *[zero.alias(c) for c in (*AXES, "r")], F.lit(None).cast("int").alias("parent"))
 
 
+def initialize_all(sizes: DataFrame) -> DataFrame:
+    """The same for many neurons: sizes (neuron_id, n_points)."""
+    idx = F.explode(F.sequence(F.lit(0), F.col("n_points").cast("int") - 1)).alias("idx")
+    return sizes.where("n_points > 0").select("neuron_id", idx).select("*", F.lit(0).alias("class"), *[F.lit(0.0).alias(c) for c in (*AXES, "r")], F.lit(None).cast("int").alias("parent"))
+
+
 def plot_points(cloud: DataFrame, k: int = 600) -> DataFrame:
     """The first ``k`` points of each neuron."""
     return cloud.where(F.col("idx") < k).select("neuron_id", *AXES)

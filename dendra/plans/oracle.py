@@ -34,6 +34,11 @@ l AS (SELECT DISTINCT label FROM v),
 reach AS (SELECT label AS a, label AS r FROM l UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.r),
 roots AS (SELECT a AS label, min(r) AS root FROM reach GROUP BY a)"""
 
+THRESHOLDS = f"""{DENDROGRAM},
+h AS (SELECT 640.0::DOUBLE + 20 * unnest(range(0, 10)) AS threshold),
+e AS (SELECT threshold, seg0 AS a, seg1 AS b FROM dd JOIN h ON affinity >= threshold UNION ALL SELECT threshold, seg1, seg0 FROM dd JOIN h ON affinity >= threshold),
+reach AS (SELECT threshold, a AS label, a AS r FROM e UNION SELECT reach.threshold, reach.label, e.b FROM reach JOIN e ON e.threshold = reach.threshold AND e.a = reach.r)"""
+
 _MOMENTS = "count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x*x) AS sxx, sum(y*y) AS syy, sum(z*z) AS szz, sum(x*y) AS sxy, sum(x*z) AS sxz, sum(y*z) AS syz"
 
 
@@ -121,7 +126,8 @@ def sql() -> dict[str, str]:
             FROM s LEFT JOIN c USING (neuron_id, idx) LEFT JOIN c u ON u.neuron_id = s.neuron_id AND u.idx = s.parent)""",
         "k17_equal": sk + "SELECT neuron_id, bool_and(d <= 0.001 + 1e-5 * abs(x + d)) AS equal FROM (SELECT *, CASE WHEN neuron_id LIKE '%1' THEN 0.5 ELSE 0.0005 END::DOUBLE AS d FROM s) GROUP BY neuron_id",
         "k14_set_points": sk + "SELECT neuron_id, idx, class, round(x * 2, 4) + 0.0 AS x, round(y + 1, 4) + 0.0 AS y, round(-z, 4) + 0.0 AS z, round(r / 2, 4) + 0.0 AS r, parent FROM s",
-        "k18_initialize": "SELECT '0' AS neuron_id, (row_number() OVER () - 1)::INTEGER AS idx, 0 AS class, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS r, NULL::INTEGER AS parent FROM part",
+        "k18_initialize": sk + """SELECT neuron_id, idx, 0 AS class, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS r, NULL::INTEGER AS parent,
+            CASE WHEN idx % 2 = 0 THEN round(s.x, 4) + 0.0 END AS new_x, CASE WHEN idx % 2 = 0 THEN round(s.r, 4) + 0.0 END AS new_r FROM s""",
         "k19_plot_points": pts + "SELECT neuron_id, x, y, z FROM p WHERE idx < 600",
         "s1_swc_lenient": f"""WITH {SKELETONS}, kept AS (SELECT *, (row_number() OVER (PARTITION BY neuron_id ORDER BY idx) - 1)::INTEGER AS own FROM s WHERE idx % 5 <> 0 AND idx % 7 <> 0)
             SELECT a.neuron_id, a.own AS idx, a.class, {_round('x', 'y', 'z', 'r', of='a.')}, b.own AS parent FROM kept a LEFT JOIN kept b ON b.neuron_id = a.neuron_id AND b.idx = a.parent""",
@@ -134,7 +140,7 @@ def sql() -> dict[str, str]:
             FROM s GROUP BY neuron_id""",
         "s11_saved_skeletons": sk + NODES,
         "s12_saved_vectors": f"WITH {VECTORS} SELECT neuron_id, idx, {_round('x', 'y', 'z', 'vx', 'vy', 'vz')} FROM vec JOIN p USING (neuron_id, idx)",
-        "n4_table": f"WITH {_scores()} SELECT dist_bin, adp_bin, score FROM st",
+        "n4_table": f"WITH {POINTS}, {_scores()}, o AS (SELECT *, sqrt(x*x + y*y + z*z) AS d FROM p) SELECT neuron_id, idx, dist_bin, adp_bin, score FROM o JOIN st ON d >= lo AND d < hi AND adp_bin = idx % 10",
         "n6_sizes": pts + "SELECT neuron_id, count(*) AS n_points FROM p GROUP BY neuron_id",
         "n10_neuron_count": pts + "SELECT count(DISTINCT neuron_id) AS n_neurons FROM p",
         "s6_s7_precomputed": sk + "SELECT neuron_id, idx, class, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z, r::FLOAT::DOUBLE AS r, parent FROM s",
@@ -146,6 +152,8 @@ def sql() -> dict[str, str]:
             o AS (SELECT neuron_id, idx, box_id, greatest(0.0, x0 - x, x - x1) AS dx, greatest(0.0, y0 - y, y - y1) AS dy, greatest(0.0, z0 - z, z - z1) AS dz FROM p JOIN b ON box_id::INT = neuron_id::INT + 1)
             SELECT neuron_id, idx, box_id, dx*dx + dy*dy + dz*dz AS d2 FROM o""",
         "m9_knn": f"WITH {POINTS}, {_near(5, True)} SELECT query_id AS neuron_id, query_idx, idx, rank FROM nn",
+        "m8_m9_tree": f"WITH {POINTS}, {_near(3, False)} SELECT query_id, query_idx, target_id, idx, rank FROM nn",
+        "m8_leaves": pts + "SELECT neuron_id, idx, x, y, z FROM p",
         "n2_lookup": f"""WITH {POINTS}, {_near(1, False)}, {_scores()} SELECT query_id, query_idx, target_id, dist_bin, adp_bin, score
             FROM nn JOIN st ON sqrt(d2) >= lo AND sqrt(d2) < hi AND adp_bin = greatest(0, trunc((query_idx % 11) / 10 * 10 - 1e-4))::INTEGER""",
         "n5_vectors": f"WITH {VECTORS} SELECT neuron_id, idx, {_round('vx', 'vy', 'vz')} FROM vec",
@@ -160,6 +168,8 @@ def sql() -> dict[str, str]:
         "g2_neighbours": f"WITH {GRAPH}, b AS (SELECT seg0 AS seg, seg1 AS o FROM g UNION SELECT seg1, seg0 FROM g) SELECT seg, string_agg(o::VARCHAR, ',' ORDER BY o) AS neighbours FROM b GROUP BY seg",
         "g4_dendrogram": f"WITH {DENDROGRAM} SELECT step, seg0, seg1, {_round('affinity')} FROM dd",
         "g8_components": f"WITH RECURSIVE {COMPONENTS} SELECT label, root FROM roots",
+        "g8_merge_tree": f"WITH RECURSIVE {THRESHOLDS} SELECT threshold, label, min(r) AS root FROM reach GROUP BY threshold, label",
+        "g10_blocks": f"WITH RECURSIVE {COMPONENTS} SELECT z, y, x, root AS label FROM v JOIN roots USING (label)",
         "g9_merge_counts": f"WITH RECURSIVE {COMPONENTS} SELECT (SELECT count(*) FROM l) AS n_labels, (SELECT count(*) FROM dd WHERE affinity >= 700) AS n_merges, (SELECT count(DISTINCT root) FROM roots) AS n_segments",
         "g10_relabel": f"WITH RECURSIVE {COMPONENTS} SELECT z, y, x, root AS label FROM v JOIN roots USING (label)",
     }

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dendra.functions import linalg
 from dendra.functions.score_table import ScoreTable, adp_bin, dist_bin
 from dendra.operators import downsample as down
-from dendra.operators import nblast, spatial, skeleton
+from dendra.operators import blocks, merge_tree, nblast, skeleton, spatial, tree
 from dendra.operators import segmentation as seg
 from dendra.plans import derive
-from dendra.plans.scratch import fresh
+from dendra.plans.scratch import fresh, written
 from dendra.sources import precomputed, swc, tables
 
 K_NEAR = 10
 STEP = 40.0
 MIN_MEAN = 630.0
 CUT = 700.0
+CUTS = [640.0 + 20 * i for i in range(10)]
+LEAF = 16
+BLOCK = 8
 
 
 def _r(*columns: str, digits: int = 4) -> list:
@@ -88,7 +91,11 @@ def k14_set_points(spark, d) -> DataFrame:
 
 
 def k18_initialize(spark, d) -> DataFrame:
-    return skeleton.initialize(derive.skeletons(spark, d).count(), spark)
+    """Empty neurons as large as those given, then with their points."""
+    s = derive.skeletons(spark, d)
+    empty = skeleton.initialize_all(skeleton.point_count(s))
+    filled = skeleton.set_points(empty, skeleton.points(s).where("idx % 2 = 0"))
+    return empty.join(filled.select(*skeleton.KEY, F.col("x").alias("new_x"), F.col("r").alias("new_r")), skeleton.KEY, "left").select(*_nodes(empty).columns, *_r("new_x", "new_r"))
 
 
 def k19_plot_points(spark, d) -> DataFrame:
@@ -183,6 +190,22 @@ def m9_knn(spark, d) -> DataFrame:
     return near.select(F.col("query_id").alias("neuron_id"), "query_idx", "idx", "rank")
 
 
+def m8_m9_tree(spark, d) -> DataFrame:
+    """Neighbours in other neurons by a tree with small leaves that was written and read again."""
+    p = derive.points(spark, d).withColumnRenamed("neuron_id", "id")
+    path, own = fresh(spark, "tree"), tree.build(p, LEAF)
+    tree.save(own, path)
+    near = tree.nearest(own.leaves, tree.load(spark, path), 3, "other")
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("q", "idx0", "target").orderBy("d2", "idx"))).where("rank <= 3")
+    return best.select(F.col("q").alias("query_id"), F.col("idx0").cast("int").alias("query_idx"), F.col("target").alias("target_id"), F.col("idx").cast("int").alias("idx"), "rank")
+
+
+def m8_leaves(spark, d) -> DataFrame:
+    """The points that a tree's leaves hold."""
+    t = tree.build(derive.points(spark, d).withColumnRenamed("neuron_id", "id"), LEAF)
+    return tree.points_of(t.leaves).select(F.col("id").alias("neuron_id"), F.col("idx").cast("int").alias("idx"), "x", "y", "z")
+
+
 def n2_lookup(spark, d) -> DataFrame:
     p = derive.points(spark, d)
     near = spatial.knn(spatial.as_queries(p), spatial.as_targets(p), 1, "other")
@@ -195,7 +218,11 @@ def _vectors(spark, d) -> DataFrame:
 
 
 def n4_table(spark, d) -> DataFrame:
-    return ScoreTable().frame(spark).select("dist_bin", "adp_bin", "score")
+    """Each point's distance from the origin, looked up in the table as rows."""
+    t = ScoreTable().frame(spark)
+    p = derive.points(spark, d).select("neuron_id", "idx", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("distance"))
+    near = (F.col("distance") >= F.col("dist_lo")) & (F.col("distance") < F.col("dist_hi")) & (F.col("adp_bin") == F.col("idx") % 10)
+    return p.join(F.broadcast(t), near).select("neuron_id", "idx", "dist_bin", "adp_bin", "score")  # 210 rows
 
 
 def n6_sizes(spark, d) -> DataFrame:
@@ -203,8 +230,7 @@ def n6_sizes(spark, d) -> DataFrame:
 
 
 def n10_neuron_count(spark, d) -> DataFrame:
-    n = nblast.neuron_count(nblast.self_scores(derive.points(spark, d), ScoreTable()))
-    return spark.createDataFrame([(n,)], "n_neurons long")
+    return nblast.self_scores(derive.points(spark, d), ScoreTable()).agg(F.countDistinct("query_id").alias("n_neurons"))
 
 
 def n5_vectors(spark, d) -> DataFrame:
@@ -238,7 +264,8 @@ def g1_region_graph(spark, d) -> DataFrame:
 
 
 def g2_neighbours(spark, d) -> DataFrame:
-    return seg.neighbours(seg.region_graph(derive.voxels(spark, d))).select("seg", F.array_join("neighbours", ",").alias("neighbours"))
+    rows = seg.neighbours(seg.region_graph(derive.voxels(spark, d)), 4)  # short rows, so that segments have several
+    return rows.groupBy("seg").agg(F.array_join(F.flatten(F.array_sort(F.collect_list("neighbours"))), ",").alias("neighbours"))
 
 
 def g4_dendrogram(spark, d) -> DataFrame:
@@ -255,6 +282,19 @@ def g8_components(spark, d) -> DataFrame:
     return seg.labels(v).join(roots, "label", "left").select("label", F.coalesce("root", "label").alias("root"))
 
 
+def g8_merge_tree(spark, d) -> DataFrame:
+    """The segments at ten thresholds, from one merge tree."""
+    return merge_tree.segments(merge_tree.build(seg.build_dendrogram(derive.voxels(spark, d), MIN_MEAN)), CUTS)
+
+
+def g10_blocks(spark, d) -> DataFrame:
+    """Volume, graph and relabelled volume as blocks of arrays."""
+    v = derive.voxels(spark, d)
+    b = written(blocks.from_voxels(v, BLOCK), "blocks")
+    roots = seg.segments(seg.dendrogram(seg.region_graph(b, BLOCK), MIN_MEAN), CUT)
+    return blocks.to_voxels(blocks.relabel(b, roots), BLOCK).select("z", "y", "x", "label")
+
+
 def g9_merge_counts(spark, d) -> DataFrame:
     v = derive.voxels(spark, d)
     return seg.merge_counts(v, seg.build_dendrogram(v, MIN_MEAN), CUT)

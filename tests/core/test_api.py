@@ -90,6 +90,7 @@ def test_dendrogram(spark):
     labels = np.array([[[1, 1, 2, 2], [3, 3, 2, 0]]], np.uint32)
     d = api.SupervoxelDendrogram(np.full((3, *labels.shape), 0.8), labels, 0.1)
     assert d.segment(0.5).tolist() == [[[1, 1, 1, 1], [1, 1, 1, 0]]] and np.array_equal(d.segment(0.9), labels)
+    assert [x.tolist() for x in d.segment_all([0.5, 0.9])] == [d.segment(0.5).tolist(), labels.tolist()]
     with pytest.raises(ValueError):
         volumes.voxels_from_arrays(spark, labels, np.ones((2, *labels.shape)))
 
