@@ -4,15 +4,23 @@ A segment runs from a seed (a root, or a child of a branch point) to the next br
 once it lies ``step`` or more from the last kept one, and is then moved to the mean of its parent, itself and its first child.
 Seeds and segment ends are always kept. Segments don't depend on each other, so each is folded alone.
 
-The walk inside a segment is sequential, so a neuron's nodes meet in one task; neurons are spread by hash.
+Small neurons are spread by hash, and folded whole; large ones are cut into their segments first, found by pointer doubling.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from dendra.operators.spatial import by_size
+from dendra.plans.scratch import written
 
+#: Nodes of a neuron that one task folds whole.
+TASK_NODES = 1 << 18
 OUT = "neuron_id string, idx int, class int, x double, y double, z double, r double, parent int, source_idx int"
 
 
@@ -24,21 +32,27 @@ def _first_children(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(parent[has], minlength=len(parent)), first
 
 
-def _fold(seed: int, count: np.ndarray, first: np.ndarray, xyzr: np.ndarray, step2: float) -> tuple[list[int], list[np.ndarray], int]:
-    """Kept nodes of the segment from ``seed`` with their coordinates, and the segment's end."""
-    kept, placed = [seed], [xyzr[seed]]
-    node, before = seed, xyzr[seed]  # ``before``: the previous node, as moved
-    while count[node] == 1:
-        node = first[node]
-        here = xyzr[node]
+def fold_chain(xyzr: np.ndarray, beyond: np.ndarray | None, step2: float) -> tuple[list[int], list[np.ndarray]]:
+    """Kept places along a segment, and their coordinates. beyond: the first child of its end, if there is one."""
+    kept, placed = [0], [xyzr[0]]
+    before = xyzr[0]  # the previous node, as moved
+    for i in range(1, len(xyzr)):
+        here = xyzr[i]
         gap = here[:3] - placed[-1][:3]
         if gap @ gap >= step2:
-            near = [before, here] if first[node] < 0 else [before, here, xyzr[first[node]]]
-            here = np.mean(near, axis=0)
-            kept.append(node)
+            after = xyzr[i + 1] if i + 1 < len(xyzr) else beyond
+            here = np.mean([before, here] if after is None else [before, here, after], axis=0)
+            kept.append(i)
             placed.append(here)
         before = here
-    return kept, placed, node
+    return kept, placed
+
+
+def _with_end(kept: list[int], placed: list[np.ndarray], end: int, where: np.ndarray, duplicate: bool) -> tuple[list[int], list[np.ndarray]]:
+    """The segment's end is kept too; if it is already, it comes twice where asked for."""
+    if kept[-1] != end:
+        return [*kept, end], [*placed, where]
+    return ([*kept, end], [*placed, placed[-1]]) if duplicate else (kept, placed)
 
 
 def downsample_arrays(xyzr: np.ndarray, parent: np.ndarray, step: float, duplicate_junctions: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,11 +70,12 @@ def downsample_arrays(xyzr: np.ndarray, parent: np.ndarray, step: float, duplica
     todo = [(int(s), -1) for s in np.flatnonzero(parent < 0)]
     while todo:
         seed, up = todo.pop()
-        kept, placed, end = _fold(seed, count, first, xyzr, step * step)
-        if kept[-1] != end:
-            kept, placed = [*kept, end], [*placed, xyzr[end]]
-        elif duplicate_junctions:
-            kept, placed = [*kept, end], [*placed, placed[-1]]
+        chain = [seed]
+        while count[chain[-1]] == 1:
+            chain.append(int(first[chain[-1]]))
+        end = chain[-1]
+        at, placed = fold_chain(xyzr[chain], xyzr[first[end]] if first[end] >= 0 else None, step * step)
+        kept, placed = _with_end([chain[i] for i in at], placed, end, xyzr[end], duplicate_junctions)
         above += [up, *kept[:-1]]
         nodes += kept
         where += placed
@@ -70,8 +85,8 @@ def downsample_arrays(xyzr: np.ndarray, parent: np.ndarray, step: float, duplica
     return np.array(nodes, np.int64), np.array(where).reshape(-1, 4), np.array([new[p] if p >= 0 else -1 for p in above], np.int64)
 
 
-def downsample(nodes: DataFrame, step: float, duplicate_junctions: bool = False) -> DataFrame:
-    """Smaller skeletons (columns of a skeleton frame and source_idx). One shuffle, by neuron."""
+def _whole(nodes: DataFrame, step: float, duplicate_junctions: bool) -> DataFrame:
+    """A neuron per task. One shuffle."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
@@ -87,3 +102,64 @@ def downsample(nodes: DataFrame, step: float, duplicate_junctions: bool = False)
 
     columns = ["neuron_id", "idx", "class", "x", "y", "z", "r", "parent"]
     return nodes.select(*columns).groupBy("neuron_id").applyInPandas(run, OUT)
+
+
+def chains(nodes: DataFrame) -> DataFrame:
+    """(neuron_id, idx, seed, hops): the segment of each node, known by its first node, and its place there, by pointer doubling: the logarithm of the
+    longest segment in rounds, each a join of whole tables."""
+    counts = nodes.groupBy("neuron_id", F.col("parent").alias("idx")).agg(F.count("*").alias("n"))
+    lone = counts.where("n = 1").select("neuron_id", F.col("idx").alias("parent"), F.lit(True).alias("lone"))
+    at = nodes.select("neuron_id", "idx", "parent").join(lone, ["neuron_id", "parent"], "left")
+    at = written(at.select("neuron_id", "idx", F.when(F.col("lone"), F.col("parent")).otherwise(F.col("idx")).alias("seed"), F.coalesce("lone", F.lit(False)).cast("long").alias("hops")), "chains")
+    while True:
+        on = at.where("hops > 0").select("neuron_id", F.col("idx").alias("seed"), F.col("seed").alias("to"), F.col("hops").alias("more"))
+        if not at.join(on, ["neuron_id", "seed"], "left_semi").take(1):
+            return at
+        near = at.join(on, ["neuron_id", "seed"], "left")
+        at = written(near.select("neuron_id", "idx", F.coalesce("to", "seed").alias("seed"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
+
+
+def _by_segments(nodes: DataFrame, step: float, duplicate_junctions: bool) -> DataFrame:
+    """A segment per task, so that a neuron is spread over many. Nodes are numbered by rising source_idx."""
+    xyzr = ["x", "y", "z", "r"]
+    first = nodes.groupBy("neuron_id", F.col("parent").alias("idx")).agg(F.max("idx").alias("child"))
+    child = nodes.select("neuron_id", F.col("idx").alias("child"), *[F.col(c).alias("f" + c) for c in xyzr])
+    placed = nodes.join(chains(nodes), ["neuron_id", "idx"]).join(first, ["neuron_id", "idx"], "left").join(child, ["neuron_id", "child"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("hops", ignore_index=True)
+        x, end = own[xyzr].to_numpy(float), len(own) - 1
+        beyond = None if pd.isna(own["child"].iloc[-1]) else own[["f" + c for c in xyzr]].to_numpy(float)[-1]
+        kept, where = _with_end(*fold_chain(x, beyond, step * step), end, x[end], duplicate_junctions)
+        out = pd.DataFrame(np.array(where), columns=xyzr)
+        names = own["idx"].to_numpy()[kept]
+        twice = len(kept) > 1 and kept[-1] == kept[-2]
+        up = [own["parent"].iloc[0], *names[:-1]]
+        out["neuron_id"], out["class"], out["source_idx"] = own["neuron_id"].iloc[0], own["class"].to_numpy()[kept], names
+        out["copy"], out["up"] = [int(twice and i == len(kept) - 1) for i in range(len(kept))], pd.array([None if pd.isna(u) else int(u) for u in up], dtype="Int64")
+        return out[["neuron_id", "source_idx", "copy", "class", *xyzr, "up"]]
+
+    kinds = "neuron_id string, source_idx int, copy int, class int, x double, y double, z double, r double, up int"
+    folded = placed.select("neuron_id", "idx", "class", *xyzr, "parent", "seed", "hops", "child", *["f" + c for c in xyzr]).groupBy("neuron_id", "seed").applyInPandas(run, kinds)
+    order = ["neuron_id", "source_idx", "copy"]
+    ranged = written(folded.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "folded")
+    ahead = Window.partitionBy("neuron_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("neuron_id", "__part").count().select("neuron_id", "__part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__ahead"))
+    own = F.row_number().over(Window.partitionBy("neuron_id", "__part").orderBy("source_idx", "copy")) - 1
+    numbered = written(ranged.withColumn("__own", own).join(offsets, ["neuron_id", "__part"]).withColumn("idx", (F.col("__own") + F.col("__ahead")).cast("int")).drop("__own", "__ahead", "__part"), "numbered")
+    # children, and the second of two equal nodes, hang on the second
+    tops = numbered.groupBy("neuron_id", F.col("source_idx").alias("up")).agg(F.max("idx").alias("parent"))
+    return numbered.join(tops, ["neuron_id", "up"], "left").select("neuron_id", "idx", "class", *xyzr, "parent", "source_idx")
+
+
+def downsample(nodes: DataFrame, step: float, duplicate_junctions: bool = False, task_nodes: int = TASK_NODES) -> DataFrame:
+    """Smaller skeletons (columns of a skeleton frame and source_idx).
+
+    A neuron of up to ``task_nodes`` nodes is one task's work, in one shuffle; of a larger one each segment is (a single segment stays whole,
+    as its walk is sequential), and its nodes are numbered by rising source_idx."""
+    columns = ["neuron_id", "idx", "class", "x", "y", "z", "r", "parent"]
+    own = by_size(nodes.select(*columns), "neuron_id", task_nodes)
+    parts = [_whole(own.small, step, duplicate_junctions)] if own.groups or own.large is None else []
+    if own.large is not None:
+        parts.append(_by_segments(own.large, step, duplicate_junctions))
+    return reduce(DataFrame.unionByName, parts)

@@ -120,6 +120,12 @@ def sql() -> dict[str, str]:
         "k9_children": sk + "SELECT s.neuron_id, parent AS idx, string_agg(s.idx::VARCHAR, ',' ORDER BY s.idx <> c.top, s.idx) AS children FROM s JOIN c ON c.neuron_id = s.neuron_id AND c.idx = s.parent GROUP BY s.neuron_id, parent",
         "k10_center": sk + "SELECT neuron_id, idx, " + ", ".join(f"round({a} - avg({a}) OVER (PARTITION BY neuron_id), 4) + 0.0 AS {a}" for a in "xyzr") + " FROM s",
         "k11_downsample": DOWNSAMPLE,
+        "k11_by_segments": DOWNSAMPLE,
+        # an end that is kept as a node of its segment comes twice, the second time as its own parent
+        "k11_twofold": DOWNSAMPLE.split("SELECT neuron_id, idx AS source_idx")[0] + """, o AS (SELECT neuron_id, idx, seed, kept AND n <> 1 AS twice,
+            coalesce(lag(idx) OVER (PARTITION BY neuron_id, seed ORDER BY pos), (SELECT s.parent FROM s WHERE s.neuron_id = kw.neuron_id AND s.idx = kw.seed)) AS up FROM kw),
+            a AS (SELECT neuron_id, idx, up FROM o UNION ALL SELECT neuron_id, idx, idx FROM o WHERE twice)
+            SELECT neuron_id, idx AS source_idx, count(*) AS n, min(up) AS low_parent, max(up) AS high_parent FROM a GROUP BY neuron_id, idx""",
         "k12_path_length": sk + "SELECT s.neuron_id, round(sum(sqrt((s.x-u.x)*(s.x-u.x) + (s.y-u.y)*(s.y-u.y) + (s.z-u.z)*(s.z-u.z))), 4) + 0.0 AS path_length FROM s JOIN s u ON u.neuron_id = s.neuron_id AND u.idx = s.parent GROUP BY s.neuron_id",
         "k15_attributes": sk + """SELECT neuron_id, idx, class, coalesce(parent, -2) AS parent, coalesce(top, -2) AS first_child, coalesce(sib, -2) AS next_sibling FROM (
             SELECT s.*, c.top, CASE WHEN s.parent IS NOT NULL THEN lead(s.idx) OVER (PARTITION BY s.neuron_id, s.parent ORDER BY s.idx <> u.top, s.idx) END AS sib

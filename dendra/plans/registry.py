@@ -65,11 +65,25 @@ def k10_center(spark, d) -> DataFrame:
 
 
 def k11_downsample(spark, d) -> DataFrame:
-    out = down.downsample(derive.skeletons(spark, d), STEP)
+    return _sources(down.downsample(derive.skeletons(spark, d), STEP))
+
+
+def _sources(out) -> DataFrame:
     up = out.select("neuron_id", F.col("idx").alias("parent"), F.col("source_idx").alias("source_parent"))
     return out.join(up, ["neuron_id", "parent"], "left").select("neuron_id", "source_idx", "class", *_r("x", "y", "z", "r"), "source_parent")
 
 
+def k11_by_segments(spark, d) -> DataFrame:
+    """The same, each segment a task's work."""
+    return _sources(down.downsample(derive.skeletons(spark, d), STEP, task_nodes=0))
+
+
+def k11_twofold(spark, d) -> DataFrame:
+    """Ends that are the last node kept come twice: how often each node is there, with its parents by source."""
+    out = _sources(down.downsample(derive.skeletons(spark, d), STEP, duplicate_junctions=True))
+    return out.groupBy("neuron_id", "source_idx").agg(F.count("*").alias("n"), F.min("source_parent").alias("low_parent"), F.max("source_parent").alias("high_parent"))
+
+
 def k12_path_length(spark, d) -> DataFrame:
     return skeleton.path_length(derive.skeletons(spark, d)).select("neuron_id", *_r("path_length"))
 

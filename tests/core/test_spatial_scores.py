@@ -324,7 +324,7 @@ def test_neighbours_of_a_hub_spread(spark):
         rows = seg.neighbours(graph, 1000).withColumn("part", F.spark_partition_id()).where("seg = 0").collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert sorted(x for r in rows for x in r["neighbours"]) == list(range(1, n)) and len({r["part"] for r in rows}) >= 3
+    assert sorted(x for r in rows for x in r["neighbours"]) == list(range(1, n)) and len({r["part"] for r in rows}) >= 2
     assert all(r["first"] == r["neighbours"][0] and len(r["neighbours"]) <= 1000 and r["neighbours"] == sorted(r["neighbours"]) for r in rows)
     assert [x for r in seg.neighbours(graph).where("seg = 1").orderBy("first").collect() for x in r["neighbours"]] == [0, 3, 5]
 
