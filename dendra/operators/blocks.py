@@ -55,7 +55,7 @@ def to_voxels(blocks: DataFrame, edge: int = EDGE) -> DataFrame:
     """The voxels that there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _unpacked(batches):
+        for block in unpacked(batches):
             at = np.nonzero(block["present"])
             corner = [block[b] * edge for b in PLACE]
             place = [pa.array((a + c).astype(np.int32)) for a, c in zip(at, corner)]
@@ -64,7 +64,7 @@ def to_voxels(blocks: DataFrame, edge: int = EDGE) -> DataFrame:
     return blocks.mapInArrow(run, "z int, y int, x int, label long, aff_x double, aff_y double, aff_z double")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
@@ -117,13 +117,13 @@ def region_graph(blocks: DataFrame, edge: int = EDGE) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (*found[:2], found[2].astype(np.int64), found[3].astype(float))], names=["seg0", "seg1", "n", "aff_sum"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _unpacked(batches):
+        for block in unpacked(batches):
             yield edges(inside(block))
 
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in FACES.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        for block in _unpacked(batches):
+        for block in unpacked(batches):
             rows = list(faces(block, edge))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -145,7 +145,7 @@ def relabel(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """``blocks`` with each label replaced by its root, if ``roots`` (label, root) has one. A block asks for the labels that it holds."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _unpacked(batches):
+        for block in unpacked(batches):
             own = np.unique(block["labels"])
             yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(own), block[b])) for b in PLACE], pa.array(own)], names=[*PLACE, "label"])
 

@@ -138,6 +138,8 @@ def sql() -> dict[str, str]:
         "s1_swc_lenient": f"""WITH {SKELETONS}, kept AS (SELECT *, (row_number() OVER (PARTITION BY neuron_id ORDER BY idx) - 1)::INTEGER AS own FROM s WHERE idx % 5 <> 0 AND idx % 7 <> 0)
             SELECT a.neuron_id, a.own AS idx, a.class, {_round('x', 'y', 'z', 'r', of='a.')}, b.own AS parent FROM kept a LEFT JOIN kept b ON b.neuron_id = a.neuron_id AND b.idx = a.parent""",
         "s2_swc_strict": sk + NODES,
+        "s1_arrivals": sk + NODES,
+        "s14_chunks": vox + "SELECT z, y, x, label, aff AS aff_x, aff AS aff_y, aff AS aff_z FROM v",
         "s3_swc_rows": f"WITH {NUMBERED} SELECT neuron_id, idx, class, {_round('x', 'y', 'z', 'r')}, CASE WHEN id % 10 <> 0 THEN idx END AS parent FROM m",
         "s4_attribute_rows": sk + NODES,
         "s5_point_rows": sk + f"SELECT neuron_id, idx, 0 AS class, {_round('x', 'y', 'z')}, 0.0::DOUBLE AS r, parent FROM s",
@@ -168,6 +170,7 @@ def sql() -> dict[str, str]:
             ON dist_bin = 0 AND adp_bin = least(9, greatest(0, trunc(round(vx*vx + vy*vy + vz*vz, 9) * 10 - 1e-4)))::INTEGER GROUP BY neuron_id)
             SELECT target_id, query_id, {_round('raw')} FROM (SELECT * FROM rawc UNION ALL SELECT * FROM alone)""",
         "n9_matrix": f"WITH {RAW} SELECT target_id, query_id, {_round('raw')} FROM mx",
+        "n9_incremental": f"WITH {RAW} SELECT target_id, query_id, {_round('raw')} FROM mx",
         "n11_normalized": f"WITH {RAW} SELECT target_id, query_id, {_round('normalized', digits=6)} FROM nm",
         "n12_mean": f"WITH {RAW} SELECT a.target_id, a.query_id, round(CASE WHEN a.target_id = a.query_id THEN 1.0::DOUBLE ELSE (a.normalized + b.normalized) / 2 END, 6) + 0.0 AS mean FROM nm a JOIN nm b ON b.target_id = a.query_id AND b.query_id = a.target_id",
         "g1_region_graph": f"WITH {GRAPH} SELECT * FROM g",

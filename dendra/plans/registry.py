@@ -10,9 +10,10 @@ from dendra.functions.score_table import ScoreTable, adp_bin, dist_bin
 from dendra.operators import downsample as down
 from dendra.operators import blocks, merge_tree, nblast, skeleton, spatial, tree
 from dendra.operators import segmentation as seg
+from dendra.operators.incremental import MatrixState
 from dendra.plans import derive
 from dendra.plans.scratch import fresh, written
-from dendra.sources import precomputed, swc, tables
+from dendra.sources import arrivals, chunks, precomputed, swc, tables
 
 K_NEAR = 10
 STEP = 40.0
@@ -128,6 +129,13 @@ def s2_swc_strict(spark, d) -> DataFrame:
     return _nodes(swc.read_swc(spark, derive.swc_folder(spark, d), strict=True))
 
 
+def s1_arrivals(spark, d) -> DataFrame:
+    """The same files as a stream of deliveries."""
+    table, state = fresh(spark, "deliveries"), fresh(spark, "state")
+    arrivals.swc_stream(spark, derive.swc_folder(spark, d), table, state, strict=True, files_a_batch=10).awaitTermination()
+    return _nodes(arrivals.read_deliveries(spark, table))
+
+
 def s3_swc_rows(spark, d) -> DataFrame:
     n = derive.numbered_parts(spark, d)
     up = F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("id"))
@@ -264,6 +272,14 @@ def n9_matrix(spark, d) -> DataFrame:
     return nblast.score_matrix(_vectors(spark, d)).select("target_id", "query_id", *_r("raw"))
 
 
+def n9_incremental(spark, d) -> DataFrame:
+    """The matrix after three deliveries of neurons, by number."""
+    p, state = derive.points(spark, d), MatrixState(spark, fresh(spark, "matrix"), K_NEAR)
+    for version in range(3):
+        state.add(p.where(F.col("neuron_id").cast("int") % 3 == version), version)
+    return state.scores().select("target_id", "query_id", *_r("raw"))
+
+
 def n11_normalized(spark, d) -> DataFrame:
     return nblast.normalized(nblast.score_matrix(_vectors(spark, d)), validate=True).select("target_id", "query_id", *_r("normalized", digits=6))
 
@@ -309,6 +325,14 @@ def g10_blocks(spark, d) -> DataFrame:
     return blocks.to_voxels(blocks.relabel(b, roots), BLOCK).select("z", "y", "x", "label")
 
 
+def s14_chunks(spark, d) -> DataFrame:
+    """Volume to .npy chunks and back."""
+    path = fresh(spark, "chunks")
+    chunks.write_chunks(blocks.from_voxels(derive.voxels(spark, d), BLOCK), path)
+    back = blocks.to_voxels(chunks.read_chunks(spark, path), BLOCK)
+    return back.select("z", "y", "x", "label", *[F.col(f"aff_{a}").cast("long").alias(f"aff_{a}") for a in "xyz"])
+
+
 def g9_merge_counts(spark, d) -> DataFrame:
     v = derive.voxels(spark, d)
     return seg.merge_counts(v, seg.build_dendrogram(v, MIN_MEAN), CUT)

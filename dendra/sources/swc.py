@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dendra.operators.skeleton import AXES, reindex
 from dendra.schemas import reject_nan
+from dendra.sources import files
 
 #: Comment at the head of files that are written; it holds no time, so that equal skeletons make equal files.
 HEADER = "id class x y z r parent"
@@ -17,14 +18,23 @@ HEADER = "id class x y z r parent"
 RENAMES = 32
 
 
-def read_swc(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
+def read_swc(spark: SparkSession, paths: str | list[str], strict: bool = False, neurons: list[str] | None = None) -> DataFrame:
     """A skeleton frame of all files that ``paths`` names (globs work); neuron_id is the file name without ``.swc``.
 
     By default lines with other than seven fields are skipped, and so are lines that start with ``#`` or with a blank (the
     blank makes an eighth, empty field). ``strict`` trims lines, cuts comments behind ``#`` and fails on lines with
-    another number of fields. Files that don't exist are an error, and so is a coordinate that is NaN.
+    another number of fields. Files that don't exist are an error, and so is a coordinate that is NaN. ``neurons``: read only theirs; Spark
+    prunes the list of files by their names, so no other file is opened.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("f"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    found = spark.read.text(paths)
+    if neurons is not None:
+        found = found.where(F.col("_metadata.file_name").isin([f"{n}.swc" for n in neurons]))
+    return parsed(found, strict)
+
+
+def parsed(found: DataFrame, strict: bool = False) -> DataFrame:
+    """A skeleton frame of the lines of whole files (a text frame with its metadata)."""
+    lines = found.select(F.col("_metadata.file_name").alias("f"), F.regexp_replace("value", r"\r$", "").alias("value"))
     lines = lines.withColumn("neuron_id", F.regexp_replace(F.url_decode(F.replace("f", F.lit("+"), F.lit("%2B"))), r"\.swc$", ""))
     if strict:
         lines = lines.withColumn("value", F.trim(F.regexp_replace("value", r"#.*$", ""))).where("value <> ''")
@@ -70,12 +80,19 @@ def write_swc(nodes: DataFrame, path: str, precision: int = 3, mode: str = "erro
 
 
 def write_lines(own: DataFrame, path: str, mode: str = "error") -> None:
-    """Files of (neuron_id, idx, line): one shuffle, sorted inside each task.
+    """Files of (neuron_id, idx, line): one shuffle, sorted inside each task, names given by the tasks and committed once (``files``).
 
-    Spark names the parts and commits them in a folder inside ``path``; then the driver renames one file per neuron.
-    """
+    Where only Spark reaches the file system, Spark names the parts and the driver renames one file per neuron."""
     if mode not in ("error", "overwrite"):
         raise ValueError(f"mode {mode}")
+    if files.reachable(path):
+        ended = F.concat("line", F.lit("\n"))
+        files.write_files(own.select(F.concat("neuron_id", F.lit(".swc")).alias("name"), "idx", ended.alias("data")), path, mode, "idx")
+    else:
+        _renamed(own, path, mode)
+
+
+def _renamed(own: DataFrame, path: str, mode: str) -> None:
     spark = own.sparkSession
     as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = as_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
