@@ -179,15 +179,28 @@ def test_repeated_ids_are_answered_each(spark):
 # sharding
 
 
-def test_schedule():
-    assert sharding.schedule([(5, 0), (4, 1), (3, 2), (3, 3), (3, 4)], 2) == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
-    sizes = [(int(s), i) for i, s in enumerate(R.integers(1, 1000, 500))]
-    load, last = Counter(), {}
-    for i, s in sharding.schedule(sizes, 16).items():
-        load[s] += sizes[i][0]
-        last[s] = min(last.get(s, 1000), sizes[i][0])
-    most = max(load, key=load.get)
-    assert load[most] - min(load.values()) <= last[most]  # it was the least loaded before its last item
+def one_by_one(sizes, shards):
+    """Plain scheduling: the loads, and how many of each size a shard got."""
+    load, got = [0] * shards, defaultdict(lambda: [0] * shards)
+    for size in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda i: (load[i], i))
+        load[s] += size
+        got[size][s] += 1
+    return load, got
+
+
+@pytest.mark.parametrize("shards", [1, 3, 16])
+def test_runs_equal_one_step_a_group(shards):
+    for few in (sharding.FEW, 0):
+        for high, n in ((4, 500), (50, 800), (10**6, 60), (3, 7)):
+            sizes = Counter(R.integers(1, high, n).tolist())
+            items = sorted(sizes.items(), reverse=True)
+            loads = [0] * shards
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(sharding, "FEW", few)
+                got = [sharding.run_of(loads, size, count) for size, count in items]
+            load, want = one_by_one(sizes.elements(), shards)
+            assert loads == load and all(g == want[size] for g, (size, _) in zip(got, items))
 
 
 def check_shards(rows, texts, shards=16):
@@ -208,25 +221,22 @@ def test_sharding_query(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
     got = queries.shards(spark, sf_dir).collect()
     assert len(got) == len(texts)
-    load = check_shards(got, texts)
     groups = Counter()
     for t in texts.values():
-        groups[t] += len(t.encode()) + 1
-    assert max(load) - min(load) <= max(groups.values())
-    best = sharding.schedule([(s, i) for i, s in enumerate(groups.values())], 16)
-    ideal = Counter()
-    for (_, s), i in zip(groups.items(), best):
-        ideal[best[i]] += list(groups.values())[i]
-    assert max(load) <= max(max(ideal.values()) * 1.02, max(groups.values()))
+        groups[t or ""] += len((t or "").encode()) + 1
+    assert check_shards(got, texts) == one_by_one(groups.values(), 16)[0]
 
 
 def test_sharding_cases(spark):
     texts = dict(enumerate([*ODD, "same"] + ["same"] * 200))
     rows = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, shard string")
-    for bundles, slot_rows in ((1 << 16, 1 << 20), (8, 4)):
-        out = sharding.assign(rows, 4, bundles=bundles, slot_rows=slot_rows)
+    groups = Counter()
+    for t in texts.values():
+        groups[t or ""] += len((t or "").encode()) + 1
+    for hot_share, slot_rows in ((1 << 12, 1 << 20), (2, 4), (1 << 30, 4)):
+        out = sharding.assign(rows, 4, hot_share=hot_share, slot_rows=slot_rows)
         assert out.columns == ["doc_id", "text", "size", "text_crc32", "law", "shard", "slot"]
-        check_shards(out.collect(), texts, 4)
+        assert check_shards(out.collect(), texts, 4) == one_by_one(groups.values(), 4)[0]
     assert sharding.assign(rows.limit(0)).count() == 0
     repeated = spark.createDataFrame([(None, "a")] * 5 + [(1, None)] * 3, "doc_id long, text string")
     assert sharding.assign(repeated).count() == 8
