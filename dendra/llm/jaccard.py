@@ -2,7 +2,7 @@
 
 1. A text is the set of its shingles (XXH64 of the words in lower case). Texts with equal sets are one class, never expanded into pairs.
 2. A class has ``simhash.TURNS`` fingerprints, and ``simhash.candidate_groups`` joins classes by the Gray-order index: those that agree in a
-   quarter of some fingerprint and differ in 9 bits or fewer of it. Two large sets at exactly 0.8 are missed with probability 0.0001.
+   quarter of some fingerprint, differ in 9 bits or fewer of it and in 16 or fewer of another. Two large sets at exactly 0.8 are missed with probability 0.0001.
    The votes of small sets scatter more: sets of up to SMALL shingles are joined, without a miss, to all that share one
    of their first shingles by hash, of which sets at ``least`` have one in common.
 3. Each member of a component of candidates is compared with its smallest class, and components are formed of the links that hold.
@@ -12,7 +12,7 @@
    groups is a task's work.
 
 A link holds only if the sets themselves, not signatures, reach ``least``. Sets are built again from the texts of
-candidates alone, picked by a bitmap of fixed size.
+candidates alone, picked by a bitmap whose size follows their number.
 
 Defined cases: a null text counts as empty, texts without words are one class, a text shorter than a shingle is one shingle,
 repeated rows stay rows, null ids are never the smallest while another is there; very long texts are taken whole; an empty
@@ -43,8 +43,8 @@ GROUP_ROWS = 1 << 11
 GROUP_SHINGLES = 1 << 21
 #: Texts or sets that a Python worker is handed at once.
 ROWS_AT_ONCE = 500
-#: Bits of the bitmap of candidates.
-BITMAP = 1 << 23
+#: Bits of the bitmap of candidates per candidate, and the most.
+BITS_EACH, BITMAP = 16, 1 << 28
 LINK = "a long, b long"
 
 
@@ -97,12 +97,14 @@ def signed(docs: DataFrame, text: str, shingle: int, least: float) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(key, n, grams) of the rows whose rid is in ``wanted``; all other texts are dropped by the bitmap, unshuffled."""
+    """(key, n, grams) of the rows whose rid is in ``wanted``; other texts are dropped by a bitmap, unshuffled. Its size follows the number wanted up to
+    BITMAP bits; beyond, it drops fewer, and the join does the rest."""
     rid = HIDDEN + "rid"
-    at = F.pmod(F.xxhash64(rid), F.lit(BITMAP)) + 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # 1 MB at most
+    bits = min(BITMAP, max(1 << 16, 1 << (BITS_EACH * wanted.count()).bit_length()))  # from the files' footers
+    at = F.pmod(F.xxhash64(rid), F.lit(bits)) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # BITMAP / 8 bytes at most
     width = max((len(p["bits"]) for p in parts), default=0)
-    table = np.zeros((BITMAP // (8 * width) if width else 0, width), np.uint8)
+    table = np.zeros((bits // (8 * width) if width else 0, width), np.uint8)
     for p in parts:
         table[p["part"] - 1] = np.frombuffer(p["bits"], np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(table.ravel())
@@ -197,7 +199,7 @@ def met(members: DataFrame, least: float) -> DataFrame:
 def links(rows: DataFrame, of_key: DataFrame, text: str, shingle: int, least: float, group_rows: int = GROUP_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Pairs (a, b) of classes at ``least`` or more that span the components found."""
     members = written(candidate_groups(of_key).select(F.col("root").alias("value"), F.col("node").alias("key"), F.col("root").alias("low")), "buckets")
-    wanted = of_key.join(members.select("key"), "key", "left_semi").select(F.col("best.rid").alias(HIDDEN + "rid"))
+    wanted = written(of_key.join(members.select("key"), "key", "left_semi").select(F.col("best.rid").alias(HIDDEN + "rid")), "wanted")
     held = sets_of(rows, wanted, text, shingle)
     first = verified(members.where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b")), held, least)
     roots = components(first, "a", "b").withColumnRenamed("node", "key")

@@ -19,7 +19,7 @@ alone has a null ``component_id``. Repeated rows stay rows. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -52,6 +52,11 @@ TASK_ROWS = 1 << 18
 TURNS = 40
 TURN_BITS = 9
 QUARTERS = 4
+#: Differing bits that another fingerprint of two candidates may have. Sets at 0.8 differ in 9.7 of 64 on average; unrelated ones stay within with a probability of 4e-5.
+MORE_BITS = 16
+#: Sets (as a power of two) up to which a quarter is a band. Beyond, each doubling adds a bit of another fingerprint, and bands in as many variants as it takes
+#: for two sets at 0.8, which agree in a bit with a probability of AGREE, to meet as often.
+BAND_POWER, AGREE = 26, 0.8485
 #: Turns at which a round of ``candidate_groups`` begins: few first, so that a group is joined once and not by every turn.
 ROUNDS = (0, 1, 4)
 #: Hashes whose bits are counted at once in bytes.
@@ -168,8 +173,9 @@ class GrayIndex:
             self.patterns.append(ones)
             self.masks.append(ones | zeros)
 
-    def links(self, parent: np.ndarray, max_bits: int, frontier: int = FRONTIER) -> np.ndarray:
-        """``parent`` with the sets of all pairs at ``max_bits`` or fewer differing bits joined; ``frontier``: pairs expanded at once."""
+    def links(self, parent: np.ndarray, max_bits: int, frontier: int = FRONTIER, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """``parent`` with the sets of all pairs at ``max_bits`` or fewer differing bits joined; ``frontier``: pairs expanded at once; ``accept``:
+        which of such pairs (a, b) count."""
         top = len(self.patterns) - 1
         one = np.zeros(1, np.int64)
         stack = [(top, one, one, np.zeros(1, np.int64), np.zeros(1, np.uint64))]
@@ -185,7 +191,11 @@ class GrayIndex:
             stay = (total <= max_bits) & (fresh & self.must == 0)
             if level == 0:
                 stay &= a < b
-                parent = union(parent, a[stay], b[stay])
+                a, b = a[stay], b[stay]
+                if accept is not None and len(a):
+                    good = accept(a, b)
+                    a, b = a[good], b[good]
+                parent = union(parent, a, b)
                 continue
             stay &= ~self._joined(parent, level, a, b)
             a, b, total, fixed = a[stay], b[stay], total[stay], fixed[stay]
@@ -223,6 +233,21 @@ def bucket_links(fps: np.ndarray, shared: int, max_bits: int, frontier: int = FR
     return back[parent[child]], back[child]
 
 
+def quarter_links(fps: np.ndarray, more: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of entries that join all entries with equal ``fps``, and all that agree in the bits of ``shared``, differ in TURN_BITS or fewer bits
+    and in MORE_BITS or fewer bits of ``more``, another fingerprint of their sets."""
+    shift = 64 - shared.bit_length()
+    turned = rotated(fps, shift)
+    order = np.lexsort((more, gray_rank(turned)))
+    turned, more = turned[order], more[order]
+    fresh = np.append(True, turned[1:] != turned[:-1])
+    parent = np.maximum.accumulate(np.where(fresh, np.arange(len(turned)), 0))  # equal ones are side by side
+    index = GrayIndex(turned, rotated(np.array([shared], np.uint64), shift)[0])
+    parent = index.links(parent, TURN_BITS, QUARTER_FRONTIER, lambda a, b: np.bitwise_count(more[a] ^ more[b]) <= MORE_BITS)
+    child = np.flatnonzero(parent != np.arange(len(turned)))
+    return order[parent[child]], order[child]
+
+
 # links between all fingerprints
 
 
@@ -300,84 +325,97 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT_BUCKET, deals
     return rows.repartition(tasks, "mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(run, "a long, b long")
 
 
-def candidate_groups(sets: DataFrame, hot: int = HOT_QUARTER) -> DataFrame:
+def candidate_groups(sets: DataFrame, hot: int = HOT_QUARTER, power: int = BAND_POWER) -> DataFrame:
     """(node, root) of every key of ``sets`` with a candidate: root is the smallest key that it reaches over candidates.
 
     sets: key, prints (``set_fingerprints``), heads. Two sets are candidates if some fingerprint agrees in one of its quarters and
-    differs in TURN_BITS or fewer bits in all, or if they have a head in common. Later rounds only join what earlier ones left apart.
+    differs in TURN_BITS or fewer bits in all, and the fingerprint half the turns on in MORE_BITS or fewer; or if they have a head in common. Unrelated
+    sets are candidates with a probability of 7e-13, so their number stays small beside the links' at any size. Later rounds only join what earlier ones left apart.
     """
     groups, n = None, sets.count()
     for start, end in zip(ROUNDS, (*ROUNDS[1:], TURNS)):
-        part = sets.select("key", F.slice("prints", start + 1, end - start).alias("prints"), ("heads" if start == 0 else F.array().cast("array<long>").alias("heads")))
+        part = sets.select("key", "prints", ("heads" if start == 0 else F.array().cast("array<long>").alias("heads")))
         if groups is None:
-            found = candidates(part.withColumn("label", F.col("key")), start, end - start, n, hot)
+            found = candidates(part.withColumn("label", F.col("key")), start, end - start, n, hot, power)
         else:
             part = part.join(groups, part["key"] == groups["node"], "left").select("key", "prints", "heads", F.coalesce("root", "key").alias("label"))
-            found = candidates(part, start, end - start, n, hot).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            found = candidates(part, start, end - start, n, hot, power).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
         groups = components(written(found, "pairs"), "a", "b")  # written first, as two Python functions in a task are two workers
     return groups
 
 
-def candidates(sets: DataFrame, start: int, turns: int, n: int, hot: int) -> DataFrame:
-    """Pairs (a, b) of labels that join the labels of all candidates among ``sets``: key, label, heads, prints of the turns from ``start``.
+def candidates(sets: DataFrame, start: int, turns: int, n: int, hot: int, power: int = BAND_POWER) -> DataFrame:
+    """Pairs (a, b) of labels that join the labels of all candidates among ``sets``: key, label, heads, prints; by ``turns`` turns from ``start``.
     n: how many sets there are.
 
-    A bucket (turn, quarter, pattern) is searched by the index above. A bucket that the sample shows to be larger than ``hot`` is
-    cut into groups, and each pair of groups is a bucket of its own; no entry is left out.
+    A bucket (turn, quarter, its pattern, and some bits of another turn where there are many sets) is searched by the index above. A bucket that the sample
+    shows to be larger than ``hot`` is cut into groups, and each pair of groups is a bucket of its own; no entry is left out. A bucket is known by its band
+    and 55 bits of a hash; two that share them would merely be searched together.
     """
     wide = 64 // QUARTERS
     low = (1 << wide) - 1
-
-    def quarters(fp, turn):
-        pattern = lambda i: F.shiftrightunsigned(fp, wide * i).bitwiseAND(F.lit(low))
-        return F.array(*[F.struct((((turn + start) * QUARTERS + i) * (low + 1) + pattern(i)).cast("long").alias("bucket"), fp.alias("fp")) for i in range(QUARTERS)])
-
-    heads = F.transform("heads", lambda h: F.struct((F.lit(TURNS * QUARTERS * (low + 1)) + h.bitwiseAND(F.lit(low))).cast("long").alias("bucket"), h.alias("fp")))
-    dealt = lambda df: df.select("key", "label", F.inline(F.concat(F.flatten(F.transform("prints", quarters)), heads)))
-    rows, bits = dealt(sets), (TURNS * QUARTERS * (low + 1) + low).bit_length()
+    extra = max(0, (n - 1).bit_length() - power)
+    variants = int(np.ceil(AGREE**-extra))
+    tag = lambda band, *what: F.shiftleft(band.cast("long"), 55).bitwiseOR(F.xxhash64(band.cast("long"), *what).bitwiseAND(F.lit((1 << 55) - 1)))
+    of = lambda turn: F.element_at("prints", (F.pmod(turn, F.lit(TURNS)) + 1).cast("int"))
+
+    def quarters(turn):
+        def entry(i: int, variant: int):
+            pattern = F.shiftrightunsigned(of(turn), wide * i).bitwiseAND(F.lit(low))
+            besides = [of(turn + 1 + variant).bitwiseAND(F.lit((1 << extra) - 1)), F.lit(variant)] if extra else []
+            return F.struct(tag(turn * QUARTERS + i, pattern, *besides).alias("bucket"), of(turn).alias("fp"), of(turn + TURNS // 2).alias("more"))
+
+        return F.array(*[entry(i, v) for i in range(QUARTERS) for v in range(variants)])
+
+    heads = F.transform("heads", lambda h: F.struct(tag(F.lit(TURNS * QUARTERS), h).alias("bucket"), h.alias("fp"), F.lit(0).cast("long").alias("more")))
+    at = F.sequence(F.lit(start), F.lit(start + turns - 1))
+    dealt = lambda df: df.select("key", "label", F.inline(F.concat(F.flatten(F.transform(at, quarters)), heads)))
+    rows = dealt(sets)
     sample = dealt(sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)).groupBy("bucket").agg(F.count("*").alias("n"))
     large = written(sample.where(F.col("n") * SAMPLE > hot).select("bucket", F.ceil(2 * SAMPLE * F.col("n") / hot).cast("int").alias("cuts")), "large")
     if large.take(1):
         rows = rows.join(large, "bucket", "left").withColumn("side", F.pmod(F.xxhash64("key", F.lit(1)), F.coalesce("cuts", F.lit(1))))
-        pair = lambda x: F.shiftleft(F.least(x, F.col("side")), 44) + F.shiftleft(F.greatest(x, F.col("side")), bits)
-        meets = F.when(F.col("cuts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: pair(x.cast("long"))))
-        rows = rows.select("bucket", "fp", "label", F.explode(meets).alias("pair")).select((F.col("bucket") + F.col("pair")).alias("bucket"), "fp", "label")
-    tasks = max(1, -(-n * turns * QUARTERS // TASK_ROWS), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        pair = lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j"))
+        meets = F.when(F.col("cuts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), pair))
+        band = F.shiftrightunsigned("bucket", 55)
+        own = F.when(F.col("cuts").isNull(), F.col("bucket")).otherwise(tag(band, F.col("bucket"), F.col("i"), F.col("j")))
+        rows = rows.select("bucket", "cuts", "fp", "more", "label", F.inline(meets)).select(own.alias("bucket"), "fp", "more", "label")
+    tasks = max(1, -(-n * turns * QUARTERS * variants // TASK_ROWS), int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; buckets of one quarter share an index up to QUARTER_BATCH entries."""
 
-        def linked(band: int, fps: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            fp, key = np.concatenate(fps).view(np.uint64), np.concatenate(keys)
+        def linked(band: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            fp, more, key = (np.concatenate(x) for x in zip(*parts))
             if len(fp) < 2:
                 return
-            each, first, of = np.unique(fp, return_index=True, return_inverse=True)
-            a, b = key[first[of]], key  # sets that share a fingerprint
             if band < TURNS * QUARTERS:
-                x, y = bucket_links(each, low << wide * (band % QUARTERS), TURN_BITS, QUARTER_FRONTIER)
-                a, b = np.concatenate([a, key[first[np.searchsorted(each, x)]]]), np.concatenate([b, key[first[np.searchsorted(each, y)]]])
+                x, y = quarter_links(fp.view(np.uint64), more.view(np.uint64), low << wide * (band % QUARTERS))
+                a, b = key[x], key[y]
+            else:  # sets that share a head
+                _, first, of = np.unique(fp, return_index=True, return_inverse=True)
+                a, b = key[first[of]], key
             real = a != b
             if real.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["a", "b"])
 
-        now, fps, keys, held = None, [], [], 0
+        now, parts, held = None, [], 0
         for batch in batches:
-            bucket, fp, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            band = (bucket & ((1 << bits) - 1)) // (low + 1)
+            bucket, *own = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            band = bucket >> 55
             cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             for s, e in zip(np.append(0, cuts).tolist(), np.append(cuts, len(bucket)).tolist()):
                 if s < e:
                     if now is not None and now[0] != bucket[s] and (now[1] != band[s] or held > QUARTER_BATCH):
-                        yield from linked(int(now[1]), fps, keys)
-                        fps, keys, held = [], [], 0
+                        yield from linked(int(now[1]), parts)
+                        parts, held = [], 0
                     now = (bucket[s], band[s])
-                    fps.append(fp[s:e])
-                    keys.append(key[s:e])
+                    parts.append(tuple(x[s:e] for x in own))
                     held += e - s
-        if fps:
-            yield from linked(int(now[1]), fps, keys)
+        if parts:
+            yield from linked(int(now[1]), parts)
 
-    return rows.select("bucket", "fp", "label").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return rows.select("bucket", "fp", "more", "label").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, keep: list[str] | None = None, least: float | None = None) -> DataFrame:

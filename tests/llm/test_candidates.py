@@ -46,9 +46,9 @@ def test_small_sets_share_a_head():
                 assert set(jaccard.heads(a, 0.8).tolist()) & set(jaccard.heads(b, 0.8).tolist())
 
 
-@pytest.mark.parametrize("hot", [simhash.HOT_QUARTER, 6])
-def test_candidate_groups_equal_brute_force(spark, monkeypatch, hot):
-    """Also with buckets cut into groups."""
+@pytest.mark.parametrize("hot, power", [(simhash.HOT_QUARTER, simhash.BAND_POWER), (6, simhash.BAND_POWER), (simhash.HOT_QUARTER, 4)])
+def test_candidate_groups_equal_brute_force(spark, monkeypatch, hot, power):
+    """Also with buckets cut into groups, and with bands as narrow as for many sets."""
     monkeypatch.setattr(simhash, "SAMPLE", 1)
     rng, sets = random.Random(2), []
     for _ in range(8):
@@ -56,19 +56,25 @@ def test_candidate_groups_equal_brute_force(spark, monkeypatch, hot):
         sets += [near(rng, base, rng.randint(0, len(base) // 2)) for _ in range(14)]
     keys = [k - 50 for k in range(len(sets))]
     prints, firsts = [simhash.set_fingerprints(s) for s in sets], [set(jaccard.heads(s, 0.8).tolist()) for s in sets]
-    parent = np.arange(len(sets))
+    least = most = np.arange(len(sets))  # pairs that must be found, and pairs that may be: buckets of a band are searched together
     for i in range(len(sets)):
         for j in range(i):
             z = prints[i] ^ prints[j]
+            extra = max(0, (len(sets) - 1).bit_length() - power)
+            besides = np.any([(np.roll(z, -1 - v) & np.uint64((1 << extra) - 1)) == 0 for v in range(int(np.ceil(simhash.AGREE**-extra)))], axis=0)
             quarter = sum((z >> np.uint64(16 * q) & np.uint64(0xFFFF)) == 0 for q in range(4)) > 0
-            if firsts[i] & firsts[j] or (quarter & (np.bitwise_count(z) <= simhash.TURN_BITS)).any():
-                parent = simhash.union(parent, np.array([i]), np.array([j]))
-    want = {keys[i]: keys[p] for i, p in enumerate(parent) if (parent == p).sum() > 1}
+            close = quarter & (np.bitwise_count(z) <= simhash.TURN_BITS) & (np.bitwise_count(np.roll(z, -20)) <= simhash.MORE_BITS)
+            if firsts[i] & firsts[j] or close.any():
+                most = simhash.union(most.copy(), np.array([i]), np.array([j]))
+                if firsts[i] & firsts[j] or (close & besides).any():
+                    least = simhash.union(least.copy(), np.array([i]), np.array([j]))
     signed = lambda x: np.array(list(x), np.uint64).view(np.int64).tolist()
     rows = [(k, signed(p), signed(sorted(f))) for k, p, f in zip(keys, prints, firsts)]
     df = spark.createDataFrame(rows, "key long, prints array<long>, heads array<long>")
-    got = simhash.candidate_groups(df, hot)
-    assert {r["node"]: r["root"] for r in got.collect()} == want and 50 < len(want) < len(sets)
+    got = {r["node"]: r["root"] for r in simhash.candidate_groups(df, hot, power).collect()}
+    root = np.array([got.get(k, k) for k in keys])
+    assert (root == root[least]).all() and (most == most[root + 50]).all() and 50 < len(got) < len(sets)
+    assert (least == most).all() == (power == simhash.BAND_POWER)
 
 
 def test_stage_links_only_what_fingerprints_find(spark, monkeypatch):
