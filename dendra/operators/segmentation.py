@@ -21,6 +21,8 @@ from dendra.plans.scratch import written
 
 #: Neighbours in a row of ``neighbours``.
 CHUNK = 1 << 12
+#: Rounds of ``greedy_dendrogram`` after which its merges are put together.
+WRITTEN_ROUNDS = 8
 
 
 def region_graph(voxels: DataFrame, edge: int = blocks.EDGE) -> DataFrame:
@@ -86,20 +88,26 @@ def dendrogram(graph: DataFrame, min_threshold: float) -> DataFrame:
     return kept.select("seg0", "seg1", "affinity", "aff_sum")
 
 
-def greedy_merges(edges: dict[tuple[int, int], tuple[int, float, tuple[int, int]]], min_threshold: float) -> list[tuple[int, int, float, tuple[int, int]]]:
-    """Merges (kept, merged, mean, pair) of one graph, in order; see ``greedy_dendrogram``. edges: segments to contacts, sum, pair."""
+def greedy_merges(edges: dict[tuple[int, int], tuple[int, float, tuple[int, int]]], min_threshold: float, foreign: set[int] | None = None) -> list[tuple[int, int, float, tuple[int, int]]]:
+    """Merges (kept, merged, mean, pair) of one graph, in order; see ``greedy_dendrogram``. edges: segments to contacts, sum, pair.
+
+    foreign: segments of other parts, not all of whose edges are here. They don't merge here, nor does what has its first edge with one, nor what
+    waits for that. An edge that comes first among all left is first for both of its segments unless one waits, so the others merge as they would in the whole."""
     near: dict[int, dict[int, tuple]] = {}
     for (a, b), edge in edges.items():
         near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = edge
     heap = [(-s / n, pair, a, b, n) for (a, b), (n, s, pair) in edges.items()]
     heapq.heapify(heap)
-    out = []
+    out, waits = [], set(foreign or ())
     while heap:
         mean, pair, a, b, n = heapq.heappop(heap)
         if near.get(a, {}).get(b, (0, 0.0, None))[::2] != (n, pair):
             continue  # the edge has changed since
         if -mean < min_threshold:
             break
+        if a in waits or b in waits:
+            waits |= {a, b}
+            continue
         out.append((a, b, -mean, pair))
         del near[a][b]
         for c, (n, s, pair) in near.pop(b).items():
@@ -123,11 +131,34 @@ def _best_pairs(edges: DataFrame, min_threshold: float) -> DataFrame:
     return agreed.select("k.root", "k.seg0", "k.seg1", (-F.col("k.s")).alias("affinity"), "k.t0", "k.t1")
 
 
+def _part_merges(edges: DataFrame, min_threshold: float, turn: int, task_edges: int) -> DataFrame:
+    """Merges that parts of the graph settle alone, one part a task: ranges of labels, moved by half a range from turn to turn. Parts that are
+    too large for a task take no part."""
+    ends = edges.agg(F.count("*").alias("n"), F.min("seg0").alias("low"), F.max("seg1").alias("high")).first()
+    parts = max(2, -(-2 * ends["n"] // max(1, task_edges)))
+    width = max(1, -(-(ends["high"] - ends["low"] + 1) // parts))
+    shift = (turn % 2) * (width // 2) - ends["low"]
+    of = lambda c: F.expr(f"({c} + {shift}) div {width}")  # noqa: E731  no number is below zero
+    dealt = edges.withColumn("part", F.explode(F.array_distinct(F.array(of("seg0"), of("seg1")))))
+    small = dealt.groupBy("part").count().where(F.col("count") <= 2 * max(1, task_edges)).select("part")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf["part"].iloc[0]
+        roots = dict(zip(pdf["seg0"].tolist(), pdf["root"].tolist()))
+        columns = [pdf[c].tolist() for c in ("seg0", "seg1", "n", "aff_sum", "t0", "t1")]
+        own = {(a, b): (n, s, (t, u)) for a, b, n, s, t, u in zip(*columns)}
+        foreign = {x for e in own for x in e if (x + shift) // width != part}
+        rows = [(roots[a], *m[:3], *m[3]) for m in greedy_merges(own, min_threshold, foreign) for a in [min(m[0], m[1])]]
+        return pd.DataFrame(rows, columns=["root", "seg0", "seg1", "affinity", "t0", "t1"])
+
+    return dealt.join(small, "part").groupBy("part").applyInPandas(run, MERGES)
+
+
 def _after(edges: DataFrame, merges: DataFrame) -> DataFrame:
     """``edges`` between the segments that are left."""
+    moves = components(merges, "seg0", "seg1").where("node <> root")  # a segment stays under its smallest label
     for end in ("seg0", "seg1"):
-        moved = merges.select(F.col("seg1").alias(end), F.col("seg0").alias("__to"))
-        edges = edges.join(moved, end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+        edges = edges.join(moves.select(F.col("node").alias(end), F.col("root").alias("__to")), end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
     own = edges.where("seg0 <> seg1").withColumns({"seg0": F.least("seg0", "seg1"), "seg1": F.greatest("seg0", "seg1"), "t": F.struct("t0", "t1")})
     sums = own.groupBy("root", "seg0", "seg1").agg(F.sum("n").alias("n"), F.sum("aff_sum").alias("aff_sum"), F.min("t").alias("t"))
     return sums.select("root", "seg0", "seg1", "n", "aff_sum", "t.t0", "t.t1")
@@ -140,17 +171,25 @@ def greedy_dendrogram(graph: DataFrame, min_threshold: float, task_edges: int =
     The edge with the largest mean goes first; ties go to the edge with the smallest pair of first segments among all that it
     joins. So an edge that is joined from two never comes before both, and merging every edge that is first for both of its segments
     at once gives what merging one by one gives. (Sums that aren't exact may differ in the last bit.) While there are more than
-    ``task_edges`` edges, a round does that; what is left is merged one by one, a connected part per task.
+    ``task_edges`` edges, a round first merges what ranges of labels settle alone, a chain of rising means inside a range at once, and then every edge that
+    is first for both; what is left is merged one by one, a connected part per task. At worst a chain of rising means changes its range at every step, and each round
+    merges one edge of it.
     """
     parts = components(graph, "seg0", "seg1").select(F.col("node").alias("seg0"), "root")
     first = graph.join(parts, "seg0").select("root", "seg0", "seg1", "n", F.col("aff_sum").cast("double").alias("aff_sum"), F.col("seg0").alias("t0"), F.col("seg1").alias("t1"))
-    edges, done = written(first, "edges"), None
+    edges, done, turn = written(first, "edges"), None, 0
     while edges.count() > task_edges:  # read from the files' footers
-        merges = written(_best_pairs(edges, min_threshold), "merges")
-        if not merges.take(1):
+        found = False
+        for merges in (lambda: _part_merges(edges, min_threshold, turn, task_edges), lambda: _best_pairs(edges, min_threshold)):
+            merges = written(merges(), "merges")
+            if merges.take(1):
+                found, done = True, merges if done is None else done.unionByName(merges)
+                edges = written(_after(edges, merges), "edges")
+        if not found:
             return _numbered(done if done is not None else merges)
-        done = merges if done is None else done.unionByName(merges)
-        edges = written(_after(edges, merges), "edges")
+        turn += 1
+        if turn % WRITTEN_ROUNDS == 0:
+            done = written(done, "merges")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(["seg0", "seg1"])

@@ -273,6 +273,18 @@ def test_greedy_merges():
         assert [m[:2] for m in seg.greedy_merges({k: (*v, k) for k, v in edges.items()}, 0.5)] == plain_greedy(edges, 0.5)
 
 
+def test_parts_merge_what_the_whole_merges():
+    """Any segments may be foreign; what merges is among the whole's merges, and an own chain of rising means merges at once."""
+    for worst in (200, 200, 4) * 10:
+        edges = random_graph(14, 30, worst)
+        whole = [m[:2] for m in seg.greedy_merges({k: (*v, k) for k, v in edges.items()}, 0.5)]
+        foreign = set(R.integers(0, 14, 4).tolist())
+        got = [m[:2] for m in seg.greedy_merges({k: (*v, k) for k, v in edges.items()}, 0.5, foreign)]
+        assert set(got) <= set(whole) and not {x for m in got for x in m} & foreign
+    chain = {(i, i + 1): (1, 10.0 + i, (i, i + 1)) for i in range(50)}
+    assert len(seg.greedy_merges(chain, 0.5, {0})) == 49 and len(seg.greedy_merges(chain, 0.5, {50})) == 0
+
+
 @pytest.mark.parametrize("task_edges, worst", [(0, 4), (12, 200), (1000, 4)])
 def test_greedy_dendrogram(spark, task_edges, worst):
     frame = lambda edges: spark.createDataFrame([(*k, *v) for k, v in edges.items()], "seg0 long, seg1 long, n long, aff_sum double")
