@@ -5,8 +5,8 @@ writes that down. Policies are versioned bit masks, so a new policy or an ablati
 stored ledger, never the texts again.
 
 Defined cases: a null text has no words, so it fails ``too_few_words``; so does an empty one. Rows are
-judged alone: repeated rows get equal results and none is merged. Null ids pass through. An empty
-table gives an empty ledger. Input columns that have the name of a ledger column are replaced.
+judged alone: repeated rows get equal results and none is merged. Null ids pass through. Very long texts
+are judged whole; a row's words and windows are held at once. An empty table gives an empty ledger. Input columns that have the name of a ledger column are replaced.
 """
 
 from __future__ import annotations

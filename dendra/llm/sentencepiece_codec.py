@@ -13,6 +13,8 @@ first batch and raises if any ids differ.
 Defined cases: a null text has null ids; an empty text has none and decodes to an empty text. A marker character in a text
 decodes to a space, as in the library itself, and where the model says so, so do the characters that its normaliser changes.
 Control pieces in a text (like ``</s>``) are ordinary characters. Repeated rows and null ids are rows like any other.
+Very long texts are encoded whole, cut in front of runs of markers where that changes nothing. Columns of the input named ``piece_ids`` or ``decoded`` are replaced, others
+pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ links, never all pairs.
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any
 other. Equal fingerprints are one entry of the index, so copies are never expanded into pairs. Null
 ids take part in grouping but are never the smallest id while another is there; a group of null ids
-alone has a null ``component_id``. Repeated rows stay rows. An empty table gives an empty result.
+alone has a null ``component_id``. Repeated rows stay rows. Very long texts are taken whole, their hashes counted in blocks. Columns of the input named ``fp``,
+``component_id`` or ``representative`` are replaced, others pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -106,3 +106,11 @@ def test_links_across_components_of_a_bucket():
 def test_bound_is_met_exactly():
     a = np.arange(9, dtype=np.uint64)
     assert jaccard.similar(a[:8], np.append(a[:8], a[8:] + np.uint64(1))) and jaccard.similar(a[:4], a[:5]) and not jaccard.similar(a[:3], a[:4])
+
+
+def test_a_null_id_alone_in_its_group(spark):
+    texts = [" ".join(WORDS[60 * i : 60 * i + 60]) for i in range(3)]
+    near = texts[1].replace("w60 ", "other ", 1)
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, near), (None, texts[2]), (None, texts[2])], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["representative"]) for r in jaccard.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True), (None, 7, False), (7, 7, True), (None, None, True), (None, None, False)], key=str)

@@ -97,3 +97,19 @@ def test_cases(spark):
     assert all("abcdefghijklmnop" not in r["text"] for r in clean.collect())
     assert packed.count() >= 1
     assert all(df.count() == 0 for df in stages(spark, docs.limit(0)))
+
+
+def test_one_very_long_text(spark):
+    """Taken whole by every stage."""
+    rng = np.random.default_rng(9)
+    long = " ".join(f"word{i}" for i in rng.permutation(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2] + " token=abcdefghijklmnop"), (4, " ".join(f"short{i}" for i in range(30)))], "doc_id long, text string")
+    quality, unique, clean, packed = stages(spark, docs)
+    assert sorted(r["doc_id"] for r in unique.collect()) == [1, 3, 4]
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert texts[1] == long and texts[3] == long[: len(long) // 2] + " [SECRET]"
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = Counter()
+    for r in packed.collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in texts.items()}

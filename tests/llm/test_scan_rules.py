@@ -134,3 +134,14 @@ def test_empty_table(spark, run):
 def test_missing_column(spark):
     with pytest.raises(ValueError):
         rules.build_ledger(spark.range(1))
+
+
+def test_null_ids_and_repeated_rows(spark, tmp_path):
+    """They stay rows, and their results don't depend on the id."""
+    odd = [(None, ODD[5]), (None, ODD[8]), (3, ODD[5]), (3, ODD[5]), (3, ODD[17]), (None, None), (None, None)]
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.secret_scans(spark, str(tmp_path)).collect()
+    want = sorted((str(i), brute.span_text(brute.secrets(t))) for i, t in odd)
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in got) == want
+    judged = queries.quality_rules(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_repeat_words"]) for r in judged) == sorted((str(i), brute.quality(t)[0], brute.quality(t)[4]) for i, t in odd)

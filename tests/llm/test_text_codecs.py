@@ -266,9 +266,29 @@ def test_codec_over_a_table(spark, own):
     assert sentencepiece_codec.encode(df.limit(0)).count() == 0
 
 
-def test_sentencepiece_query(spark, sf_dir):
+def sentencepiece_rows(own, rows):
+    """The query's rows from the library alone."""
+    out = []
+    for i, t in rows:
+        ids = None if t is None else own.encode(t)
+        back = None if t is None else own.decode(ids)
+        crc = lambda x: None if x is None else zlib.crc32(x.encode())
+        out.append((str(i), -1 if ids is None else len(ids), crc(None if ids is None else ",".join(map(str, ids))), crc(back)))
+    return sorted(out, key=str)
+
+
+def test_sentencepiece_query(spark, sf_dir, own):
     got = queries.sentencepiece_round_trip(spark, sf_dir).collect()
-    assert len(got) == table(spark, sf_dir, "documents").count() and all(r["round_trip"] for r in got)
+    assert all(r["round_trip"] for r in got)
+    want = sentencepiece_rows(own, [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()])
+    assert sorted([(str(r["doc_id"]), r["n_pieces"], r["ids_crc32"], r["decoded_crc32"]) for r in got], key=str) == want
+
+
+def test_sentencepiece_null_ids_and_repeated_rows(spark, tmp_path, own):
+    odd = [(None, "a b"), (None, "a b"), (3, "x  y\n"), (3, "x  y\n"), (None, None), (4, "")]
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.sentencepiece_round_trip(spark, str(tmp_path)).collect()
+    assert sorted([(str(r["doc_id"]), r["n_pieces"], r["ids_crc32"], r["decoded_crc32"]) for r in got], key=str) == sentencepiece_rows(own, odd)
 
 
 def test_unigram_model_is_rebuilt():
