@@ -273,7 +273,7 @@ def sentencepiece_rows(own, rows):
         ids = None if t is None else own.encode(t)
         back = None if t is None else own.decode(ids)
         crc = lambda x: None if x is None else zlib.crc32(x.encode())
-        out.append((str(i), -1 if ids is None else len(ids), crc(None if ids is None else ",".join(map(str, ids))), crc(back)))
+        out.append((str(i), None if ids is None else len(ids), crc(None if ids is None else ",".join(map(str, ids))), crc(back)))
     return sorted(out, key=str)
 
 
