@@ -6,7 +6,8 @@ return the columns of ``documents``. A stage's own tables in the shared folder a
 are stored by then; those of ``run``'s last stage stay until ``release``.
 
 Defined cases are those of the operators: null and empty texts fail the quality rules and go; of repeated rows
-one stays; an empty table gives an empty result; columns that only ``docs`` has are passed through up to packing.
+one stays; of near duplicates the one with the smallest id stays, of several with that id the first read; very long texts are taken whole by every
+stage; an empty table gives an empty result; columns that only ``docs`` has are passed through up to packing.
 """
 
 from __future__ import annotations
