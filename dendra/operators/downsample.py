@@ -9,10 +9,12 @@ Small neurons are spread by hash, and folded whole; large ones are cut into thei
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,21 @@ def _first_children(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(parent[has], minlength=len(parent)), first
 
 
-def fold_chain(xyzr: np.ndarray, beyond: np.ndarray | None, step2: float) -> tuple[list[int], list[np.ndarray]]:
+def fold_chain(xyzr: np.ndarray, beyond: np.ndarray | None, step2: float) -> tuple[list[int], list[list[float]]]:
     """Kept places along a segment, and their coordinates. beyond: the first child of its end, if there is one."""
-    kept, placed = [0], [xyzr[0]]
-    before = xyzr[0]  # the previous node, as moved
-    for i in range(1, len(xyzr)):
-        here = xyzr[i]
-        gap = here[:3] - placed[-1][:3]
-        if gap @ gap >= step2:
-            after = xyzr[i + 1] if i + 1 < len(xyzr) else beyond
-            here = np.mean([before, here] if after is None else [before, here, after], axis=0)
+    points = xyzr.tolist()  # plain numbers: a call of numpy takes longer than a node
+    follow = [*points[1:], None if beyond is None else beyond.tolist()]
+    kept, placed = [0], [points[0]]
+    before = last = points[0]  # the previous node, as moved, and the last kept one
+    for i in range(1, len(points)):
+        here = points[i]
+        dx, dy, dz = here[0] - last[0], here[1] - last[1], here[2] - last[2]
+        if dx * dx + dy * dy + dz * dz >= step2:
+            after = follow[i]
+            here = [(u + v) / 2 for u, v in zip(before, here)] if after is None else [(u + v + w) / 3 for u, v, w in zip(before, here, after)]
             kept.append(i)
             placed.append(here)
+            last = here
         before = here
     return kept, placed
 
@@ -106,41 +111,71 @@ def _whole(nodes: DataFrame, step: float, duplicate_junctions: bool) -> DataFram
 
 def chains(nodes: DataFrame) -> DataFrame:
     """(neuron_id, idx, seed, hops): the segment of each node, known by its first node, and its place there, by pointer doubling: the logarithm of the
-    longest segment in rounds, each a join of whole tables."""
+    longest segment in rounds, each a join of the nodes that haven't reached their seed."""
     counts = nodes.groupBy("neuron_id", F.col("parent").alias("idx")).agg(F.count("*").alias("n"))
     lone = counts.where("n = 1").select("neuron_id", F.col("idx").alias("parent"), F.lit(True).alias("lone"))
     at = nodes.select("neuron_id", "idx", "parent").join(lone, ["neuron_id", "parent"], "left")
     at = written(at.select("neuron_id", "idx", F.when(F.col("lone"), F.col("parent")).otherwise(F.col("idx")).alias("seed"), F.coalesce("lone", F.lit(False)).cast("long").alias("hops")), "chains")
+    done, todo = [], at.where("hops > 0")
     while True:
-        on = at.where("hops > 0").select("neuron_id", F.col("idx").alias("seed"), F.col("seed").alias("to"), F.col("hops").alias("more"))
-        if not at.join(on, ["neuron_id", "seed"], "left_semi").take(1):
-            return at
-        near = at.join(on, ["neuron_id", "seed"], "left")
-        at = written(near.select("neuron_id", "idx", F.coalesce("to", "seed").alias("seed"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chains")
+        # a node that points to none of these points to its seed
+        on = reduce(DataFrame.unionByName, [*[df.withColumn("end", F.lit(True)) for df in done], todo.withColumn("end", F.lit(False))])
+        on = on.select("neuron_id", F.col("idx").alias("seed"), F.col("seed").alias("to"), F.col("hops").alias("more"), "end")
+        near = todo.join(on, ["neuron_id", "seed"], "left").withColumn("settled", F.coalesce("end", F.lit(True)))
+        near = written(near.select("neuron_id", "idx", F.coalesce("to", "seed").alias("seed"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), "settled"), "chains")
+        done.append(near.where("settled").drop("settled"))
+        todo = near.where("NOT settled").drop("settled")
+        if not todo.take(1):
+            return reduce(DataFrame.unionByName, [at.where("hops = 0"), *done])
 
 
 def _by_segments(nodes: DataFrame, step: float, duplicate_junctions: bool) -> DataFrame:
-    """A segment per task, so that a neuron is spread over many. Nodes are numbered by rising source_idx."""
+    """Segments are spread over tasks, and a task folds its own in one pass, so that a segment takes no call of its own. Nodes are numbered by rising source_idx."""
     xyzr = ["x", "y", "z", "r"]
     first = nodes.groupBy("neuron_id", F.col("parent").alias("idx")).agg(F.max("idx").alias("child"))
     child = nodes.select("neuron_id", F.col("idx").alias("child"), *[F.col(c).alias("f" + c) for c in xyzr])
     placed = nodes.join(chains(nodes), ["neuron_id", "idx"]).join(first, ["neuron_id", "idx"], "left").join(child, ["neuron_id", "child"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("hops", ignore_index=True)
-        x, end = own[xyzr].to_numpy(float), len(own) - 1
-        beyond = None if pd.isna(own["child"].iloc[-1]) else own[["f" + c for c in xyzr]].to_numpy(float)[-1]
-        kept, where = _with_end(*fold_chain(x, beyond, step * step), end, x[end], duplicate_junctions)
-        out = pd.DataFrame(np.array(where), columns=xyzr)
-        names = own["idx"].to_numpy()[kept]
-        twice = len(kept) > 1 and kept[-1] == kept[-2]
-        up = [own["parent"].iloc[0], *names[:-1]]
-        out["neuron_id"], out["class"], out["source_idx"] = own["neuron_id"].iloc[0], own["class"].to_numpy()[kept], names
-        out["copy"], out["up"] = [int(twice and i == len(kept) - 1) for i in range(len(kept))], pd.array([None if pd.isna(u) else int(u) for u in up], dtype="Int64")
-        return out[["neuron_id", "source_idx", "copy", "class", *xyzr, "up"]]
+    names = ["neuron_id", "source_idx", "copy", "class", *xyzr, "up"]
+
+    def folded_segments(table: pa.Table) -> pa.RecordBatch:
+        """Whole segments, one after the other, in order."""
+        hops, idx, child, parent = (table.column(c).to_numpy() for c in ("hops", "idx", "child", "parent"))  # NaN for null
+        x, beyond = (np.column_stack([table.column(p + c).to_numpy() for c in xyzr]).astype(float) for p in ("", "f"))
+        starts = np.flatnonzero(hops == 0)
+        at, where, copy, up = [], [], [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(hops)]):
+            kept, placed = fold_chain(x[a:b], None if np.isnan(child[b - 1]) else beyond[b - 1], step * step)
+            kept, placed = _with_end(kept, placed, b - a - 1, x[b - 1].tolist(), duplicate_junctions)
+            twice = len(kept) > 1 and kept[-1] == kept[-2]
+            at += [a + i for i in kept]
+            where += placed
+            copy += [*[0] * (len(kept) - 1), int(twice)]
+            up += [None if np.isnan(parent[a]) else int(parent[a]), *[int(idx[a + i]) for i in kept[:-1]]]
+        own = table.take(pa.array(at, pa.int64())).combine_chunks()
+        same = [pa.concat_arrays(own.column(c).chunks) for c in ("neuron_id", "idx", "class")]
+        moved = [pa.array(c) for c in np.array(where).reshape(-1, 4).T.copy()]
+        return pa.RecordBatch.from_arrays([*same[:2], pa.array(copy, pa.int32()), same[2], *moved, pa.array(up, pa.int32())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by segment and place. What may go on in the next batch is held back, a segment at most."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("hops").to_numpy() == 0)
+            if len(starts):
+                last = int(starts[-1])
+                whole = [*held, batch.slice(0, last)]
+                if sum(b.num_rows for b in whole):
+                    yield folded_segments(pa.Table.from_batches(whole))
+                held = [batch.slice(last)]
+            elif batch.num_rows:
+                held.append(batch)
+        if held:
+            yield folded_segments(pa.Table.from_batches(held))
 
     kinds = "neuron_id string, source_idx int, copy int, class int, x double, y double, z double, r double, up int"
-    folded = placed.select("neuron_id", "idx", "class", *xyzr, "parent", "seed", "hops", "child", *["f" + c for c in xyzr]).groupBy("neuron_id", "seed").applyInPandas(run, kinds)
+    dealt = placed.select("neuron_id", "idx", "class", *xyzr, "parent", "seed", "hops", "child", *["f" + c for c in xyzr])
+    folded = dealt.repartition("neuron_id", "seed").sortWithinPartitions("neuron_id", "seed", "hops").mapInArrow(run, kinds)
     order = ["neuron_id", "source_idx", "copy"]
     ranged = written(folded.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "folded")
     ahead = Window.partitionBy("neuron_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,3 +52,21 @@ def test_chains(spark):
             at, steps = rows[n, at], steps + 1
         assert (seed, hops) == (at, steps)
     assert len(got) == len(rows) and len({s for (n, _), (s, _) in got.items() if n == "long"}) > 5  # a neuron's segments are tasks of their own
+
+
+def test_segments_are_folded_by_batches(spark, monkeypatch):
+    """No group in pandas per segment; a segment may go on over several batches."""
+    nodes, plans, store = trees(spark).repartition(3), {}, down.written
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().toString()
+        return store(df, label)
+
+    want = listed(down.downsample(nodes, 3.0))
+    monkeypatch.setattr(down, "written", seen)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert listed(down.downsample(nodes, 3.0, task_nodes=0)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in plans["folded"] and "FlatMapGroupsInPandas" not in plans["folded"]
