@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dendra.operators import blocks
-from dendra.operators.components import TASK_EDGES, components
+from dendra.operators.components import components
 from dendra.plans.scratch import written
 
 #: Neighbours in a row of ``neighbours``.
 CHUNK = 1 << 12
 #: Rounds of ``greedy_dendrogram`` after which its merges are put together.
 WRITTEN_ROUNDS = 8
+#: Edges that one task of it merges one by one, each of which takes a kilobyte or more of Python's objects there; up to twice as many in a range of labels.
+GREEDY_EDGES = 1 << 16
 
 
 def region_graph(voxels: DataFrame, edge: int = blocks.EDGE) -> DataFrame:
@@ -164,7 +166,7 @@ def _after(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return sums.select("root", "seg0", "seg1", "n", "aff_sum", "t.t0", "t.t1")
 
 
-def greedy_dendrogram(graph: DataFrame, min_threshold: float, task_edges: int = TASK_EDGES) -> DataFrame:
+def greedy_dendrogram(graph: DataFrame, min_threshold: float, task_edges: int = GREEDY_EDGES) -> DataFrame:
     """(root, step, seg0, seg1, affinity): agglomeration that recomputes means as segments merge; seg0 is the one that stays, root
     the smallest segment of the connected part, step the order within it.
 

@@ -1,6 +1,8 @@
 """Nearest neighbours, principal directions, similarity scores and segmentation: published values and brute force."""
 
+import inspect
 import math
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -314,6 +316,16 @@ def test_searches_within_tasks_and_by_tree_agree(spark, monkeypatch, pairs, most
     assert whole == rows(most) and len({r[2] for r in whole}) == 3
 
 
+def test_memory_of_a_task_of_greedy_merges():
+    """Twice the edges that a task is given by default, at what an edge takes, stay far below an executor's Python."""
+    edges = {(i, i + j): (1, 500.0 + (i * 7 + j * 13) % 97, (i, i + j)) for i in range(4000) for j in (1, 2, 5)}
+    tracemalloc.start()
+    seg.greedy_merges(edges, 630.0)
+    each = tracemalloc.get_traced_memory()[1] / len(edges)
+    tracemalloc.stop()
+    assert each * 2 * inspect.signature(seg.greedy_dendrogram).parameters["task_edges"].default < 400e6
+
+
 def test_steps_count_over_ranges(spark):
     edges = spark.createDataFrame([(int(a), int(b), 1, float(c)) for a, b, c in zip(range(300), range(300, 600), R.integers(0, 20, 300))], "seg0 long, seg1 long, n long, aff_sum double")
     got = seg.with_steps(edges).collect()
