@@ -17,6 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ SAMPLE = 64
 STEP = 3
 #: A node is cut while it has more than this many times ``leaf`` points: sampled medians aren't exact.
 SLACK = 1.5
+#: Query leaves that are searched in a target leaf by one call, and rows put together before a task hands them on.
+SPAN = 64
+OUT_ROWS = 1 << 16
 BOX = [f"{e}_{c}" for e in ("low", "high") for c in AXES]
 
 
@@ -178,6 +182,22 @@ def pairs_of(queries: DataFrame, targets: DataFrame, pairs: str, parts: int) ->
     return both.where("q <> target") if pairs == "other" else both
 
 
+def spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Runs of rows with the same target leaf, in parts of at most SPAN."""
+    cut = np.zeros(max(0, batch.num_rows - 1), bool)
+    for c in (batch.column("target"), batch.column("node")):
+        cut |= ~pa.compute.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    ends = [*(np.flatnonzero(cut) + 1).tolist(), batch.num_rows]
+    for a, b in zip([0, *ends], ends):
+        yield from ((i, min(i + SPAN, b)) for i in range(a, b, SPAN))
+
+
+def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that the rows of bytes hold, one after the other, and how many each has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.array([len(x) // 8 for x in parts], np.int64)
+
+
 def nearest(queries: DataFrame, tree: Tree, k: int, pairs: str = "all") -> DataFrame:
     """(q, idx0, target, idx, d2): for each point of the leaves ``queries`` its k nearest points in each target, and some more that aren't: the caller cuts at k."""
     spark = queries.sparkSession
@@ -196,18 +216,21 @@ def nearest(queries: DataFrame, tree: Tree, k: int, pairs: str = "all") -> DataF
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near, bounds, own = [], [], []
-            for qdata, idxs, data in zip(*(batch.column(c) for c in ("qdata", "idxs", "data"))):
-                at, d2 = found(unpack(qdata.as_py(), 3), idxs.as_py(), data.as_py())
+            for a, b in spans(batch):
+                x, sizes = _joined(batch.column("qdata")[a:b], "<f8")
+                at, d2 = found(x.reshape(-1, 3), batch.column("idxs")[a].as_py(), batch.column("data")[a].as_py())
                 each = d2[:, -1] if d2.shape[1] == k else np.full(len(d2), np.inf)
-                near.append(at.astype("<i8").tobytes() + d2.tobytes())
-                own.append(each.tobytes())
-                bounds.append(float(each.max()))
+                ends = np.cumsum(sizes // 3)
+                for i, j in zip([0, *ends.tolist()], ends.tolist()):
+                    near.append(at[i:j].astype("<i8").tobytes() + d2[i:j].tobytes())
+                    own.append(each[i:j].tobytes())
+                    bounds.append(float(each[i:j].max()))
             kept = [batch.column(c) for c in ("q", "qnode", "target", "node", *box, "qidxs", "qdata")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(near, pa.binary()), pa.array(own, pa.binary()), pa.array(bounds, pa.float64())], names=[*out_names])
 
     out_names = ["q", "qnode", "target", "node", *box, "qidxs", "qdata", "near", "own", "bound"]
     boxes = ", ".join(f"{c} double" for c in box)
-    joined = start.join(blocks, ["q", "qnode"]).join(there, ["target", "node"])
+    joined = start.join(blocks, ["q", "qnode"]).join(there, ["target", "node"]).sortWithinPartitions("target", "node")
     one = written(joined.mapInArrow(first, f"q {qkind}, qnode long, target {tkind}, node long, {boxes}, qidxs binary, qdata binary, near binary, own binary, bound double"), "first")
 
     reach = _walk(one.select("q", "qnode", "target", *box, "bound"), tree, False)
@@ -217,37 +240,72 @@ def nearest(queries: DataFrame, tree: Tree, k: int, pairs: str = "all") -> DataF
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The points that may find something nearer in a leaf, per leaf."""
+
+        def rows(batch: pa.RecordBatch, of: list, cells: list) -> pa.RecordBatch:
+            marks = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("q", "target")]
+            node, *data = zip(*cells)
+            return pa.RecordBatch.from_arrays([*marks, pa.array(node, pa.int64()), *[pa.array(d, pa.binary()) for d in data]], names=["q", "target", "node", "qidxs", "qdata", "own"])
+
         for batch in batches:
-            for q, target, qidxs, qdata, own, to in zip(*(batch.column(c) for c in ("q", "target", "qidxs", "qdata", "own", "to"))):
-                at, x, bound, to = np.frombuffer(qidxs.as_py(), "<i8"), unpack(qdata.as_py(), 3), np.frombuffer(own.as_py(), "<f8"), to.as_py()
-                ends = np.array([t["box"] for t in to])
+            of, cells = [], []
+            for n, (qidxs, qdata, own, to) in enumerate(zip(*(batch.column(c) for c in ("qidxs", "qdata", "own", "to")))):
+                at, x, bound = np.frombuffer(qidxs.as_py(), "<i8"), unpack(qdata.as_py(), 3), np.frombuffer(own.as_py(), "<f8")
+                nodes = to.values.field("node").to_numpy()
+                ends = to.values.field("box").flatten().to_numpy().reshape(-1, 6)
                 near = to_boxes(x, ends[:, :3], ends[:, 3:]) <= bound[:, None]
-                rows = [(t["node"], np.flatnonzero(near[:, i])) for i, t in enumerate(to)]
-                rows = [(n, r) for n, r in rows if len(r)]
-                if rows:
-                    cols = [pa.array([n for n, _ in rows], pa.int64()), *[pa.array([v[r].tobytes() for _, r in rows], pa.binary()) for v in (at, x, bound)]]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(q, len(rows)), pa.repeat(target, len(rows)), *cols], names=["q", "target", "node", "qidxs", "qdata", "own"])
-
-    def rows_of(q, qidxs: np.ndarray, target, at: np.ndarray, d2: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-        r, c = np.nonzero(keep)
-        return pa.RecordBatch.from_arrays([pa.repeat(q, len(r)), pa.array(qidxs[r]), pa.repeat(target, len(r)), pa.array(at[r, c]), pa.array(d2[r, c])], names=["q", "idx0", "target", "idx", "d2"])
+                for i in np.flatnonzero(near.any(axis=0)).tolist():
+                    r = near[:, i]
+                    of.append(n)
+                    cells.append((int(nodes[i]), at[r].tobytes(), x[r].tobytes(), bound[r].tobytes()))
+                if len(cells) * len(at) > OUT_ROWS:
+                    yield rows(batch, of, cells)
+                    of, cells = [], []
+            if cells:
+                yield rows(batch, of, cells)
+
+    def found_rows(batch: pa.RecordBatch, parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """parts: rows of the batch, numbers of query points and of found ones, distances. Put together."""
+        held, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            of, idx0, idx, d2 = (np.concatenate(c) for c in zip(*held))
+            of = pa.array(of)
+            return pa.RecordBatch.from_arrays([batch.column("q").take(of), pa.array(idx0), batch.column("target").take(of), pa.array(idx), pa.array(d2)], names=["q", "idx0", "target", "idx", "d2"])
+
+        for part in parts:
+            held.append(part)
+            n += len(part[0])
+            if n > OUT_ROWS:
+                yield rows()
+                held, n = [], 0
+        if n:
+            yield rows()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            for a, b in spans(batch):
+                qidx, sizes = _joined(batch.column("qidxs")[a:b], "<i8")
+                x, bound = (_joined(batch.column(c)[a:b], "<f8")[0] for c in ("qdata", "own"))
+                at, d2 = found(x.reshape(-1, 3), batch.column("idxs")[a].as_py(), batch.column("data")[a].as_py())
+                r, c = np.nonzero(d2 <= bound[:, None])
+                yield np.repeat(np.arange(a, b), sizes)[r], qidx[r], at[r, c], d2[r, c]
+
         for batch in batches:
-            for q, target, qidxs, qdata, own, idxs, data in zip(*(batch.column(c) for c in ("q", "target", "qidxs", "qdata", "own", "idxs", "data"))):
-                at, d2 = found(unpack(qdata.as_py(), 3), idxs.as_py(), data.as_py())
-                yield rows_of(q, np.frombuffer(qidxs.as_py(), "<i8"), target, at, d2, d2 <= np.frombuffer(own.as_py(), "<f8")[:, None])
+            yield from found_rows(batch, parts(batch))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, target, qidxs, near in zip(*(batch.column(c) for c in ("q", "target", "qidxs", "near"))):
+        def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            for n, (qidxs, near) in enumerate(zip(batch.column("qidxs"), batch.column("near"))):
                 at, near = np.frombuffer(qidxs.as_py(), "<i8"), near.as_py()
                 half = len(near) // 2
-                ids, d2 = np.frombuffer(near[:half], "<i8").reshape(len(at), -1), np.frombuffer(near[half:], "<f8").reshape(len(at), -1)
-                yield rows_of(q, at, target, ids, d2, np.ones(ids.shape, bool))
+                ids, d2 = np.frombuffer(near[:half], "<i8"), np.frombuffer(near[half:], "<f8")
+                yield np.full(len(ids), n), np.repeat(at, len(ids) // len(at)), ids, d2
+
+        for batch in batches:
+            yield from found_rows(batch, parts(batch))
 
     out = f"q {qkind}, idx0 long, target {tkind}, idx long, d2 double"
     subsets = one.select("q", "qnode", "target", "qidxs", "qdata", "own").join(lists, ["q", "qnode", "target"])
     subsets = subsets.mapInArrow(sent, f"q {qkind}, target {tkind}, node long, qidxs binary, qdata binary, own binary")
-    again = subsets.join(there, ["target", "node"]).mapInArrow(second, out)
+    again = subsets.join(there, ["target", "node"]).sortWithinPartitions("target", "node").mapInArrow(second, out)
     return one.select("q", "target", "qidxs", "near").mapInArrow(listed, out).unionByName(again)

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,11 @@ def test_directions_of_many_sets_at_once(spark):
     rows = spark.createDataFrame([(i, *map(float, p)) for i, x in enumerate(sets) for p in x], "g int, x double, y double, z double")
     for r in linalg.pca_first_component(rows, ["g"]).collect():
         assert (r["vx"] is None) == bool(np.isnan(got[r["g"], 0])) and (r["vx"] is None or np.allclose([r["vx"], r["vy"], r["vz"]], got[r["g"]], atol=1e-6))
+
+
+def test_query_leaves_share_a_search(spark):
+    """Rows of one target leaf are searched by one call, up to SPAN of them."""
+    nodes = [3] * 5 + [4] * (tree.SPAN + 2) + [4]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * (len(nodes) - 1) + ["b"]), pa.array(nodes)], names=["target", "node"])
+    n = len(nodes)
+    assert list(tree.spans(batch)) == [(0, 5), (5, 5 + tree.SPAN), (5 + tree.SPAN, n - 1), (n - 1, n)] and list(tree.spans(batch.slice(0, 1))) == [(0, 1)]
